@@ -40,7 +40,7 @@ def words(text: str | None) -> list[str]:
 class WordHashes(dict):
     """64-bit hash of each word, remembered up to a bound."""
 
-    def __init__(self, limit: int = 400_000):
+    def __init__(self, limit: int = 150_000):
         super().__init__()
         self.limit = limit
 

@@ -33,7 +33,7 @@ from chronoweave.llm.components import connected_components
 
 COORDS = 64
 #: Sets and shingles in a side of a block of a large node.
-BLOCK_SETS, BLOCK_SHINGLES = 2048, 2_000_000
+BLOCK_SETS, BLOCK_SHINGLES = 1024, 400_000
 
 
 def runs_for(similarity: float, depth: int, recall: float) -> int:
@@ -150,23 +150,25 @@ def _prune(similarity: float, slack: float):
 
 def _overlaps(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray) -> np.ndarray:
     """Sizes of the intersections, by matrix products over slices of the shared tokens."""
-    owner = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+    owner = np.repeat(np.arange(len(sets), dtype=np.int32), [len(s) for s in sets])
     flat = np.concatenate(sets)
-    order = np.argsort(flat, kind="stable")
+    order = np.argsort(flat)
     flat, owner = flat[order], owner[order]
-    first = np.r_[True, flat[1:] != flat[:-1]]
-    token = np.cumsum(first) - 1
-    shared = np.bincount(token) > 1
-    keep = shared[token]
+    del order
+    token = np.cumsum(np.r_[True, flat[1:] != flat[:-1]], dtype=np.int32) - 1
+    del flat
+    keep = (np.bincount(token) > 1)[token]
     token, owner = token[keep], owner[keep]
-    token = np.unique(token, return_inverse=True)[1] if len(token) else token
+    if len(token):
+        token = np.cumsum(np.r_[True, token[1:] != token[:-1]], dtype=np.int32) - 1
     out = np.zeros((len(left), len(right)), np.float32)
-    width = max(1, min(2048, 16_000_000 // len(sets)))
+    width = max(1, min(2048, 4_000_000 // len(sets)))
+    whole = left is right
     for low in range(0, (int(token[-1]) + 1) if len(token) else 0, width):
         a, b = np.searchsorted(token, [low, low + width])
         m = np.zeros((len(sets), width), np.float32)
         m[owner[a:b], token[a:b] - low] = 1
-        out += m[left] @ m[right].T
+        out += m @ m.T if whole else m[left] @ m[right].T
     return out
 
 
@@ -181,27 +183,26 @@ def _verify(similarity: float):
         left, right = _sides(t.column("ci")[0].as_py(), t.column("cj")[0].as_py(), slot)
         if not len(left) or not len(right):
             return None
-        inter = _overlaps(sets, left, right)
-        ok = inter >= similarity * (n[left][:, None] + n[right][None, :] - inter) - 1e-6
+        ok = _overlaps(sets, left, right)
+        # inter / (a + b - inter) >= s, in whole numbers but for s
+        ok = ok.astype(np.float64) * (1 + similarity) >= similarity * (n[left][:, None] + n[right][None, :]) - 1e-3
         ok &= _unseen(nodes, t.column("run")[0].as_py(), left, right) & (left[:, None] != right[None, :])
-        links, parent = np.zeros(t.num_rows, np.int64), list(range(t.num_rows))
+        links = np.zeros(t.num_rows, np.int64)
         links[left] += ok @ copies[right]
         if t.column("ci")[0].as_py() != t.column("cj")[0].as_py():
             links[right] += ok.T @ copies[left]
 
-        def find(x: int) -> int:
-            while parent[x] != x:
-                parent[x] = parent[parent[x]]
-                x = parent[x]
-            return x
-
-        for i, j in zip(*np.nonzero(ok), strict=True):
-            a, b = find(left[i]), find(right[j])
-            if a != b:
-                parent[max(a, b)] = min(a, b)
+        # least member of each local component; as many rounds as a component is wide
+        root, last = np.arange(t.num_rows), None
+        while last is None or (root != last).any():
+            last = root.copy()
+            for rows, cols, pairs in ((left, right, ok), (right, left, ok.T)):
+                near = np.where(pairs, root[cols].astype(np.int32)[None, :], np.int32(t.num_rows)).min(1, initial=t.num_rows)
+                root[rows] = np.minimum(root[rows], near)
+            root = root[root]
         at = np.nonzero(links)[0]
         fp = t.column("fp").to_pylist()
-        return pa.table({"fp": pa.array([fp[i] for i in at], pa.binary()), "links": pa.array(links[at], pa.int64()), "root": pa.array([fp[find(i)] for i in at], pa.binary())}) if len(at) else None
+        return pa.table({"fp": pa.array([fp[i] for i in at], pa.binary()), "links": pa.array(links[at], pa.int64()), "root": pa.array([fp[root[i]] for i in at], pa.binary())}) if len(at) else None
 
     return run
 
