@@ -1 +1,225 @@
+"""Coreference, collapse and cross-document relations over event mentions."""
 
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from chronoweave.operators import aggregates as A
+from chronoweave.operators import coref as C
+from chronoweave.operators import graph as G
+from chronoweave.plans.bindings import E_SQL, mentions
+from chronoweave.plans.registry import query
+
+#: Days: the tables are dense, so mentions of one day only.
+WINDOW = 0
+
+_PAIRS = f"""WITH RECURSIVE {E_SQL}, dis AS (SELECT * FROM e WHERE kind = 'disruption'), pairs AS (
+  SELECT x.mention AS a, y.mention AS b FROM dis x JOIN dis y ON x.subtype = y.subtype AND x.district = y.district AND x.mention < y.mention AND x.article <> y.article
+    AND abs(date_diff('day', x.date, y.date)) <= {WINDOW} AND (x.commodity = y.commodity OR x.commodity = 'unclear' OR y.commodity = 'unclear'))"""
+_CLUSTERS = f"""{_PAIRS}, links AS (SELECT a, b FROM pairs UNION SELECT b, a FROM pairs), reach AS (
+  SELECT a AS node, a AS other FROM links UNION SELECT r.node, l.b FROM reach r JOIN links l ON l.a = r.other), members AS (SELECT node, min(other) AS root FROM reach GROUP BY 1),
+clusters AS (SELECT root, count(*) AS size, min(date) AS first, max(date) AS last, count(DISTINCT article) AS articles, count(DISTINCT publisher) AS publishers, date_diff('day', min(date), max(date))::INT AS lead
+  FROM members JOIN e ON mention = node GROUP BY 1)"""
+
+
+def _dis(spark: SparkSession, d: str) -> DataFrame:
+    return mentions(spark, d).where("kind = 'disruption'")
+
+
+def _pairs(spark: SparkSession, d: str) -> DataFrame:
+    return C.merge_pairs(_dis(spark, d), WINDOW)
+
+
+@query(f"{_PAIRS} SELECT a, b FROM pairs")
+def coref_pairs(spark: SparkSession, d: str) -> DataFrame:
+    return _pairs(spark, d)
+
+
+@query(f"{_CLUSTERS} SELECT root, size, first, last, articles, publishers, lead FROM clusters")
+def coref_clusters(spark: SparkSession, d: str) -> DataFrame:
+    return C.cluster_table(C.clusters(_pairs(spark, d)), _dis(spark, d)).select("root", "size", "first", "last", "articles", "publishers", "lead")
+
+
+@query(f"{_CLUSTERS} SELECT size, count(*) AS clusters FROM clusters GROUP BY 1")
+def coref_size_hist(spark: SparkSession, d: str) -> DataFrame:
+    return C.clusters(_pairs(spark, d)).groupBy("root").agg(F.count("*").alias("size")).groupBy("size").agg(F.count("*").alias("clusters"))
+
+
+@query(f"""{_CLUSTERS}, w AS (SELECT *, (last_user - first_user) AS spread FROM (SELECT root, min(user) AS first_user, max(user) AS last_user FROM members JOIN e ON mention = node GROUP BY 1))
+SELECT count(*) AS n, list_sort(list(spread))[count(*) // 2 + 1] AS median, list_sort(list(spread))[3 * count(*) // 4 + 1] AS p75, max(spread) AS largest, count(*) FILTER (spread > 0) / greatest(count(*), 1) AS share_above_0 FROM w""")
+def coref_lead_time(spark: SparkSession, d: str) -> DataFrame:
+    """Spread within a cluster. All dates of a cluster are equal here (window 0), so the spread is that of the user numbers."""
+    m = _dis(spark, d).select("mention", "user")
+    j = C.clusters(_pairs(spark, d)).join(m, F.col("node") == F.col("mention")).groupBy("root").agg((F.max("user") - F.min("user")).alias("spread"))
+    h = j.groupBy("spread").agg(F.count("*").alias("w"))
+    q = A.discrete_quantiles(h, "spread", {"median": (1, 2), "p75": (3, 4)}, weight="w")
+    return q.crossJoin(h.agg(F.max("spread").alias("largest"), (F.sum(F.when(F.col("spread") > 0, F.col("w")).otherwise(0)) / F.greatest(F.sum("w"), F.lit(1))).alias("share_above_0")))
+
+
+_P = "(('0x' || substr(sha256(a::VARCHAR || ':' || b::VARCHAR), 1, 4))::INT / 65535.0::DOUBLE)"
+
+
+@query(f"""{_PAIRS}, j AS (SELECT x.mention AS a, y.mention AS b FROM dis x JOIN dis y ON x.subtype = y.subtype AND x.district = y.district AND x.date = y.date AND x.mention < y.mention AND x.stage = y.stage),
+judged AS (SELECT a, b, {_P} AS p FROM j)
+SELECT count(*) FILTER (m AND p < 0.25) AS fp, count(*) FILTER (m AND p >= 0.5) AS tp, count(*) FILTER (NOT m AND p >= 0.5) AS fn, count(*) FILTER (m AND p IS NULL) AS unjudged
+FROM (SELECT pairs.a IS NOT NULL AS m, p FROM pairs FULL JOIN judged ON pairs.a = judged.a AND pairs.b = judged.b)""")
+def coref_vs_judges(spark: SparkSession, d: str) -> DataFrame:
+    """Merged pairs against judged ones: pairs of one stage, with a probability from a hash."""
+    x, y = _dis(spark, d).alias("x"), _dis(spark, d).alias("y")
+    on = [F.col(f"x.{c}") == F.col(f"y.{c}") for c in ("subtype", "district", "date", "stage")]
+    j = x.join(y, on[0] & on[1] & on[2] & on[3] & (F.col("x.mention") < F.col("y.mention"))).select(F.col("x.mention").alias("a"), F.col("y.mention").alias("b"))
+    p = F.conv(F.substring(F.sha2(F.concat_ws(":", F.col("a").cast("string"), F.col("b").cast("string")).cast("binary"), 256), 1, 4), 16, 10).cast("double") / 65535.0
+    return C.judged(_pairs(spark, d), j.withColumn("p", p))
+
+
+# ---------------------------------------------------------------- collapse
+
+_COLLAPSED = f"""{_CLUSTERS}, c AS (SELECT e.*, coalesce(root, mention) AS canonical FROM e LEFT JOIN members ON node = mention)"""
+
+
+def _canonical(spark: SparkSession, d: str) -> DataFrame:
+    e = mentions(spark, d)
+    return e.join(C.clusters(_pairs(spark, d)), e.mention == F.col("node"), "left").withColumn("canonical", F.coalesce("root", "mention")).drop("node", "root")
+
+
+@query(f"""{_COLLAPSED} SELECT canonical, min(date) AS event_date, count(*) AS coref_size, string_agg(DISTINCT article::VARCHAR, '|' ORDER BY article::VARCHAR) AS coref_article_ids,
+  string_agg(DISTINCT publisher::VARCHAR, '|' ORDER BY publisher::VARCHAR) AS coref_publisher_ids FROM c GROUP BY 1""")
+def collapsed_nodes(spark: SparkSession, d: str) -> DataFrame:
+    text = lambda c: F.array_join(F.array_sort(F.collect_set(F.col(c).cast("string"))), "|")
+    return _canonical(spark, d).groupBy("canonical").agg(F.min("date").alias("event_date"), F.count("*").alias("coref_size"), text("article").alias("coref_article_ids"), text("publisher").alias("coref_publisher_ids"))
+
+
+_REL = "rel AS (SELECT r.mention AS src, x.mention AS dst, r.date AS available FROM e r JOIN e x ON r.article = x.article AND r.mention <> x.mention AND x.kind = 'disruption' AND x.date <= r.date)"
+
+
+def _relations(spark: SparkSession, d: str) -> DataFrame:
+    """From any mention to the earlier disruptions of its article."""
+    e = mentions(spark, d)
+    r, x = e.alias("r"), e.where("kind = 'disruption'").alias("x")
+    return r.join(x, (F.col("r.article") == F.col("x.article")) & (F.col("r.mention") != F.col("x.mention")) & (F.col("x.date") <= F.col("r.date"))).select(F.col("r.mention").alias("src"), F.col("x.mention").alias("dst"), F.col("r.date").alias("available"))
+
+
+_REWRITTEN = f"{_COLLAPSED}, {_REL}, w AS (SELECT coalesce(m.root, src) AS src, coalesce(n.root, dst) AS dst, available FROM rel LEFT JOIN members m ON m.node = src LEFT JOIN members n ON n.node = dst)"
+
+
+@query(f"{_REWRITTEN} SELECT src, dst, available, count(*) AS n FROM w WHERE src <> dst GROUP BY ALL")
+def collapsed_edges(spark: SparkSession, d: str) -> DataFrame:
+    kept, _ = G.rewrite_edges(_relations(spark, d), C.clusters(_pairs(spark, d)), "src", "dst")
+    return kept.groupBy("src", "dst", "available").agg(F.count("*").alias("n"))
+
+
+@query(f"""{_REWRITTEN} SELECT (SELECT count(*) FROM e) AS nodes_before, (SELECT count(DISTINCT canonical) FROM c) AS nodes_after, (SELECT count(*) FROM w) AS edges_before,
+  (SELECT count(*) FROM w WHERE src <> dst) AS edges_after, (SELECT count(*) FROM w WHERE src = dst) AS loops, (SELECT count(*) FROM clusters) AS clusters""")
+def collapse_report(spark: SparkSession, d: str) -> DataFrame:
+    members = C.clusters(_pairs(spark, d))
+    kept, loops = G.rewrite_edges(_relations(spark, d), members, "src", "dst")
+    n = lambda df, name: df.agg(F.count("*").alias(name))
+    one = n(mentions(spark, d), "nodes_before").crossJoin(members.agg((F.count("*") - F.count_distinct("root")).alias("gone"), F.count_distinct("root").alias("clusters"))).crossJoin(n(kept, "edges_after")).crossJoin(n(loops, "loops"))
+    return one.select("nodes_before", (F.col("nodes_before") - F.col("gone")).alias("nodes_after"), (F.col("edges_after") + F.col("loops")).alias("edges_before"), "edges_after", "loops", "clusters")
+
+
+_ARTS = "arts AS (SELECT canonical, list_distinct(list(article)) AS a FROM c GROUP BY 1)"
+
+
+@query(f"""{_COLLAPSED}, {_REL}, {_ARTS}, x AS (
+  SELECT m.a AS sa, n.a AS da FROM rel JOIN c cs ON cs.mention = rel.src JOIN c cd ON cd.mention = rel.dst JOIN arts m ON m.canonical = cs.canonical JOIN arts n ON n.canonical = cd.canonical WHERE cs.canonical <> cd.canonical)
+SELECT count(*) AS relations, count(*) FILTER (NOT list_has_any(sa, da)) AS disjoint, count(*) FILTER (len(sa) = 1 AND len(da) = 1 AND list_has_any(sa, da)) AS intra_article,
+  count(*) FILTER (list_has_any(sa, da) AND (len(sa) > 1 OR len(da) > 1)) AS cross_document FROM x""")
+def cross_document_share(spark: SparkSession, d: str) -> DataFrame:
+    c = _canonical(spark, d)
+    arts = c.groupBy("canonical").agg(F.collect_set("article").alias("a"))  # the articles of one incident
+    ends = c.select("mention", "canonical").join(arts, "canonical").select("mention", "canonical", "a")
+    r = _relations(spark, d).join(ends.toDF("src", "cs", "sa"), "src").join(ends.toDF("dst", "cd", "da"), "dst").where("cs <> cd")
+    over, one = F.arrays_overlap("sa", "da"), (F.size("sa") == 1) & (F.size("da") == 1)
+    return r.agg(F.count("*").alias("relations"), F.count_if(~over).alias("disjoint"), F.count_if(over & one).alias("intra_article"), F.count_if(over & ~one).alias("cross_document"))
+
+
+@query(f"""{_COLLAPSED}, {_REL} , k AS (SELECT DISTINCT rel.src AS response, c2.mention AS target FROM rel JOIN c c1 ON c1.mention = rel.dst JOIN c c2 ON c2.canonical = c1.canonical AND c2.mention <> rel.dst JOIN e r ON r.mention = rel.src WHERE r.kind = 'response')
+SELECT response, target FROM k WHERE NOT EXISTS (SELECT 1 FROM rel WHERE rel.src = response AND rel.dst = target)""")
+def entailed_cross_document(spark: SparkSession, d: str) -> DataFrame:
+    """A stated relation and a coreference of its object entail a relation to the other mention."""
+    members = C.clusters(_pairs(spark, d))
+    m = members.toDF("dst", "root")
+    stated = _relations(spark, d).select("src", "dst")
+    resp = mentions(spark, d).where("kind = 'response'").select(F.col("mention").alias("src"))
+    new = stated.join(resp, "src", "left_semi").join(m, "dst").join(members.toDF("target", "root"), "root").where("target <> dst").select(F.col("src").alias("response"), "target").distinct()
+    return new.join(stated.toDF("response", "target"), ["response", "target"], "left_anti")
+
+
+@query(f"""{_REWRITTEN}, s AS (SELECT src, dst, available, row_number() OVER (ORDER BY src, dst, available) AS i FROM w WHERE src <> dst)
+SELECT src, dst, count(*) * (count(*) - 1) // 2 AS pairs FROM s GROUP BY ALL HAVING count(*) > 1""")
+def corroboration_pairs(spark: SparkSession, d: str) -> DataFrame:
+    """Pairs of assertions that support the same resolved relation, counted for each relation."""
+    kept, _ = G.rewrite_edges(_relations(spark, d), C.clusters(_pairs(spark, d)), "src", "dst")
+    g = kept.groupBy("src", "dst").agg(F.count("*").alias("n")).where("n > 1")
+    return g.select("src", "dst", F.floor(F.col("n") * (F.col("n") - 1) / 2).alias("pairs"))
+
+
+@query(f"""{_COLLAPSED}, {_REL}, inc AS (SELECT canonical, min(date) AS date, min(district) AS district, list_distinct(list(article)) AS arts FROM c WHERE kind = 'disruption' GROUP BY 1),
+pos AS (SELECT r.mention AS response, r.article, r.date AS rd, r.district AS rl, cd.canonical AS target FROM rel JOIN e r ON r.mention = rel.src AND r.kind = 'response' JOIN c cd ON cd.mention = rel.dst),
+p AS (SELECT DISTINCT pos.*, 2.0::DOUBLE * (rl = inc.district)::INT - date_diff('day', inc.date, rd) / 10000.0::DOUBLE AS s FROM pos JOIN inc ON canonical = target),
+n AS (SELECT response, target, count(inc.canonical) FILTER (2.0::DOUBLE * (rl = inc.district)::INT - date_diff('day', inc.date, rd) / 10000.0::DOUBLE >= s) AS ge,
+  count(inc.canonical) FILTER (2.0::DOUBLE * (rl = inc.district)::INT - date_diff('day', inc.date, rd) / 10000.0::DOUBLE > s) AS gt
+  FROM p LEFT JOIN inc ON inc.date <= rd AND inc.canonical <> target AND NOT list_contains(inc.arts, p.article) GROUP BY ALL)
+SELECT count(*) AS pairs_scored, count(*) FILTER (ge = 0) / greatest(count(*), 1) AS strictly_hardest, count(*) FILTER (gt = 0) / greatest(count(*), 1) AS hardest_or_tied, list_sort(list(ge))[count(*) // 2 + 1] AS median_competitors FROM n""")
+def incident_competitors(spark: SparkSession, d: str) -> DataFrame:
+    """Incidents that score at or above the positive by district and recency, without those that the response's article reports.
+
+    The score is 2 for the same district, less a tiny part that grows with the lag; so the competitors of a positive
+    are those of ranges of days, within the district or over all, and come from running counts by day.
+    """
+    c = _canonical(spark, d)
+    inc = c.where("kind = 'disruption'").groupBy("canonical").agg(F.min("date").alias("date"), F.min("district").alias("district"), F.collect_set("article").alias("arts"))
+    resp = mentions(spark, d).where("kind = 'response'").select(F.col("mention").alias("src"), "article", F.col("date").alias("rd"), F.col("district").alias("rl"))
+    pos = _relations(spark, d).select("src", "dst").join(resp, "src").join(c.select(F.col("mention").alias("dst"), F.col("canonical").alias("target")), "dst").select("src", "article", "rd", "rl", "target").distinct()
+    p = pos.join(inc.select(F.col("canonical").alias("target"), F.col("date").alias("td"), F.col("district").alias("tl")), "target").withColumn("same", F.col("rl") == F.col("tl"))
+    day = lambda x: F.unix_date(x)
+    per = inc.groupBy(F.col("district").alias("k"), day("date").alias("day")).agg(F.count("*").alias("m"))
+    per = per.unionByName(inc.groupBy(day("date").alias("day")).agg(F.count("*").alias("m")).withColumn("k", F.lit("*")))
+    # at or above: same district and not earlier than the target's day if the target is in the district; else all of the district, and all others not earlier
+    ask = lambda key, at, sign, ge, gt: F.struct(key.alias("k"), at.alias("day"), F.lit(sign).alias("sign"), F.lit(ge).alias("ge"), F.lit(gt).alias("gt"))
+    rd, td, none = day("rd"), day("td"), F.lit(-1_000_000)
+    own, any_ = F.col("rl"), F.lit("*")
+    same = F.array(ask(own, rd, 1, 1, 1), ask(own, td - 1, -1, 1, 0), ask(own, td, -1, 0, 1))
+    other = F.array(ask(any_, rd, 1, 1, 1), ask(any_, td - 1, -1, 1, 0), ask(any_, td, -1, 0, 1), ask(own, td - 1, 1, 1, 0), ask(own, td, 1, 0, 1))
+    t = p.select("src", "article", "rd", "rl", "target", "td", "same", F.explode(F.when(F.col("same"), same).otherwise(other)).alias("q")).select("*", "q.*").drop("q")
+    asked = t.select("k", "day").distinct().withColumn("q", F.lit(1)).withColumn("m", F.lit(0).cast("bigint"))
+    from pyspark.sql import Window
+
+    run = F.sum("m").over(Window.partitionBy("k").orderBy("day", "q").rowsBetween(Window.unboundedPreceding, 0))
+    known = asked.unionByName(per.withColumn("q", F.lit(0))).withColumn("upto", run).where("q = 1").select("k", "day", "upto")
+    total = t.join(known, ["k", "day"]).groupBy("src", "target", "article", "rd", "rl", "td", "same").agg(F.sum(F.col("sign") * F.col("ge") * F.col("upto")).alias("ge"), F.sum(F.col("sign") * F.col("gt") * F.col("upto")).alias("gt"))
+    # take off the incidents that the response's own article reports, the target among them
+    near = inc.select(F.explode("arts").alias("article"), "canonical", F.col("date").alias("xd"), F.col("district").alias("xl"))
+    score = lambda l, x: 2.0 * (F.col("rl") == F.col(l)).cast("double") - F.datediff("rd", x) / 10000.0
+    off = p.join(near, "article").where("xd <= rd").groupBy("src", "target").agg(F.count_if(score("xl", "xd") >= score("tl", "td")).alias("oge"), F.count_if(score("xl", "xd") > score("tl", "td")).alias("ogt"))
+    n = total.join(off, ["src", "target"], "left").select((F.col("ge") - F.coalesce("oge", F.lit(0))).alias("ge"), (F.col("gt") - F.coalesce("ogt", F.lit(0))).alias("gt")).groupBy("ge", "gt").agg(F.count("*").alias("w"))
+    all_ = F.greatest(F.coalesce(F.sum("w"), F.lit(0)), F.lit(1))
+    q = A.discrete_quantiles(n, "ge", {"median_competitors": (1, 2)}, weight="w").withColumnRenamed("n", "pairs_scored")
+    part = lambda col: F.coalesce(F.sum(F.when(F.col(col) == 0, F.col("w")).otherwise(0)), F.lit(0)) / all_
+    return q.crossJoin(n.agg(part("ge").alias("strictly_hardest"), part("gt").alias("hardest_or_tied")))
+
+
+@query(f"""{_COLLAPSED}, {_REL}, inc AS (SELECT canonical, min(date) AS date, min(district) AS district FROM c WHERE kind = 'disruption' GROUP BY 1),
+pos AS (SELECT DISTINCT r.mention AS response, r.date AS rd, r.district AS rl, cd.canonical AS target FROM rel JOIN e r ON r.mention = rel.src AND r.kind = 'response' JOIN c cd ON cd.mention = rel.dst),
+last AS (SELECT p.*, i.date AS td, i.district AS tl, (SELECT max(x.date) FROM inc x WHERE x.district = p.rl AND x.date <= p.rd) AS newest FROM pos p JOIN inc i ON i.canonical = p.target)
+SELECT count(*) AS positives, count(*) FILTER (tl = rl) AS same_district, count(*) FILTER (tl = rl AND td = newest) AS most_recent FROM last""")
+def most_recent_same_district(spark: SparkSession, d: str) -> DataFrame:
+    """How often the gold incident is the latest of the response's district."""
+    c = _canonical(spark, d)
+    inc = c.where("kind = 'disruption'").groupBy("canonical").agg(F.min("date").alias("td"), F.min("district").alias("tl"))
+    pos = positives_by_incident(spark, d, c).join(inc, F.col("target") == F.col("canonical"))
+    from pyspark.sql import Window
+
+    days = inc.select(F.col("tl").alias("k"), F.col("td").alias("at")).distinct().withColumn("day", F.col("at")).withColumn("q", F.lit(0))
+    asked = pos.select(F.col("rl").alias("k"), F.col("rd").alias("at")).distinct().withColumn("day", F.lit(None).cast("date")).withColumn("q", F.lit(1))
+    newest = F.max("day").over(Window.partitionBy("k").orderBy("at", "q").rowsBetween(Window.unboundedPreceding, 0))
+    known = days.unionByName(asked).withColumn("newest", newest).where("q = 1").select(F.col("k").alias("rl"), F.col("at").alias("rd"), "newest")
+    p = pos.join(known, ["rl", "rd"])
+    return p.agg(F.count("*").alias("positives"), F.count_if(F.col("tl") == F.col("rl")).alias("same_district"), F.count_if((F.col("tl") == F.col("rl")) & (F.col("td") == F.col("newest"))).alias("most_recent"))
+
+
+def positives_by_incident(spark: SparkSession, d: str, c: DataFrame) -> DataFrame:
+    resp = mentions(spark, d).where("kind = 'response'").select(F.col("mention").alias("src"), F.col("date").alias("rd"), F.col("district").alias("rl"))
+    return _relations(spark, d).select("src", "dst").join(resp, "src").join(c.select(F.col("mention").alias("dst"), F.col("canonical").alias("target")), "dst").select("src", "rd", "rl", "target").distinct()
