@@ -257,15 +257,19 @@ def topic(c: Column, words: tuple[str, ...]) -> Column:
 
 
 def tags(c: Column) -> Column:
-    return F.filter(F.transform(F.split(c, ","), F.trim), lambda t: t != "")
+    return F.filter(F.transform(F.split(c, ","), lambda t: F.trim(t)), lambda t: t != "")
 
 
 def sketch(text: Column, size: int = 5, keep: int = 32) -> Column:
     """The least `keep` hashes of the runs of `size` words; hashes are prefixes of SHA-256."""
-    w = F.filter(F.split(norm_words(F.coalesce(text, F.lit(""))), " "), lambda x: x != "")
-    runs = F.transform(F.sequence(F.lit(1), F.size(w) - size + 1), lambda i: F.array_join(F.slice(w, i, size), " "))
-    hashes = F.transform(runs, lambda r: F.substring(F.sha2(r.cast("binary"), 256), 1, 16))
-    return F.when(F.size(w) >= size, F.slice(F.array_sort(F.array_distinct(hashes)), 1, keep)).otherwise(F.array().cast("array<string>"))
+    words = F.filter(F.split(norm_words(F.coalesce(text, F.lit(""))), " "), lambda x: x != "")
+
+    def least(w: Column) -> Column:
+        hashes = F.transform(F.sequence(F.lit(1), F.size(w) - size + 1), lambda i: F.substring(F.sha2(F.array_join(F.slice(w, i, size), " ").cast("binary"), 256), 1, 16))
+        return F.when(F.size(w) >= size, F.slice(F.array_sort(F.array_distinct(hashes)), 1, keep)).otherwise(F.array().cast("array<string>"))
+
+    # the words are bound to a variable; else each run of words would split the text again
+    return F.get(F.transform(F.array(words), least), F.lit(0))
 
 
 def quantile_upper(values: Column, num: int, den: int) -> Column:

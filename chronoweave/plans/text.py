@@ -1 +1,237 @@
+"""Validation, scoring, profiles, duplicates and samples over the corpus binding."""
 
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from chronoweave.functions.scalar import tags, token_set, topic
+from chronoweave.functions.vocab import TOPICS
+from chronoweave.operators import aggregates as A
+from chronoweave.operators import text as X
+from chronoweave.operators import validate as V
+from chronoweave.plans.bindings import E_SQL, mentions
+from chronoweave.plans.gates import BAND
+from chronoweave.plans.registry import query
+from chronoweave.sources.readers import table
+
+
+@query("""WITH s AS (
+  SELECT doc_id, 1 AS b FROM documents WHERE lang = 'en' UNION SELECT doc_id, 2 FROM labels WHERE quality = 1 UNION SELECT doc_id, 4 FROM labels WHERE toxic = 1 UNION SELECT conv_id, 8 FROM conversations UNION SELECT page_id, 16 FROM pages)
+SELECT mask, count(*) AS n FROM (SELECT doc_id, bit_or(b)::INT AS mask FROM s WHERE doc_id IS NOT NULL GROUP BY 1) GROUP BY 1""")
+def id_set_overlap(spark: SparkSession, d: str) -> DataFrame:
+    """How many ids lie in each combination of five sets, as a bit mask."""
+    lab = table(spark, d, "labels")
+    sets = [table(spark, d, "documents").where("lang = 'en'").select("doc_id"), lab.where("quality = 1").select("doc_id"), lab.where("toxic = 1").select("doc_id"), table(spark, d, "conversations").select("conv_id"), table(spark, d, "pages").select("page_id")]
+    s = sets[0].toDF("id").withColumn("b", F.lit(1))
+    for k, x in enumerate(sets[1:], 1):
+        s = s.unionByName(x.toDF("id").withColumn("b", F.lit(1 << k)))
+    return s.where("id is not null").groupBy("id").agg(F.bit_or("b").alias("mask")).groupBy("mask").agg(F.count("*").alias("n"))
+
+
+# ---------------------------------------------------------------- validation: three events and two relations for each document
+
+_SUBTYPES = ("WeatherDisruption", "ReserveRelease", "SupplyShortage", "Unheard")
+_EVENTS = r"""WITH ev AS (
+  SELECT doc_id AS article, ord, coalesce(text, '') AS body, DATE '2024-01-01' + (doc_id % 28)::INT AS pub, DATE '2024-01-01' + (doc_id % 28 + (doc_id * 7 + ord) % 29 - 27)::INT AS event_date,
+    CASE WHEN (doc_id + ord) % 11 = 0 THEN 'no such words here' ELSE substr(coalesce(text, ''), 1 + ord * 7, 24) END AS quote,
+    CASE WHEN (doc_id + ord) % 2 = 0 THEN 'disruption' ELSE 'response' END AS kind, ['WeatherDisruption', 'ReserveRelease', 'SupplyShortage', 'Unheard'][(doc_id // 2 + ord) % 4 + 1] AS subtype, CASE WHEN ord = 2 THEN 0 ELSE ord END AS slot
+  FROM documents, range(1, 4) r(ord)
+), q AS (SELECT *, trim(regexp_replace(quote, '\s+', ' ', 'g')) AS nq, trim(regexp_replace(body, '\s+', ' ', 'g')) AS nb FROM ev),
+coded AS (SELECT *, CASE WHEN nq = '' OR NOT contains(nb, nq) THEN 'V1_quote_not_in_body' WHEN event_date > pub THEN 'V2_after_publication'
+  WHEN (kind = 'response' AND subtype IN ('WeatherDisruption', 'SupplyShortage')) OR (kind = 'disruption' AND subtype = 'ReserveRelease') THEN 'V3_kind_subtype_mismatch' WHEN subtype = 'Unheard' THEN 'V3_unknown_subtype' END AS code FROM q),
+bad AS (SELECT article, bool_or(coalesce(code LIKE 'V1%' OR code LIKE 'V2%', false)) AS rejected FROM coded GROUP BY 1),
+kept AS (SELECT article, ord, coalesce(nullif(slot, 0), row_number() OVER (PARTITION BY article ORDER BY ord)) AS event_slot FROM coded JOIN bad USING (article) WHERE NOT rejected AND code IS NULL)"""
+
+
+def _events(spark: SparkSession, d: str) -> DataFrame:
+    i, o = F.col("doc_id"), F.col("ord")
+    x = table(spark, d, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("body"), F.explode(F.array(*map(F.lit, (1, 2, 3)))).alias("ord"))
+    base = F.lit("2024-01-01").cast("date")
+    sub = F.get(F.array(*map(F.lit, _SUBTYPES)), ((F.floor(i / 2) + o) % 4).cast("int"))
+    return x.select(
+        i.alias("article"), "ord", "body", F.date_add(base, (i % 28).cast("int")).cast("string").alias("pub_date"), F.date_add(base, (i % 28 + (i * 7 + o) % 29 - 27).cast("int")).cast("string").alias("event_date"),
+        F.when((i + o) % 11 == 0, F.lit("no such words here")).otherwise(F.substring("body", 1 + o * 7, F.lit(24))).alias("evidence_quote"),
+        F.when((i + o) % 2 == 0, F.lit("disruption")).otherwise(F.lit("response")).alias("event_kind"), sub.alias("event_subtype"), F.when(o == 2, 0).otherwise(o).alias("event_slot"),
+    )
+
+
+@query(f"{_EVENTS} SELECT coalesce(code, 'ok') AS code, count(*) AS n FROM coded GROUP BY 1")
+def validate_events(spark: SparkSession, d: str) -> DataFrame:
+    return V.event_codes(_events(spark, d)).groupBy(F.coalesce("code", F.lit("ok")).alias("code")).agg(F.count("*").alias("n"))
+
+
+@query(f"{_EVENTS} SELECT count(*) AS articles, count(*) FILTER (rejected) AS rejected, (SELECT count(*) FROM kept) AS events_kept, (SELECT count(DISTINCT article) FROM kept) AS articles_with_events FROM bad")
+def validate_articles(spark: SparkSession, d: str) -> DataFrame:
+    coded = V.event_codes(_events(spark, d))
+    a = coded.groupBy("article").agg(F.bool_or("fatal").alias("r"), F.count_if(F.col("code").isNull()).alias("ok"))
+    kept = F.when(F.col("r"), 0).otherwise(F.col("ok"))
+    return a.agg(F.count("*").alias("articles"), F.count_if("r").alias("rejected"), F.coalesce(F.sum(kept), F.lit(0)).alias("events_kept"), F.count_if(kept > 0).alias("articles_with_events"))
+
+
+@query(rf"""{_EVENTS}, rel AS (
+  SELECT doc_id AS article, coalesce(text, '') AS body, k, ['respondsTo', 'implementsPolicy', 'reportedCauseOf', 'unknown'][(doc_id // 3 + k) % 4 + 1] AS predicate, CASE WHEN (doc_id + k) % 5 = 0 THEN '' WHEN (doc_id + k) % 7 = 0 THEN 'absent words' ELSE substr(coalesce(text, ''), 1, 16) END AS quote,
+    (1 + (doc_id + k) % 3)::INT AS s, (1 + (doc_id // 4 + k) % 3)::INT AS o, CASE WHEN doc_id % 2 = 0 THEN 'policy-1' ELSE ' ' END AS policy FROM documents, range(1, 3) r(k)
+), n AS (SELECT rel.*, trim(regexp_replace(quote, '\s+', ' ', 'g')) AS nq, trim(regexp_replace(body, '\s+', ' ', 'g')) AS nb, a.event_slot AS sub, b.event_slot AS obj FROM rel LEFT JOIN kept a ON a.article = rel.article AND a.event_slot = rel.s LEFT JOIN kept b ON b.article = rel.article AND b.event_slot = rel.o)
+SELECT code, count(*) AS n FROM (SELECT CASE WHEN predicate = 'unknown' THEN 'V4_bad_predicate' WHEN nq <> '' AND NOT contains(nb, nq) THEN 'V4_quote_not_in_body' WHEN sub IS NULL THEN 'V4_unresolved_subject'
+  WHEN predicate = 'implementsPolicy' AND trim(policy) = '' THEN 'V4_policy_without_id' WHEN predicate <> 'implementsPolicy' AND (obj IS NULL OR obj = sub) THEN 'V4_unresolved_or_self_object' ELSE 'ok' END AS code FROM n) GROUP BY 1""")
+def validate_relations(spark: SparkSession, d: str) -> DataFrame:
+    events = V.kept_events(V.event_codes(_events(spark, d)).drop("body"))
+    events = events.withColumn("event_id", F.concat_ws(":", F.col("article").cast("string"), F.lit("llm"), F.lit("event"), F.col("event_slot").cast("string")))
+    i, k = F.col("doc_id"), F.col("k")
+    x = table(spark, d, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("body"), F.explode(F.array(F.lit(1), F.lit(2))).alias("k"))
+    pred = F.get(F.array(*map(F.lit, ("respondsTo", "implementsPolicy", "reportedCauseOf", "unknown"))), ((F.floor(i / 3) + k) % 4).cast("int"))
+    rel = x.select(i.alias("article"), "body", pred.alias("predicate"), F.when((i + k) % 5 == 0, F.lit("")).when((i + k) % 7 == 0, F.lit("absent words")).otherwise(F.substring("body", 1, 16)).alias("evidence_quote"), (1 + (i + k) % 3).cast("int").alias("subject_event_slot"), (1 + (F.floor(i / 4) + k) % 3).cast("int").alias("object_event_slot"), F.when(i % 2 == 0, F.lit("policy-1")).otherwise(F.lit(" ")).alias("policy_id"))
+    return V.relation_codes(rel, events).groupBy(F.coalesce("code", F.lit("ok")).alias("code")).agg(F.count("*").alias("n"))
+
+
+@query(f"""WITH {E_SQL}, x AS (SELECT DISTINCT article // 100 AS batch, article FROM e WHERE article % 11 <> 0), r AS (SELECT DISTINCT article // 100 + CASE WHEN article % 13 = 0 THEN 1 ELSE 0 END AS batch, article FROM e WHERE article % 7 <> 0)
+SELECT batch, count(*) FILTER (e AND r) AS ok, count(*) FILTER (e AND NOT r) AS missing, count(*) FILTER (r AND NOT e) AS unexpected FROM (SELECT coalesce(x.batch, r.batch) AS batch, x.article IS NOT NULL AS e, r.article IS NOT NULL AS r FROM x FULL JOIN r ON x.batch = r.batch AND x.article = r.article) GROUP BY 1""")
+def batch_reconciliation(spark: SparkSession, d: str) -> DataFrame:
+    """Expected and received ids by batch; some are left out and some come in the wrong batch."""
+    a = mentions(spark, d).select("article").distinct()
+    b = F.floor(F.col("article") / 100)
+    expected = a.where("article % 11 <> 0").select(b.alias("batch"), "article")
+    received = a.where("article % 7 <> 0").select((b + F.when(F.col("article") % 13 == 0, 1).otherwise(0)).alias("batch"), "article")
+    s = V.reconcile(expected, received, ["batch", "article"])
+    return s.groupBy("batch").agg(*[F.count_if(F.col("state") == k).alias(k) for k in ("ok", "missing", "unexpected")])
+
+
+@query("SELECT doc_id, item_id FROM documents d JOIN benchmark b ON contains(d.text, b.text) WHERE b.text <> ''")
+def evidence_containment(spark: SparkSession, d: str) -> DataFrame:
+    return X.containment(table(spark, d, "documents"), table(spark, d, "benchmark"), "doc_id", "text", "item_id", "text")
+
+
+# ---------------------------------------------------------------- agreement
+
+_AB = "WITH l AS (SELECT quality AS a, 1 - toxic AS b FROM labels WHERE quality IS NOT NULL AND toxic IS NOT NULL)"
+
+
+@query(f"{_AB} SELECT a, b, count(*) AS n FROM l GROUP BY ALL")
+def confusion(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "labels").where("quality is not null and toxic is not null").groupBy(F.col("quality").alias("a"), (1 - F.col("toxic")).alias("b")).agg(F.count("*").alias("n"))
+
+
+@query(f"""{_AB}, n AS (SELECT count(*) AS n, count(*) FILTER (a = b) / count(*) AS po FROM l), m AS (SELECT k, (SELECT count(*) FROM l WHERE a = k) * (SELECT count(*) FROM l WHERE b = k) AS x FROM (SELECT a AS k FROM l UNION SELECT b FROM l)),
+p AS (SELECT n, po, (SELECT sum(x) FROM m) / (n * n) AS pe FROM n)
+SELECT n, round(po, 9) AS observed, round(pe, 9) AS expected, CASE WHEN pe < 1 THEN round((po - pe) / (1 - pe), 9) END AS kappa FROM p""")
+def annotator_kappa(spark: SparkSession, d: str) -> DataFrame:
+    k = A.kappa(table(spark, d, "labels").withColumn("b", 1 - F.col("toxic")), "quality", "b")
+    return k.select("n", *[F.round(c, 9).alias(c) for c in ("observed", "expected", "kappa")])
+
+
+@query("""WITH l AS (SELECT quality AS t, 1 - toxic AS p FROM labels), c AS (SELECT k AS class, count(*) FILTER (t = k AND p = k) AS tp, count(*) FILTER (t <> k AND p = k) AS fp, count(*) FILTER (t = k AND p <> k) AS fn FROM l, (VALUES (0), (1), (2)) v(k) GROUP BY 1)
+SELECT class, tp, fp, fn, CASE WHEN tp > 0 THEN 2.0::DOUBLE * tp / (2 * tp + fp + fn) ELSE 0.0 END AS f1 FROM c""")
+def macro_f1(spark: SparkSession, d: str) -> DataFrame:
+    """F1 of each of three classes, one of which never occurs."""
+    return A.macro_f1(table(spark, d, "labels").withColumn("p", 1 - F.col("toxic")), "quality", "p", [0, 1, 2])
+
+
+@query("""WITH l AS (SELECT quality AS y, row_number() OVER (ORDER BY doc_id) - 1 AS pos, count(*) OVER () AS n FROM labels WHERE quality IS NOT NULL), s AS (SELECT *, pos < n * 70 // 100 AS train FROM l),
+m AS (SELECT y FROM s WHERE train GROUP BY y ORDER BY count(*) DESC, y LIMIT 1) SELECT m.y AS majority, count(*) AS n, count(*) FILTER (s.y = m.y) / count(*) AS accuracy FROM s, m WHERE NOT train GROUP BY m.y""")
+def majority_baseline(spark: SparkSession, d: str) -> DataFrame:
+    """Accuracy on the last 30 % of always guessing the commonest class of the first 70 %."""
+    from chronoweave.operators.ranking import position
+
+    l = table(spark, d, "labels").where("quality is not null").select("doc_id", F.col("quality").alias("y"), F.floor(F.col("doc_id") / 1000).alias("block"))
+    s = position(l, "block", ["doc_id"]).withColumn("train", F.col("pos") < F.floor(F.col("total") * 70 / 100))
+    c = s.groupBy("train", "y").agg(F.count("*").alias("n"))
+    top = c.where("train").orderBy(F.desc("n"), "y").limit(1).select(F.col("y").alias("majority"))
+    t = c.where("not train").crossJoin(top)  # one row
+    return t.groupBy("majority").agg(F.sum("n").alias("n"), (F.sum(F.when(F.col("y") == F.col("majority"), F.col("n")).otherwise(0)) / F.sum("n")).alias("accuracy"))
+
+
+def _matched(spark: SparkSession, d: str) -> DataFrame:
+    """Run items: the first four lines of a text; reference: its first five, from the last one, each without its last word."""
+    lines = F.filter(F.split("text", "\n"), lambda s: F.trim(s) != "")
+    run = F.transform(F.slice(lines, 1, 4), token_set)
+    ref = F.transform(F.reverse(F.slice(lines, 1, 5)), lambda s: token_set(F.regexp_replace(s, r"\s\S+\s*$", "")))
+    x = table(spark, d, "documents").where("text is not null").select("doc_id", "lang", run.alias("run"), ref.alias("ref"))
+    return x.select("doc_id", "lang", F.size("run").alias("a"), F.size("ref").alias("b"), X.greedy_match(F.col("run"), F.col("ref")).alias("m"))
+
+
+@query()
+def greedy_match_jaccard(spark: SparkSession, d: str) -> DataFrame:
+    """Greedy matches of each document; tested against a plain loop."""
+    return _matched(spark, d).select("doc_id", F.size("m").alias("matched"), F.array_join(F.transform("m", lambda x: F.concat_ws(":", x["run"].cast("string"), x["ref"].cast("string"))), ",").alias("pairs"))
+
+
+@query()
+def match_by_stratum(spark: SparkSession, d: str) -> DataFrame:
+    """Micro Jaccard and failure modes by language, and over all, in one pass."""
+    m = _matched(spark, d).withColumn("k", F.size("m"))
+    n, a, b = F.sum("k"), F.sum("a"), F.sum("b")
+    g = m.groupingSets([["lang"], []], "lang").agg(F.grouping("lang").alias("is_total"), F.count("*").alias("articles"), n.alias("matched"), (n / F.greatest(a + b - n, F.lit(1))).alias("micro_jaccard"), F.count_if(F.col("a") > F.col("b")).alias("over_fragmented"), F.count_if(F.col("a") < F.col("b")).alias("under_extracted"), F.count_if((F.col("a") > 0) & (F.col("b") == 0)).alias("false_positive"))
+    return g.withColumn("is_total", F.col("is_total").cast("int"))
+
+
+# ---------------------------------------------------------------- profile
+
+@query("""SELECT lang, source, count(*) AS n, count(*) FILTER (text IS NOT NULL AND text <> '') AS non_empty, min(n_chars) AS shortest, max(n_chars) AS longest, count(*) FILTER (regexp_matches(text, '[0-9]')) AS with_digits FROM documents GROUP BY ALL""")
+def corpus_profile(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "documents").groupBy("lang", "source").agg(F.count("*").alias("n"), F.count_if(F.col("text").isNotNull() & (F.col("text") != "")).alias("non_empty"), F.min("n_chars").alias("shortest"), F.max("n_chars").alias("longest"), F.count_if(F.col("text").rlike("[0-9]")).alias("with_digits"))
+
+
+@query("""WITH t AS (SELECT unnest(string_split(concat_ws(',', lang, ' ' || source, CASE WHEN n_chars > 2000 THEN 'long' ELSE '' END), ',')) AS tag, n_chars FROM documents)
+SELECT trim(tag) AS tag, count(*) AS n, count(*) FILTER (n_chars > 0) AS with_body FROM t WHERE trim(tag) <> '' GROUP BY 1""")
+def tag_counts(spark: SparkSession, d: str) -> DataFrame:
+    joined = F.concat_ws(",", "lang", F.concat(F.lit(" "), "source"), F.when(F.col("n_chars") > 2000, F.lit("long")).otherwise(F.lit("")))
+    t = table(spark, d, "documents").select("n_chars", F.explode(tags(joined)).alias("tag"))
+    return t.groupBy("tag").agg(F.count("*").alias("n"), F.count_if(F.col("n_chars") > 0).alias("with_body"))
+
+
+_TOPICS = TOPICS | {"function_words": ("the", "les", "der", "los"), "license": ("license", "licensed")}
+
+
+@query(" UNION ALL ".join(rf"SELECT '{n}' AS topic, count(*) FILTER (regexp_matches(text, '(?i)\b(?:{'|'.join(w)})\b')) AS in_text, count(*) FILTER (regexp_matches(string_split(text, chr(10))[1], '(?i)\b(?:{'|'.join(w)})\b')) AS in_first_line FROM documents" for n, w in _TOPICS.items()))
+def topic_screen(spark: SparkSession, d: str) -> DataFrame:
+    """Texts and first lines that hold a word of each topic, all topics in one scan."""
+    x = table(spark, d, "documents").select("text", F.split_part("text", F.lit("\n"), F.lit(1)).alias("first"))
+    parts = [F.struct(F.lit(n).alias("topic"), F.count_if(topic(F.col("text"), w)).alias("in_text"), F.count_if(topic(F.col("first"), w)).alias("in_first_line")) for n, w in _TOPICS.items()]
+    return x.agg(F.array(*parts).alias("x")).select(F.inline("x"))
+
+
+@query("""WITH g AS (SELECT sha256(text) AS h, count(*) AS n FROM documents WHERE text IS NOT NULL GROUP BY 1 HAVING count(*) > 1) SELECT count(*) AS groups, coalesce(sum(n), 0)::BIGINT AS records, coalesce(sum(n - 1), 0)::BIGINT AS beyond_first FROM g""")
+def exact_duplicates(spark: SparkSession, d: str) -> DataFrame:
+    return X.duplicate_groups(table(spark, d, "documents"), "text")
+
+
+_SKETCH = r"""WITH RECURSIVE w AS (SELECT doc_id, list_filter(string_split(trim(regexp_replace(lower(coalesce(text, '')), '[^\p{L}\p{N}_]+', ' ', 'g')), ' '), lambda x: x <> '') AS w FROM documents),
+s AS (SELECT doc_id AS id, list_sort(list_distinct(list_transform(range(1, len(w) - 3), lambda i: substr(sha256(array_to_string(w[i:i + 4], ' ')), 1, 16))))[1:32] AS sketch FROM w WHERE len(w) >= 5),
+classes AS (SELECT sketch, min(id) AS rep FROM s GROUP BY 1), members AS (SELECT id, rep FROM s JOIN classes USING (sketch)), h AS (SELECT rep, unnest(sketch) AS h FROM classes),
+pairs AS (SELECT x.rep AS a, y.rep AS b, count(*) AS shared FROM h x JOIN h y ON x.h = y.h AND x.rep < y.rep GROUP BY ALL HAVING count(*) >= 8)"""
+
+
+@query(f"{_SKETCH} SELECT a, b, shared FROM pairs")
+def near_copy_pairs(spark: SparkSession, d: str) -> DataFrame:
+    """Pairs between representatives of equal sketches."""
+    return X.near_copies(X.sketches(table(spark, d, "documents"), "doc_id", "text")[1])
+
+
+@query(f"{_SKETCH}, links AS (SELECT a, b FROM pairs UNION SELECT b, a FROM pairs), reach AS (SELECT a AS node, a AS other FROM links UNION SELECT r.node, l.b FROM reach r JOIN links l ON l.a = r.other), roots AS (SELECT node, min(other) AS root FROM reach GROUP BY 1) SELECT id, coalesce(root, rep) AS cluster FROM members LEFT JOIN roots ON node = rep")
+def near_copy_clusters(spark: SparkSession, d: str) -> DataFrame:
+    members, classes = X.sketches(table(spark, d, "documents"), "doc_id", "text")
+    return X.near_copy_clusters(members, X.near_copies(classes))
+
+
+@query(f"""WITH {E_SQL}, p AS (SELECT q.mention AS id, c.mention AS cid, (q.commodity = c.commodity)::INT + (q.district = c.district)::INT + (q.stage = c.stage)::INT AS matches, date_diff('day', c.date, q.date) AS gap
+  FROM e q JOIN e c ON q.kind = 'response' AND c.kind = 'disruption' AND ((q.commodity = c.commodity AND q.district = c.district) OR (q.commodity = c.commodity AND q.stage = c.stage) OR (q.district = c.district AND q.stage = c.stage))
+    AND date_diff('day', c.date, q.date) BETWEEN 1 AND {BAND} AND q.publisher <> c.publisher)
+SELECT id, cid, matches, place FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY matches DESC, gap, cid)::INT AS place FROM p) WHERE place <= 12""")
+def hard_candidates(spark: SparkSession, d: str) -> DataFrame:
+    """For each response the 12 best earlier disruptions of other publishers that agree in two traits."""
+    e = mentions(spark, d)
+    cols = ["commodity", "district", "stage", F.col("date").alias("day"), F.col("publisher").alias("family")]
+    p = X.structured_candidates(e.where("kind = 'response'").select(F.col("mention").alias("id"), *cols), e.where("kind = 'disruption'").select(F.col("mention").alias("cid"), *cols), ["commodity", "district", "stage"])
+    gap = F.datediff("q_day", "c_day")
+    from pyspark.sql import Window
+
+    p = p.where((gap >= 1) & (gap <= BAND) & (F.col("q_family") != F.col("c_family"))).withColumn("place", F.row_number().over(Window.partitionBy("id").orderBy(F.desc("matches"), gap, "cid")))
+    return p.where("place <= 12").select("id", "cid", "matches", "place")
+
+
+@query("""WITH t AS (SELECT doc_id, lang, source, sha256(doc_id::VARCHAR) AS h FROM documents), u AS (SELECT *, row_number() OVER (PARTITION BY lang, source ORDER BY h, doc_id) AS t FROM t)
+SELECT doc_id, lang, source, place FROM (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY t, h, doc_id)::INT AS place FROM u) WHERE place <= 40""")
+def stratified_sample(spark: SparkSession, d: str) -> DataFrame:
+    """Forty documents of each language, sources in turn."""
+    return X.stratified(table(spark, d, "documents").select("doc_id", "lang", "source"), ["lang"], "doc_id", 40, spread="source")
