@@ -8,6 +8,7 @@ from functools import reduce
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from chronoweave.functions.vocab import DISRUPTIONS, DISTRICTS, RESPONSES, WILDCARDS
 
@@ -61,7 +62,7 @@ def squeeze(c: Column) -> Column:
     return F.trim(F.regexp_replace(c, r"\s+", " "))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def nfkc(s: pd.Series) -> pd.Series:
     """Compatibility normal form; Spark has no such function."""
     return s.map(lambda x: None if x is None else unicodedata.normalize("NFKC", x))

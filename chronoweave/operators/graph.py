@@ -53,11 +53,12 @@ def rewrite_edges(edges: DataFrame, canonical: DataFrame, src: str = "src_id", d
 REGIMES = ("none", "event_time", "report_time")
 
 
-def admitted(regime: str | Column, tau: Column, event_time: Column = F.col("event_time"), available: Column = F.col("available_date")) -> Column:
+def admitted(regime: str | Column, tau: Column, event_time: str = "event_time", available: str = "available_date") -> Column:
     """Whether an edge may be seen at tau. An edge without both times is seen in no regime."""
     r = F.lit(regime) if isinstance(regime, str) else regime
-    both = event_time.isNotNull() & available.isNotNull()
-    return both & ((r == "none") | ((r == "event_time") & (event_time <= tau)) | ((r == "report_time") & (available <= tau)))
+    happened, known = F.col(event_time), F.col(available)
+    both = happened.isNotNull() & known.isNotNull()
+    return both & ((r == "none") | ((r == "event_time") & (happened <= tau)) | ((r == "report_time") & (known <= tau)))
 
 
 def masked_counts(edges: DataFrame, tau: Column) -> DataFrame:

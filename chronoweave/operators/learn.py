@@ -134,7 +134,7 @@ def gradient_error(mode: str, seed: int = 0) -> float:
     return worst
 
 
-def train_modes(edges: DataFrame, features: DataFrame, samples: DataFrame, n_features: int, classes: list[str], modes: tuple[str, ...] = MODES, seeds: int = 3, epochs: int = 60, rate: float = 0.5, hidden: int = 16) -> DataFrame:
+def train_modes(edges: DataFrame, features: DataFrame, samples: DataFrame, n_features: int, classes: list[str], modes: tuple[str, ...] = MODES, seeds: int = 3, epochs: int = 150, rate: float = 0.1, hidden: int = 16) -> DataFrame:
     """Rows (mode, seed, row, split, truth, pred): predictions of every sample by every model.
 
     `edges` (rel, src, dst) is the graph that may be seen, without the samples' own edges; `features` (node, values);
