@@ -207,7 +207,7 @@ def _verify(similarity: float):
     return run
 
 
-def jaccard_classes(docs: DataFrame, text: str = "text", key: str = "doc_id", size: int = 5, similarity: float = 0.8, recall: float = 0.995, leaf: int = 256, depth: int = 4, slack: float = 0.25) -> DataFrame:
+def jaccard_classes(docs: DataFrame, text: str = "text", key: str = "doc_id", size: int = 5, similarity: float = 0.8, recall: float = 0.9995, leaf: int = 256, depth: int = 3, slack: float = 0.25) -> DataFrame:
     """Rows (doc_id, class_id, n_links), one for each row of `docs`.
 
     n_links counts the other rows whose set has at least the similarity; class_id is the least key that links reach.

@@ -50,11 +50,11 @@ def entropy_spans(s: str) -> list[tuple[int, int]]:
     total, letters, digits, plain_hex, symbols = 0.0, 0, 0, 0, 0
     out: list[tuple[int, int]] = []
     for i, c in enumerate(s):
-        for ch, step in ((c, 1), (s[i - WINDOW] if i >= WINDOW else "", -1)):
+        for ch, step in ((s[i - WINDOW] if i >= WINDOW else "", -1), (c, 1)):
             if not ch:
                 continue
             n = counts.get(ch, 0)
-            total += _CLOG[n + step] - _CLOG[n] if 0 <= n + step <= WINDOW else 0.0
+            total += _CLOG[n + step] - _CLOG[n]
             counts[ch] = n + step
             letters += step * (ch.isalpha())
             digits += step * (ch.isdigit())
