@@ -3,11 +3,12 @@
 1. One pass over the texts keeps the places of the words that the benchmark uses, without those in a large share of
    its items; document frequencies are counted over all documents, and terms in more than `max_df` of them are
    dropped, but for the rarest of each item.
-2. Passages are overlapping windows of words, long enough that any item lies whole in one. Their TF-IDF rows A are
-   never stored: a distributed randomised SVD multiplies A'(A Omega) and then (AQ)'(AQ) by partition and adds up the
-   partial products, whose size depends on the benchmark alone. Rank: the number of items plus an oversample, at most
+2. Passages are windows of `LENGTH` words, one every `STRIDE`; items are cut into chunks that a window can hold, so
+   that a short item is not lost in a long passage and a long one still fills several. The TF-IDF rows A are never
+   stored: a distributed randomised SVD multiplies A'(A Omega) and then (AQ)'(AQ) by partition and adds up the
+   partial products, whose size depends on the benchmark alone. Rank: the number of chunks plus an oversample, at most
    `MAX_RANK`.
-3. Passages whose latent vector has at least the cosine `min_cosine` with an item's are candidates.
+3. Passages whose latent vector has at least the cosine `min_cosine` with an item's chunk are candidates.
 4. Candidates are read again from the text: the share of the item's words in the longest common subsequence with the
    passage must reach `min_lcs`; or `paraphrase_lcs`, if the item's answer (its last sentence) is there in order.
 
@@ -31,7 +32,7 @@ from pyspark.sql import functions as F
 
 from chronoweave.llm.common import checkpointed, small
 
-BLOCK_ITEMS, MAX_RANK, OVERSAMPLE, STRIDE = 2000, 256, 16, 32
+BLOCK_ITEMS, MAX_RANK, OVERSAMPLE, LENGTH, STRIDE, CHUNK = 2000, 256, 16, 64, 32, 48
 _WORD = re.compile(r"[^\W_]+")
 _SENTENCE = re.compile(r"[.!?\n]+")
 
@@ -65,6 +66,16 @@ def in_order(needle: list[str], hay: list[str]) -> bool:
     return all(w in it for w in needle)
 
 
+def stretches(start: int, size: int, n: int) -> set[tuple[int, int]]:
+    """Parts of a text of n words around a candidate place that may hold an item of `size` words: half as long again.
+
+    A subsequence scattered over a longer part would be made of common words.
+    """
+    wide, step = size + size // 2, max(1, size // 4)
+    low, high = max(0, start - LENGTH // 2), min(n, max(0, start + size + LENGTH + LENGTH // 2))
+    return {(p, min(n, p + wide)) for p in range(low // step * step, max(low + 1, high - size + step), step)}
+
+
 class Terms:
     """The benchmark's words: which are features, before the corpus is known."""
 
@@ -102,12 +113,13 @@ def _places(terms: Terms):
 
 
 class Space:
-    """Everything a task needs: weights of terms, passage length, latent basis, items in it."""
+    """Everything a task needs: weights of terms, passage length, latent basis, chunks of items in it."""
 
     def __init__(self, idf: np.ndarray, length: int):
         self.idf, self.length = idf.astype(np.float32), length
         self.basis: np.ndarray | None = None
-        self.items: np.ndarray | None = None
+        self.chunks: np.ndarray | None = None
+        self.owner: list[tuple[int, int]] = []  # item of each chunk, and where in it the chunk begins
 
     def rows(self, batch: pa.RecordBatch):
         """Passages of a batch: (row of the document, start, offsets, terms, weights), only those with a weight."""
@@ -219,9 +231,12 @@ def _candidates(shared, min_cosine: float):
                 low = cut[at]
                 z = space.project(space.basis, cut[at : at + 4000] - low, col[low:stop], weight[low:stop])
                 z /= np.maximum(np.linalg.norm(z, axis=1, keepdims=True), 1e-9)
-                near = z @ space.items.T
+                near = z @ space.chunks.T
                 for i, j in zip(*np.nonzero(near >= min_cosine), strict=True):
-                    found.setdefault((int(doc[at + i]), int(j)), {})[int(start[at + i])] = float(near[i, j])
+                    item, offset = space.owner[j]
+                    hits = found.setdefault((int(doc[at + i]), item), {})
+                    place = int(start[at + i]) - offset
+                    hits[place] = max(hits.get(place, 0.0), float(near[i, j]))
             if found:
                 keys = list(found)
                 yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array([d for d, _ in keys])), pa.array([j for _, j in keys], pa.int32()), pa.array([sorted(found[k]) for k in keys], pa.list_(pa.int32())), pa.array([max(found[k].values()) for k in keys], pa.float64())], names=["doc_id", "item", "starts", "cosine"])
@@ -229,7 +244,7 @@ def _candidates(shared, min_cosine: float):
     return run
 
 
-def _check(shared, length: int, min_lcs: float, paraphrase_lcs: float):
+def _check(shared, min_lcs: float, paraphrase_lcs: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         items, answers, ids = shared.value
         for batch in batches:
@@ -239,9 +254,9 @@ def _check(shared, length: int, min_lcs: float, paraphrase_lcs: float):
                 for hit in hits:
                     item, answer = items[hit["item"]], answers[hit["item"]]
                     best = (0.0, False)
-                    for start in hit["starts"]:
-                        passage = words[start : start + length]
-                        best = max(best, (lcs_length(item, passage) / len(item), in_order(answer, passage)))
+                    near = {p for start in hit["starts"] for p in stretches(start, len(item), len(words))}
+                    for low, high in sorted(near):
+                        best = max(best, (lcs_length(item, words[low:high]) / len(item), in_order(answer, words[low:high])))
                     if best[0] >= min_lcs or (best[0] >= paraphrase_lcs and best[1]):
                         out.append((i, ids[hit["item"]], hit["cosine"], *best))
             if out:
@@ -251,7 +266,7 @@ def _check(shared, length: int, min_lcs: float, paraphrase_lcs: float):
     return run
 
 
-def find_leaks(docs: DataFrame, benchmark: DataFrame, text: str = "text", key: str = "doc_id", item_key: str = "item_id", item_text: str = "text", max_df: float = 0.01, min_cosine: float = 0.45, min_lcs: float = 0.7, paraphrase_lcs: float = 0.55) -> DataFrame:
+def find_leaks(docs: DataFrame, benchmark: DataFrame, text: str = "text", key: str = "doc_id", item_key: str = "item_id", item_text: str = "text", max_df: float = 0.01, min_cosine: float = 0.35, min_lcs: float = 0.7, paraphrase_lcs: float = 0.55) -> DataFrame:
     """Rows (doc_id, item_id, cosine, lcs, answer): the items that each document holds."""
     spark = docs.sparkSession
     kind, item_kind = docs.schema[key].dataType.simpleString(), benchmark.schema[item_key].dataType.simpleString()
@@ -284,17 +299,21 @@ def _block(source: DataFrame, kind: str, item_kind: str, rows: list, total: int,
         often[own] = False
     idf[often] = 0
     idf[~often] = np.maximum(idf[~often], 0.1)
-    space = Space(idf, max(map(len, items)) + STRIDE)
-    basis, _ = randomised_svd(places, space, min(MAX_RANK, len(items) + OVERSAMPLE))
-    vectors = np.zeros((len(items), len(terms.words)), np.float32)
-    for i, t in enumerate(items):
-        for w, n in Counter(x for x in t if x in terms.index).items():
-            vectors[i, terms.index[w]] = idf[terms.index[w]] * (1 + math.log(n))
+    space = Space(idf, LENGTH)
+    chunks = [(i, at) for i, t in enumerate(items) for at in range(0, max(1, len(t) - CHUNK // 3), CHUNK)]
+    basis, _ = randomised_svd(places, space, min(MAX_RANK, len(chunks) + OVERSAMPLE))
+    vectors = np.zeros((len(chunks), len(terms.words)), np.float32)
+    for k, (i, at) in enumerate(chunks):
+        rest = len(items[i]) - at
+        own = items[i][at:] if rest < CHUNK + CHUNK // 3 else items[i][at : at + CHUNK]
+        for w, n in Counter(x for x in own if x in terms.index).items():
+            vectors[k, terms.index[w]] = idf[terms.index[w]] * (1 + math.log(n))
     latent = vectors @ basis
-    space.basis, space.items = basis, (latent / np.maximum(np.linalg.norm(latent, axis=1, keepdims=True), 1e-9)).astype(np.float32)
+    space.basis, space.owner = basis, chunks
+    space.chunks = (latent / np.maximum(np.linalg.norm(latent, axis=1, keepdims=True), 1e-9)).astype(np.float32)
     near = places.mapInArrow(_candidates(sc.broadcast(space), min_cosine), f"doc_id {kind}, item int, starts array<int>, cosine double")
     hits = checkpointed(near.groupBy("doc_id").agg(F.collect_list(F.struct("item", "starts", "cosine")).alias("hits")))
     texts = source.join(small(hits, 20_000), "doc_id").select("doc_id", "text", "hits")
     checked = sc.broadcast((items, [r[2] for r in rows], [r[0] for r in rows]))
-    found = texts.mapInArrow(_check(checked, space.length, min_lcs, paraphrase_lcs), f"doc_id {kind}, item_id {item_kind}, cosine double, lcs double, answer boolean")
+    found = texts.mapInArrow(_check(checked, min_lcs, paraphrase_lcs), f"doc_id {kind}, item_id {item_kind}, cosine double, lcs double, answer boolean")
     return found.groupBy("doc_id", "item_id").agg(F.max("cosine").alias("cosine"), F.max("lcs").alias("lcs"), F.max("answer").alias("answer"))
