@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chronoweave.functions.scalar import tags, token_set, topic
+from chronoweave.functions.scalar import nz, tags, token_set, topic
 from chronoweave.functions.vocab import TOPICS
 from chronoweave.operators import aggregates as A
 from chronoweave.operators import text as X
@@ -183,7 +183,12 @@ def tag_counts(spark: SparkSession, d: str) -> DataFrame:
 _TOPICS = TOPICS | {"function_words": ("the", "les", "der", "los"), "license": ("license", "licensed")}
 
 
-@query(" UNION ALL ".join(rf"SELECT '{n}' AS topic, count(*) FILTER (regexp_matches(text, '(?i)\b(?:{'|'.join(w)})\b')) AS in_text, count(*) FILTER (regexp_matches(string_split(text, chr(10))[1], '(?i)\b(?:{'|'.join(w)})\b')) AS in_first_line FROM documents" for n, w in _TOPICS.items()))
+def _screen_sql(text: str, words: tuple[str, ...]) -> str:
+    edge = r"[^\p{L}\p{N}_]"  # a word ends where no letter of any script follows
+    return rf"count(*) FILTER (regexp_matches({text}, '(?i)(?:^|{edge})(?:{'|'.join(words)})(?:$|{edge})'))"
+
+
+@query(" UNION ALL ".join(f"SELECT '{n}' AS topic, {_screen_sql('text', w)} AS in_text, {_screen_sql('string_split(text, chr(10))[1]', w)} AS in_first_line FROM documents" for n, w in _TOPICS.items()))
 def topic_screen(spark: SparkSession, d: str) -> DataFrame:
     """Texts and first lines that hold a word of each topic, all topics in one scan."""
     x = table(spark, d, "documents").select("text", F.split_part("text", F.lit("\n"), F.lit(1)).alias("first"))
@@ -235,3 +240,23 @@ SELECT doc_id, lang, source, place FROM (SELECT *, row_number() OVER (PARTITION
 def stratified_sample(spark: SparkSession, d: str) -> DataFrame:
     """Forty documents of each language, sources in turn."""
     return X.stratified(table(spark, d, "documents").select("doc_id", "lang", "source"), ["lang"], "doc_id", 40, spread="source")
+
+
+@query("""WITH p AS (SELECT lang, n_chars, sha256(text) AS h FROM documents WHERE text IS NOT NULL), f AS (SELECT h, min(lang) AS lang, min(n_chars) AS n_chars FROM p GROUP BY 1)
+SELECT lang, CASE WHEN n_chars < 500 THEN 'short' WHEN n_chars < 5000 THEN 'middle' ELSE 'long' END AS size, count(*) AS pool FROM f GROUP BY ALL""")
+def strata_counts(spark: SparkSession, d: str) -> DataFrame:
+    """Sizes of the strata of the pool without exact duplicates."""
+    f = table(spark, d, "documents").where("text is not null").groupBy(F.sha2(F.col("text").cast("binary"), 256).alias("h")).agg(F.min("lang").alias("lang"), F.min("n_chars").alias("n_chars"))
+    size = F.when(F.col("n_chars") < 500, F.lit("short")).when(F.col("n_chars") < 5000, F.lit("middle")).otherwise(F.lit("long"))
+    return f.groupBy("lang", size.alias("size")).agg(F.count("*").alias("pool"))
+
+
+@query("""WITH s AS (SELECT doc_id, i AS sentence_id, l[i] AS text FROM (SELECT doc_id, l, unnest(range(1, len(l) + 1)) AS i FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents WHERE text IS NOT NULL))),
+ev AS (SELECT doc_id, (doc_id % 5 + 1) AS sentence_id, CASE WHEN doc_id % 3 = 0 THEN 'given' ELSE '' END AS quote FROM documents)
+SELECT ev.doc_id, coalesce(nullif(trim(ev.quote), ''), s.text, '') AS quote FROM ev LEFT JOIN s USING (doc_id, sentence_id)""")
+def quote_lookup(spark: SparkSession, d: str) -> DataFrame:
+    """The evidence of an event: its own quote, else the sentence that it names, else nothing."""
+    docs = table(spark, d, "documents")
+    s = docs.where("text is not null").select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("p", "sentence")).select("doc_id", (F.col("p") + 1).cast("bigint").alias("sentence_id"), "sentence")
+    ev = docs.select("doc_id", (F.col("doc_id") % 5 + 1).alias("sentence_id"), F.when(F.col("doc_id") % 3 == 0, F.lit("given")).otherwise(F.lit("")).alias("own"))
+    return ev.join(s, ["doc_id", "sentence_id"], "left").select("doc_id", F.coalesce(nz(F.col("own")), "sentence", F.lit("")).alias("quote"))
