@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from chronoweave.functions.scalar import jaccard, sketch
 from chronoweave.operators.graph import components, stable
+from chronoweave.operators.ranking import band_pairs
 
 QUOTES_AT_ONCE = 100_000
 
@@ -61,9 +62,17 @@ def sketches(df: DataFrame, key: str, text: str, size: int = 5, keep: int = 32)
 
 def near_copies(classes: DataFrame, least: int = 8) -> DataFrame:
     """Rows (a, b, shared), a < b: representatives that share at least `least` sketch hashes."""
-    h = classes.select("rep", F.explode("sketch").alias("h"))
-    x, y = h.toDF("a", "h"), h.toDF("b", "h")
-    return x.join(y, "h").where("a < b").groupBy("a", "b").agg(F.count("*").alias("shared")).where(F.col("shared") >= least)
+    # a pair that shares `least` hashes shares one outside the least-1 most frequent of either side: only those are
+    # joined, so that a hash of very many texts makes no pairs by itself
+    h = classes.select("rep", F.size("sketch").alias("k"), F.explode("sketch").alias("h"))
+    often = h.groupBy("h").agg(F.count("*").alias("c")).where("c > 1")
+    rare = h.join(often, "h").withColumn("n", F.row_number().over(Window.partitionBy("rep").orderBy("c", "h"))).withColumn("shared", F.count("*").over(Window.partitionBy("rep")))
+    rare = stable(rare.where(F.col("n") <= F.col("shared") - least + 1).select("rep", "h"))
+    x, y = rare.toDF("a", "h"), rare.toDF("b", "h")
+    pairs = x.join(y, "h").where("a < b").select("a", "b").distinct()
+    own = classes.select("rep", "sketch")
+    both = pairs.join(own.toDF("a", "sa"), "a").join(own.toDF("b", "sb"), "b")
+    return both.select("a", "b", F.size(F.array_intersect("sa", "sb")).cast("bigint").alias("shared")).where(F.col("shared") >= least)
 
 
 def near_copy_clusters(members: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -100,23 +109,25 @@ def stratified(df: DataFrame, strata: list[str], key: str, quota: int | Column,
     return x.withColumn("place", F.row_number().over(order)).where(F.col("place") <= quota).drop("_h", "_t")
 
 
-def structured_candidates(q: DataFrame, c: DataFrame, traits: list[str], need: int = 2) -> DataFrame:
-    """Pairs of a query and a candidate that agree in at least `need` traits, once each.
+def structured_candidates(q: DataFrame, c: DataFrame, traits: list[str], width: int, need: int = 2) -> DataFrame:
+    """Rows (id, cid, matches, gap): pairs that agree in at least `need` traits, once each, the candidate 1 to `width` days earlier and of another family.
 
-    Joins on each combination of `need` traits; a pair is kept by the first combination in which it agrees. The
-    queries have id, candidates cid; both have the traits.
+    Queries have id, candidates cid; both have day, family and the traits. Each combination of `need` traits is joined
+    within bins of days; a pair is kept by the first combination in which it agrees.
     """
     from itertools import combinations
 
-    left, right = q.alias("q"), c.alias("c")
-    same = {t: F.col(f"q.{t}") == F.col(f"c.{t}") for t in traits}
+    right = c.select("cid", F.col("day").alias("c_day"), F.col("family").alias("c_family"), *[F.col(t).alias(f"c_{t}") for t in traits])
     parts, seen = [], F.lit(False)
+    matches = sum((F.coalesce((F.col(t) == F.col(f"c_{t}")).cast("int"), F.lit(0)) for t in traits), F.lit(0))
     for combo in combinations(traits, need):
-        on = F.lit(True)
+        keyed = right.withColumns({t: F.col(f"c_{t}") for t in combo})
+        pairs = band_pairs(q, keyed, list(combo), "day", "c_day", width).where("day > c_day and family <> c_family")
+        parts.append(pairs.where(~F.coalesce(seen, F.lit(False))).select("id", "cid", matches.alias("matches"), F.datediff("day", "c_day").alias("gap")))
+        same = F.lit(True)
         for t in combo:
-            on = on & same[t]
-        parts.append(left.join(right, on).where(~F.coalesce(seen, F.lit(False))).withColumn("matches", sum((F.coalesce(s.cast("int"), F.lit(0)) for s in same.values()), F.lit(0))).select("q.id", "c.cid", "matches", F.col("q.day").alias("q_day"), F.col("c.day").alias("c_day"), F.col("q.family").alias("q_family"), F.col("c.family").alias("c_family")))
-        seen = seen | on
+            same = same & (F.col(t) == F.col(f"c_{t}"))
+        seen = seen | same
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)

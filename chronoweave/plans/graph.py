@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from chronoweave.operators import aggregates as A
@@ -233,27 +233,37 @@ _RESP = f"""{_NODES}, x AS (SELECT *, min(report_time) OVER (PARTITION BY actor)
   FROM x a JOIN x b ON a.actor = b.actor AND a.commodity = b.commodity AND a.kind = 'response' AND b.kind = 'disruption' AND b.report_time <= a.report_time)"""
 
 
-def _co(spark: SparkSession, d: str) -> DataFrame:
-    """Responses and earlier-reported disruptions of the same actor and commodity."""
-    t = order_mentions(spark, d).select("mention", "article", "publisher", "actor", "commodity", "kind", "report_time")
-    a, b = t.where("kind = 'response'").alias("a"), t.where("kind = 'disruption'").alias("b")
-    j = a.join(b, (F.col("a.actor") == F.col("b.actor")) & (F.col("a.commodity") == F.col("b.commodity"))).where("b.report_time <= a.report_time")
-    return j.select(F.col("a.mention").alias("response"), F.col("b.mention").alias("target"), F.expr("a.article = b.article").alias("same_article"), F.expr("a.publisher = b.publisher").alias("same_publisher"), F.datediff("a.report_time", "b.report_time").alias("gap"))
+def _gaps(spark: SparkSession, d: str, by: list[str]) -> DataFrame:
+    """Rows (gap, w): pairs of a response and an earlier-reported disruption that agree in `by`, from histograms by day."""
+    t = order_mentions(spark, d)
+    day = F.unix_date("report_time")
+    count = lambda kind, n: t.where(F.col("kind") == kind).groupBy(*by, day.alias(f"{n}_day")).agg(F.count("*").alias(n))
+    j = count("response", "r").join(count("disruption", "x"), by).where("x_day <= r_day")
+    return j.groupBy((F.col("r_day") - F.col("x_day")).alias("gap")).agg(F.sum(F.col("r") * F.col("x")).alias("w"))
 
 
 @query(f"""{_RESP} SELECT count(*) AS pairs, count(*) FILTER (same_article) AS same_article, count(*) FILTER (same_publisher) AS same_publisher, list_sort(list(gap))[count(*) // 4 + 1]::INT AS p25,
   list_sort(list(gap))[count(*) // 2 + 1]::INT AS median, list_sort(list(gap))[9 * count(*) // 10 + 1]::INT AS p90 FROM co""")
 def co_reporting(spark: SparkSession, d: str) -> DataFrame:
-    c = _co(spark, d).groupBy("gap").agg(F.count("*").alias("w"), F.count_if("same_article").alias("sa"), F.count_if("same_publisher").alias("sp"))
-    q = A.discrete_quantiles(c, "gap", {"p25": (1, 4), "median": (1, 2), "p90": (9, 10)}, weight="w").withColumnRenamed("n", "pairs")
-    return q.crossJoin(c.agg(F.coalesce(F.sum("sa"), F.lit(0)).alias("same_article"), F.coalesce(F.sum("sp"), F.lit(0)).alias("same_publisher")))
+    """Pairs of the same actor and commodity: how many share an article or a publisher, and their gaps."""
+    q = A.discrete_quantiles(_gaps(spark, d, ["actor", "commodity"]), "gap", {"p25": (1, 4), "median": (1, 2), "p90": (9, 10)}, weight="w").withColumnRenamed("n", "pairs")
+    same = lambda key, name: _gaps(spark, d, ["actor", "commodity", key]).agg(F.coalesce(F.sum("w"), F.lit(0)).alias(name))
+    return q.crossJoin(same("article", "same_article")).crossJoin(same("publisher", "same_publisher"))  # one row each
 
 
 @query(f"""{_RESP}, p AS (SELECT target, bool_and(same_article) AS all_same, bool_or(NOT same_article) AS any_cross, count(*) AS n FROM co GROUP BY 1)
 SELECT count(*) AS targets, count(*) FILTER (all_same) AS all_same_article, count(*) FILTER (any_cross) AS any_cross_article, max(n) AS most_responses FROM p""")
 def per_disruption_reporting(spark: SparkSession, d: str) -> DataFrame:
-    p = _co(spark, d).groupBy("target").agg(F.bool_and("same_article").alias("s"), F.bool_or(~F.col("same_article")).alias("c"), F.count("*").alias("n"))
-    return p.agg(F.count("*").alias("targets"), F.count_if("s").alias("all_same_article"), F.count_if("c").alias("any_cross_article"), F.max("n").alias("most_responses"))
+    """Disruptions all of whose responses come from their own article, and those with one from another."""
+    t = order_mentions(spark, d).withColumn("day", F.unix_date("report_time"))
+    res, dis = F.count_if(F.col("kind") == "response"), F.count_if(F.col("kind") == "disruption")
+    h = t.groupBy("actor", "commodity", "article", "day").agg(res.alias("own"), dis.alias("dis"))
+    per_day = h.groupBy("actor", "commodity", "day").agg(F.sum("own").alias("r"))
+    after = Window.partitionBy("actor", "commodity").orderBy("day").rowsBetween(0, Window.unboundedFollowing)
+    per_day = per_day.withColumn("n", F.sum("r").over(after)).drop("r")
+    p = h.where("dis > 0").join(per_day, ["actor", "commodity", "day"]).where("n > 0")
+    total = lambda ok: F.coalesce(F.sum(F.when(ok, F.col("dis")).otherwise(0)), F.lit(0))
+    return p.agg(F.coalesce(F.sum("dis"), F.lit(0)).alias("targets"), total(F.col("own") == F.col("n")).alias("all_same_article"), total(F.col("own") < F.col("n")).alias("any_cross_article"), F.max("n").alias("most_responses"))
 
 
 @query(f"""{_NODES}, fin AS (SELECT max(report_time) AS fin FROM t) SELECT h AS horizon, count(*) AS events, count(*) FILTER (date_diff('day', report_time, fin) >= h) AS observed FROM t, fin, (VALUES (30), (90), (180)) v(h) WHERE kind = 'disruption' GROUP BY 1""")

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from chronoweave.operators import stats as S
+from chronoweave.operators.ranking import position
 from chronoweave.plans.bindings import E_SQL, mentions
 from chronoweave.plans.registry import query
 
@@ -20,7 +21,7 @@ def _items(spark: SparkSession, d: str) -> DataFrame:
     """One row for each user that has both kinds."""
     g = mentions(spark, d).groupBy(F.col("user").alias("item")).agg(F.avg(F.when(F.col("kind") == "disruption", F.col("confidence"))).alias("a"), F.avg(F.when(F.col("kind") == "response", F.col("confidence"))).alias("b"))
     g = g.where("a is not null and b is not null").withColumn("d", F.round(F.col("a") - F.col("b"), 6))
-    return g.withColumn("pos", (F.row_number().over(Window.orderBy("item")) - 1).cast("bigint"))  # test items: as many as there are users
+    return position(g.withColumn("block", F.floor(F.col("item") / 1000)), "block", ["item"]).drop("block", "total")
 
 
 @query(f"{_ITEMS} SELECT count(*) AS n, round(avg(d), 9) AS mean_diff, round(avg(d) / stddev_samp(d), 9) AS dz, count(*) FILTER (d > 0) AS wins, count(*) FILTER (d < 0) AS losses, count(*) FILTER (d = 0) AS ties FROM x")

@@ -227,11 +227,10 @@ def hard_candidates(spark: SparkSession, d: str) -> DataFrame:
     """For each response the 12 best earlier disruptions of other publishers that agree in two traits."""
     e = mentions(spark, d)
     cols = ["commodity", "district", "stage", F.col("date").alias("day"), F.col("publisher").alias("family")]
-    p = X.structured_candidates(e.where("kind = 'response'").select(F.col("mention").alias("id"), *cols), e.where("kind = 'disruption'").select(F.col("mention").alias("cid"), *cols), ["commodity", "district", "stage"])
-    gap = F.datediff("q_day", "c_day")
+    p = X.structured_candidates(e.where("kind = 'response'").select(F.col("mention").alias("id"), *cols), e.where("kind = 'disruption'").select(F.col("mention").alias("cid"), *cols), ["commodity", "district", "stage"], BAND)
     from pyspark.sql import Window
 
-    p = p.where((gap >= 1) & (gap <= BAND) & (F.col("q_family") != F.col("c_family"))).withColumn("place", F.row_number().over(Window.partitionBy("id").orderBy(F.desc("matches"), gap, "cid")))
+    p = p.withColumn("place", F.row_number().over(Window.partitionBy("id").orderBy(F.desc("matches"), "gap", "cid")))
     return p.where("place <= 12").select("id", "cid", "matches", "place")
 
 
