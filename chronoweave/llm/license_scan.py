@@ -12,8 +12,9 @@ repeated rows too. An empty table gives an empty result. Other columns are not r
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 THRESHOLD = 0.8
@@ -46,6 +47,10 @@ def bounds(m: int, threshold: float) -> tuple[float, float]:
     return m * threshold / (2 - threshold), m * (2 - threshold) / threshold
 
 
+def let(value: Column, then: Callable[[Column], Column]) -> Column:
+    return F.get(F.transform(F.array(value), then), F.lit(0))
+
+
 def scan_licenses(docs: DataFrame, templates: dict[str, str] = TEMPLATES, threshold: float = THRESHOLD, text: str = "text", key: str = "doc_id") -> DataFrame:
     """Rows (key, unit, license, dice, n): unit is -1 for the whole text, else the number of the line."""
     grams = {name: b for name, t in sorted(templates.items()) if (b := bigrams(t))}
@@ -55,14 +60,23 @@ def scan_licenses(docs: DataFrame, templates: dict[str, str] = TEMPLATES, thresh
     low, high = min(a for a, _ in limits.values()), max(b for _, b in limits.values())
     table = F.array(*[F.struct(F.lit(n).alias("license"), F.lit(limits[n][0] - 1e-9).alias("lo"), F.lit(limits[n][1] + 1e-9).alias("hi"), F.lit(len(b)).alias("m"), F.array(*map(F.lit, b)).alias("grams")) for n, b in grams.items()])
 
-    plain = docs.select(F.col(key), F.regexp_replace(F.lower(F.col(text)), r"[^\p{L}\p{N}\n]+", " ").alias("t")).where("t is not null")
-    lines = F.split("t", "\n", -1)
-    units = plain.select(key, F.posexplode(F.concat(F.array(F.regexp_replace("t", r"\s+", " ")), lines)).alias("p", "u"))
-    # distinct bigrams are at most the words less one; a line of few words goes before its bigrams are made
-    units = units.select(key, (F.col("p") - 1).alias("unit"), F.split(F.trim("u"), " ", -1).alias("w")).where(F.size("w") - 1 >= low - 1e-9)
-    pairs = F.array_distinct(F.zip_with(F.slice("w", 1, F.size("w") - 1), F.expr("slice(w, 2, size(w))"), lambda a, b: F.concat_ws(" ", a, b)))
-    units = units.select(key, "unit", pairs.alias("g")).withColumn("n", F.size("g")).where((F.col("n") >= low - 1e-9) & (F.col("n") <= high + 1e-9))
-    near = F.filter(table, lambda t: (F.col("n") >= t["lo"]) & (F.col("n") <= t["hi"]))
-    scored = F.transform(near, lambda t: F.struct((-2.0 * F.size(F.array_intersect("g", t["grams"])) / (F.col("n") + t["m"])).alias("minus"), t["license"].alias("license")))
-    best = units.withColumn("best", F.array_min(scored)).where(F.col("best.minus") <= -threshold + 1e-9)
-    return best.select(key, "unit", F.col("best.license").alias("license"), (-F.col("best.minus")).alias("dice"), "n")
+    # `let` binds a value to a variable: an expression that is named twice would be computed twice, and inside a
+    # lambda once for each template
+    plain = F.regexp_replace(F.lower(F.col(text)), r"[^\p{L}\p{N}\n]+", " ")
+    parts = let(plain, lambda t: F.concat(F.array(F.translate(t, "\n", " ")), F.split(t, "\n", -1)))
+    units = docs.where(F.col(text).isNotNull()).select(F.col(key), F.posexplode(parts).alias("p", "u"))
+
+    def grams_of(w: Column) -> Column:
+        # a unit of d distinct words has at least d - 1 distinct bigrams, and at most its words less one
+        fits = (F.size(w) - 1 >= low - 1e-9) & (F.size(F.array_distinct(w)) - 1 <= high + 1e-9)
+        pairs = F.zip_with(F.slice(w, 1, F.size(w) - 1), F.slice(w, 2, F.size(w) - 1), lambda a, b: F.concat(a, F.lit(" "), b))
+        return F.when(fits, F.array_distinct(pairs))
+
+    def best_of(g: Column) -> Column:
+        near = F.filter(table, lambda t: (F.size(g) >= t["lo"]) & (F.size(g) <= t["hi"]))
+        scored = F.transform(near, lambda t: F.struct((-2.0 * F.size(F.array_intersect(g, t["grams"])) / (F.size(g) + t["m"])).alias("minus"), t["license"].alias("license"), F.size(g).alias("n")))
+        return F.array_min(F.filter(scored, lambda x: x["minus"] <= -threshold + 1e-9))
+
+    best = let(let(F.split(F.trim(F.regexp_replace("u", " +", " ")), " ", -1), grams_of), best_of)
+    found = units.select(key, (F.col("p") - 1).alias("unit"), best.alias("best")).where("best is not null")
+    return found.select(key, "unit", F.col("best.license").alias("license"), (-F.col("best.minus")).alias("dice"), F.col("best.n").alias("n"))
