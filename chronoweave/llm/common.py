@@ -32,6 +32,13 @@ def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
+def map_texts(df: DataFrame, key: str, column: str, fn: Callable, columns: str) -> DataFrame:
+    """Runs `fn` over frames (key, text) and returns (key, columns). Keys travel as text: a null would turn whole numbers into floats."""
+    kind = df.schema[key].dataType.simpleString()
+    out = df.select(F.col(key).cast("string").alias("key"), F.col(column).alias("text")).mapInPandas(fn, f"key string, {columns}")
+    return out.select(F.col("key").cast(kind).alias(key), *out.columns[1:])
+
+
 def words(text: str | None) -> list[str]:
     """Lower-cased words between white space."""
     return text.lower().split() if text else []
@@ -76,8 +83,9 @@ def shingles(hashes: np.ndarray, size: int) -> np.ndarray:
     return np.unique(mix(out))
 
 
-def grouped(df: DataFrame, keys: list[str], order: list[str], fn: Callable[[pa.Table], pa.Table | None], schema: str) -> DataFrame:
+def grouped(df: DataFrame, keys: list[str], order: list[str], fn: Callable[[pa.Table], pa.Table | None], schema: str, tasks: int | None = None) -> DataFrame:
     """`fn` gets the rows of each key together. Keys must be such that a group fits in memory.
+    `tasks` fixes the number of tasks, for groups of few bytes and much work.
 
     Groups stream through sorted partitions, which costs far less for each small group than applyInPandas.
     """
@@ -111,4 +119,5 @@ def grouped(df: DataFrame, keys: list[str], order: list[str], fn: Callable[[pa.T
         if held:
             yield from emit(pa.concat_tables(held))
 
-    return df.repartition(*keys).sortWithinPartitions(*keys, *order).mapInArrow(run, schema)
+    dealt = df.repartition(tasks, *keys) if tasks else df.repartition(*keys)
+    return dealt.sortWithinPartitions(*keys, *order).mapInArrow(run, schema)

@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from chronoweave.llm.common import WordHashes, checkpointed, grouped, mix, shingles, small, words
+from chronoweave.llm.common import WordHashes, checkpointed, grouped, map_texts, mix, shingles, small, words
 from chronoweave.llm.components import connected_components
 
 COORDS = 64
@@ -89,7 +89,7 @@ def _sketch(col: str, size: int, runs: int, depth: int):
                 low = (sig & np.uint64(0xFFFF)).astype(np.uint16)
                 for k, i in enumerate(full):
                     digest[i], bits[i], path[i] = xxhash.xxh3_128_digest(sets[i].tobytes()), low[k].tobytes(), paths[k]
-                yield pd.DataFrame({"doc_id": part["doc_id"], "fp": digest, "n": [len(s) for s in sets], "sig": bits, "path": path})
+                yield pd.DataFrame({"key": part["key"], "fp": digest, "n": [len(s) for s in sets], "sig": bits, "path": path})
 
     return run
 
@@ -214,8 +214,7 @@ def jaccard_classes(docs: DataFrame, text: str = "text", key: str = "doc_id", si
     """
     runs = runs_for(similarity, depth, recall)
     source = docs.select(F.col(key).alias("doc_id"), F.col(text).alias("text"))
-    kind = docs.schema[key].dataType.simpleString()
-    sketch = checkpointed(source.mapInPandas(_sketch("text", size, runs, depth), f"doc_id {kind}, fp binary, n int, sig binary, path array<bigint>"))
+    sketch = checkpointed(map_texts(source, "doc_id", "text", _sketch("text", size, runs, depth), "fp binary, n int, sig binary, path array<bigint>"))
     reps = checkpointed(sketch.where("fp is not null").groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("copies"), F.first("n").alias("n"), F.first("sig").alias("sig"), F.first("path").alias("path")))
 
     open_ = reps.select("fp", "n", F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(runs - 1)), lambda r: F.slice("path", r * depth + 1, F.lit(depth)))).alias("run", "path"))

@@ -27,6 +27,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from chronoweave.llm.common import map_texts
+
 SWITCH = 12.0
 FLOOR = 6.0
 #: Unicode ranges of scripts; fixed values.
@@ -200,7 +202,6 @@ def identify(docs: DataFrame, model: LanguageModel, text: str = "text", key: str
         predictor = Predictor(shared.value)
         for frame in frames:
             found = [predictor.predict(t) for t in frame["text"]]
-            yield pd.DataFrame({key: frame[key], "lang_pred": [a for a, _ in found], "score": [b for _, b in found]})
+            yield pd.DataFrame({"key": frame["key"], "lang_pred": [a for a, _ in found], "score": [b for _, b in found]})
 
-    kind = docs.schema[key].dataType.simpleString()
-    return docs.select(F.col(key), F.col(text).alias("text")).mapInPandas(run, f"{key} {kind}, lang_pred string, score double")
+    return map_texts(docs, key, text, run, "lang_pred string, score double")

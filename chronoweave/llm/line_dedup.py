@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from chronoweave.llm.common import checkpointed, grouped, small
+from chronoweave.llm.common import checkpointed, grouped, map_texts, small
 
 MIN_WORDS = 50
 
@@ -47,7 +47,7 @@ def _lines(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for text in part["text"]:
                 lines = [(s, len(s.split())) for s in map(str.strip, (text or "").split("\n")) if s]
                 rows.append((_hash(text or ""), [_hash(s) for s, _ in lines], [n for _, n in lines]))
-            yield pd.DataFrame({"doc": part["doc"], "th": [r[0] for r in rows], "lines": [r[1] for r in rows], "words": [r[2] for r in rows]})
+            yield pd.DataFrame({"key": part["key"], "th": [r[0] for r in rows], "lines": [r[1] for r in rows], "words": [r[2] for r in rows]})
 
 
 def _suffixes(min_words: int):
@@ -118,7 +118,7 @@ def repeated_runs(docs: DataFrame, min_words: int = MIN_WORDS, text: str = "text
     """Rows (doc, th, pos, m): m lines from the pos-th line with words of a document are a later copy."""
     kind = docs.schema[key].dataType.simpleString()
     # no stretch position is needed for rows that repeat a document, but they would count twice: grouped by (doc, th) below
-    lines = checkpointed(docs.select(F.col(key).alias("doc"), F.col(text).alias("text")).mapInPandas(_lines, f"doc {kind}, th bigint, lines array<bigint>, words array<int>").where("size(lines) > 0"))
+    lines = checkpointed(map_texts(docs.select(F.col(key).alias("doc"), F.col(text).alias("text")), "doc", "text", _lines, "th bigint, lines array<bigint>, words array<int>").where("size(lines) > 0"))
     # an occurrence is a (document, line); repeated rows of one document do not make a line repeated in the result,
     # as _suffixes drops them, so counting them here only lets through a few stretches that turn out unique
     repeated = lines.select(F.explode("lines").alias("line")).groupBy("line").count().where("count > 1").select("line")

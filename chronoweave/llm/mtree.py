@@ -23,8 +23,10 @@ from pyspark.sql import functions as F
 
 from chronoweave.llm.common import grouped
 
-SHARD_ROWS, QUERY_BLOCK, PAGE = 16_384, 4096, 256
+SHARD_ROWS, QUERY_BLOCK, PAGE = 16_384, 1024, 256
 SLACK = 1e-6
+#: Cells are few bytes and much work, so each gets a task of its own up to this number.
+MAX_TASKS = 10_000
 
 
 class MTree:
@@ -155,6 +157,6 @@ def top_inner_products(vectors: DataFrame, is_query: str, k: int, key: str = "ve
     every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
     data = whole.select("id", "v", F.lit(False).alias("query"), F.pmod(F.xxhash64("id", "v"), F.lit(shards)).alias("shard"), every(blocks).alias("block"))
     asked = whole.where("query").select("id", "v", F.lit(True).alias("query"), every(shards).alias("shard"), F.pmod(F.xxhash64(F.lit(1), "id"), F.lit(blocks)).alias("block"))
-    found = grouped(data.unionByName(asked), ["shard", "block"], [], _cell(k, facts["top"]), "query_id bigint, vec_id bigint, score bigint")
+    found = grouped(data.unionByName(asked), ["shard", "block"], [], _cell(k, facts["top"]), "query_id bigint, vec_id bigint, score bigint", min(shards * blocks, MAX_TASKS))
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")  # Spark limits each task's groups to k before the shuffle
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")

@@ -12,14 +12,14 @@ table gives an empty result; other columns are not read.
 
 from __future__ import annotations
 
-import hashlib
 import re
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
+
+from chronoweave.llm.common import map_texts
 
 KINDS = ("email", "ip", "card", "phone")
 WINDOW, STRIDE = 64, 32
@@ -347,11 +347,6 @@ def find_pii(docs: DataFrame, tagger: Tagger, text: str = "text", key: str = "do
             texts = [t or "" for t in frame["text"]]
             base = [base_spans(t) for t in texts]
             more = method_spans(texts, shared.value, base)
-            yield pd.DataFrame({key: frame[key], "base": [_joined(b) for b in base], "spans": [_joined(b + m) for b, m in zip(base, more, strict=True)]})
-
-    kind = docs.schema[key].dataType.simpleString()
-    return docs.select(F.col(key), F.col(text).alias("text")).mapInPandas(run, f"{key} {kind}, base string, spans string")
-
+            yield pd.DataFrame({"key": frame["key"], "base": [_joined(b) for b in base], "spans": [_joined(b + m) for b, m in zip(base, more, strict=True)]})
 
-def digest(text: str) -> str:
-    return hashlib.sha256(text.encode()).hexdigest()
+    return map_texts(docs, key, text, run, "base string, spans string")

@@ -36,7 +36,7 @@ def op5_lang_id(spark: SparkSession, d: str) -> DataFrame:
     docs = table(spark, d, "documents")
     model = lang_id.train(docs, ~F.expr(HELD_OUT))
     found = lang_id.identify(docs, model)
-    return found.select("doc_id", F.expr(HELD_OUT).alias("held_out"), "lang_pred", "score")
+    return found.select("doc_id", F.coalesce(F.expr(HELD_OUT), F.lit(False)).alias("held_out"), "lang_pred", "score")
 
 
 def op6_line_dedup(spark: SparkSession, d: str) -> DataFrame:

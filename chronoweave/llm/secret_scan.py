@@ -12,14 +12,14 @@ results, an empty table an empty one; other columns are not read.
 
 from __future__ import annotations
 
-import hashlib
 import math
 import re
 from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
+
+from chronoweave.llm.common import map_texts
 
 KINDS = ("assign", "access", "hex", "entropy")
 WINDOW = 20
@@ -114,11 +114,6 @@ def scan_secrets(docs: DataFrame, text: str = "text", key: str = "doc_id", allow
         scanner = Scanner(allowed_strings, allowed_patterns)
         for frame in frames:
             found = [scanner.spans(t) for t in frame["text"]]
-            yield pd.DataFrame({key: frame[key], "base": [_joined(b) for b, _ in found], "spans": [_joined(b + m) for b, m in found]})
-
-    kind = docs.schema[key].dataType.simpleString()
-    return docs.select(F.col(key), F.col(text).alias("text")).mapInPandas(run, f"{key} {kind}, base string, spans string")
-
+            yield pd.DataFrame({"key": frame["key"], "base": [_joined(b) for b, _ in found], "spans": [_joined(b + m) for b, m in found]})
 
-def digest(text: str) -> str:
-    return hashlib.sha256(text.encode()).hexdigest()
+    return map_texts(docs, key, text, run, "base string, spans string")

@@ -15,7 +15,8 @@ from collections.abc import Iterable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
+
+from chronoweave.llm.common import map_texts
 
 MAX_RULES = 5_000_000
 _ASCII_LOWER = {c: c + 32 for c in range(65, 91)}
@@ -75,9 +76,8 @@ def filter_urls(pages: DataFrame, rules: list[tuple[str, str, str]], key: str =
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         match = trie.value.match
         for frame in frames:
-            parts = [split_url(u) for u in frame["url"]]
+            parts = [split_url(u) for u in frame["text"]]
             hits = [match(h, p) for h, p in parts]
-            yield pd.DataFrame({key: frame[key], "host": [h for h, _ in parts], "path": [p for _, p in parts], "rule": [h and h[0] for h in hits], "verdict": [h[1] if h else default for h in hits]})
+            yield pd.DataFrame({"key": frame["key"], "host": [h for h, _ in parts], "path": [p for _, p in parts], "rule": [h and h[0] for h in hits], "verdict": [h[1] if h else default for h in hits]})
 
-    kind = pages.schema[key].dataType.simpleString()
-    return pages.select(F.col(key), F.col(url).alias("url")).mapInPandas(run, f"{key} {kind}, host string, path string, rule string, verdict string")
+    return map_texts(pages, key, url, run, "host string, path string, rule string, verdict string")

@@ -25,6 +25,7 @@ def rows(seed=0):
     texts += ["\n".join([shared, "", passage(rnd, 5), shared]), passage(rnd, 20000), "x" * 200_000]
     out = [(i, t, rnd.choice(["en", "fr", None]), rnd.choice(["s0", "s0", "s1", None]), None if t is None else len(t), "p", 1, 2, 3) for i, t in enumerate(texts)]
     out += [out[7], out[0]]  # repeated rows
+    out.append((2**60 + 1, "a large key", "en", "s1", 5, None, None, None, None))
     out.append((None, "without a key", "en", "s1", 5, None, None, None, None))
     return out
 
