@@ -8,7 +8,8 @@
    stored: a distributed randomised SVD multiplies A'(A Omega) and then (AQ)'(AQ) by partition and adds up the
    partial products, whose size depends on the benchmark alone. Rank: the number of chunks plus an oversample, at most
    `MAX_RANK`.
-3. Passages whose latent vector has at least the cosine `min_cosine` with an item's chunk are candidates.
+3. Passages with two or more features (one, if some item has no more) whose latent vector has at least the cosine
+   `min_cosine` with an item's chunk are candidates.
 4. Candidates are read again from the text: the share of the item's words in the longest common subsequence with the
    passage must reach `min_lcs`; or `paraphrase_lcs`, if the item's answer (its last sentence) is there in order.
 
@@ -24,6 +25,7 @@ import math
 import re
 from collections import Counter
 from collections.abc import Iterator
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -66,14 +68,15 @@ def in_order(needle: list[str], hay: list[str]) -> bool:
     return all(w in it for w in needle)
 
 
-def stretches(start: int, size: int, n: int) -> set[tuple[int, int]]:
-    """Parts of a text of n words around a candidate place that may hold an item of `size` words: half as long again.
+def around(start: int, size: int, n: int) -> tuple[int, int]:
+    """The part of a text of n words that may hold an item of `size` words found about `start`."""
+    return max(0, start - LENGTH // 2), min(n, max(0, start + size + LENGTH + LENGTH // 2))
 
-    A subsequence scattered over a longer part would be made of common words.
-    """
+
+def stretches(low: int, high: int, size: int) -> set[tuple[int, int]]:
+    """Overlapping parts half as long again as the item: a subsequence scattered over more would be made of common words."""
     wide, step = size + size // 2, max(1, size // 4)
-    low, high = max(0, start - LENGTH // 2), min(n, max(0, start + size + LENGTH + LENGTH // 2))
-    return {(p, min(n, p + wide)) for p in range(low // step * step, max(low + 1, high - size + step), step)}
+    return {(p, min(high, p + wide)) for p in range(low // step * step, max(low + 1, high - size + step), step)}
 
 
 class Terms:
@@ -220,11 +223,15 @@ def randomised_svd(passages: DataFrame, space: Space, rank: int, seed: int = 13)
     return (q @ vectors[:, keep]).astype(np.float32), np.sqrt(values[keep])
 
 
-def _candidates(shared, min_cosine: float):
+def _candidates(shared, min_cosine: float, least: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         space = shared.value
         for batch in _slices(batches):
-            doc, start, cut, _, col, weight = space.rows(batch)
+            doc, start, cut, size, col, weight = space.rows(batch)
+            several = size >= least  # a passage that shares one word with the benchmark holds no item
+            own = np.repeat(several, size)
+            doc, start, col, weight = doc[several], start[several], col[own], weight[own]
+            cut = np.cumsum(np.r_[0, size[several]])[:-1]
             found: dict[tuple[int, int], dict[int, float]] = {}
             for at in range(0, len(cut), 4000):
                 stop = cut[at + 4000] if at + 4000 < len(cut) else len(col)
@@ -247,6 +254,7 @@ def _candidates(shared, min_cosine: float):
 def _check(shared, min_lcs: float, paraphrase_lcs: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         items, answers, ids = shared.value
+        counts = [Counter(t) for t in items]
         for batch in batches:
             out = []
             for i, (text, hits) in enumerate(zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)):
@@ -254,9 +262,19 @@ def _check(shared, min_lcs: float, paraphrase_lcs: float):
                 for hit in hits:
                     item, answer = items[hit["item"]], answers[hit["item"]]
                     best = (0.0, False)
-                    near = {p for start in hit["starts"] for p in stretches(start, len(item), len(words))}
-                    for low, high in sorted(near):
-                        best = max(best, (lcs_length(item, words[low:high]) / len(item), in_order(answer, words[low:high])))
+                    need, has = min(min_lcs, paraphrase_lcs) * len(item), counts[hit["item"]]
+                    near = set()
+                    for start in hit["starts"]:
+                        # a common subsequence has no word more often than the item
+                        low, high = around(start, len(item), len(words))
+                        if sum(map(has.__getitem__, has.keys() & set(words[low:high]))) >= need:
+                            near |= stretches(low, high, len(item))
+                    low, high = min((a for a, _ in near), default=0), max((b for _, b in near), default=0)
+                    known = list(accumulate((w in has for w in words[low:high]), initial=0))
+                    for a, b in sorted(near):
+                        if known[b - low] - known[a - low] < need:
+                            continue
+                        best = max(best, (lcs_length(item, words[a:b]) / len(item), in_order(answer, words[a:b])))
                     if best[0] >= min_lcs or (best[0] >= paraphrase_lcs and best[1]):
                         out.append((i, ids[hit["item"]], hit["cosine"], *best))
             if out:
@@ -266,7 +284,7 @@ def _check(shared, min_lcs: float, paraphrase_lcs: float):
     return run
 
 
-def find_leaks(docs: DataFrame, benchmark: DataFrame, text: str = "text", key: str = "doc_id", item_key: str = "item_id", item_text: str = "text", max_df: float = 0.01, min_cosine: float = 0.35, min_lcs: float = 0.7, paraphrase_lcs: float = 0.55) -> DataFrame:
+def find_leaks(docs: DataFrame, benchmark: DataFrame, text: str = "text", key: str = "doc_id", item_key: str = "item_id", item_text: str = "text", max_df: float = 0.01, min_cosine: float = 0.3, min_lcs: float = 0.7, paraphrase_lcs: float = 0.55) -> DataFrame:
     """Rows (doc_id, item_id, cosine, lcs, answer): the items that each document holds."""
     spark = docs.sparkSession
     kind, item_kind = docs.schema[key].dataType.simpleString(), benchmark.schema[item_key].dataType.simpleString()
@@ -311,7 +329,7 @@ def _block(source: DataFrame, kind: str, item_kind: str, rows: list, total: int,
     latent = vectors @ basis
     space.basis, space.owner = basis, chunks
     space.chunks = (latent / np.maximum(np.linalg.norm(latent, axis=1, keepdims=True), 1e-9)).astype(np.float32)
-    near = places.mapInArrow(_candidates(sc.broadcast(space), min_cosine), f"doc_id {kind}, item int, starts array<int>, cosine double")
+    near = places.mapInArrow(_candidates(sc.broadcast(space), min_cosine, min(2, *(len({w for w in t if w in terms.index}) for t in items))), f"doc_id {kind}, item int, starts array<int>, cosine double")
     hits = checkpointed(near.groupBy("doc_id").agg(F.collect_list(F.struct("item", "starts", "cosine")).alias("hits")))
     texts = source.join(small(hits, 20_000), "doc_id").select("doc_id", "text", "hits")
     checked = sc.broadcast((items, [r[2] for r in rows], [r[0] for r in rows]))
