@@ -85,8 +85,7 @@ def kappa(df: DataFrame, a: str, b: str) -> DataFrame:
 
 
 def macro_f1(df: DataFrame, truth: str, pred: str, classes: list) -> DataFrame:
-    """Rows (class, f1); a class that does not occur has 0. The mean is over all classes."""
-    spark = df.sparkSession
+    """Rows (class, tp, fp, fn, f1); a class that does not occur has 0. The mean is over all classes."""
     parts = [F.struct(F.lit(c).alias("class"), F.count_if((F.col(truth) == c) & (F.col(pred) == c)).alias("tp"), F.count_if((F.col(truth) != c) & (F.col(pred) == c)).alias("fp"), F.count_if((F.col(truth) == c) & (F.col(pred) != c)).alias("fn")) for c in classes]
     rows = df.agg(F.array(*parts).alias("x")).select(F.inline("x"))
     two = 2.0 * F.col("tp")

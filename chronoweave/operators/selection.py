@@ -14,7 +14,7 @@ def fold(rows: pd.DataFrame, budget: int, commodity_quota: int, disaster_cap: in
     taken: dict[int, tuple[int, str]] = {}
     n_commodity = n_disaster = 0
     for phase in ("commodity", "any"):
-        for place, cell in rows.groupby("place", sort=True):
+        for _, cell in rows.groupby("place", sort=True):
             if len(taken) >= budget or (phase == "commodity" and n_commodity >= commodity_quota):
                 break
             if phase == "commodity" and not cell["cell_commodity"].iloc[0]:

@@ -179,7 +179,7 @@ def incident_competitors(spark: SparkSession, d: str) -> DataFrame:
     per = per.unionByName(inc.groupBy(day("date").alias("day")).agg(F.count("*").alias("m")).withColumn("k", F.lit("*")))
     # at or above: same district and not earlier than the target's day if the target is in the district; else all of the district, and all others not earlier
     ask = lambda key, at, sign, ge, gt: F.struct(key.alias("k"), at.alias("day"), F.lit(sign).alias("sign"), F.lit(ge).alias("ge"), F.lit(gt).alias("gt"))
-    rd, td, none = day("rd"), day("td"), F.lit(-1_000_000)
+    rd, td = day("rd"), day("td")
     own, any_ = F.col("rl"), F.lit("*")
     same = F.array(ask(own, rd, 1, 1, 1), ask(own, td - 1, -1, 1, 0), ask(own, td, -1, 0, 1))
     other = F.array(ask(any_, rd, 1, 1, 1), ask(any_, td - 1, -1, 1, 0), ask(any_, td, -1, 0, 1), ask(own, td - 1, 1, 1, 0), ask(own, td, 1, 0, 1))

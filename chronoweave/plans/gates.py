@@ -128,7 +128,7 @@ def competitors(e: DataFrame) -> DataFrame:
     axis = dis.withColumn("kc", F.explode(each)).withColumn("kl", F.explode(F.array(F.concat(F.lit("="), F.col("l")), F.lit("*")))).withColumn("ks", F.explode(F.array(F.concat(F.lit("="), F.col("s")), F.lit("*"))))
     daily = axis.groupBy("kc", "kl", "ks", "day").agg(F.count("*").alias("m"))
     running = daily.withColumn("upto", F.sum("m").over(Window.partitionBy("kc", "kl", "ks").orderBy("day").rowsBetween(Window.unboundedPreceding, 0)))
-    until = running.withColumn("next", F.lead("day").over(Window.partitionBy("kc", "kl", "ks").orderBy("day"))).select("kc", "kl", "ks", F.col("day").alias("from"), "next", "upto")
+    until = running.select("kc", "kl", "ks", F.col("day").alias("from"), "upto")
 
     wild = F.col("rc").isin("broad_food", "unclear", "")
     eq = lambda c: F.concat(F.lit("="), c)
@@ -137,21 +137,22 @@ def competitors(e: DataFrame) -> DataFrame:
     w, p, own = F.lit("wild"), F.lit("plain"), eq(F.col("rc"))
     by_c = F.when(wild, F.array(term(6, own, 1), term(2, w, 1), term(2, p, 1), term(2, own, -1))).otherwise(F.array(term(6, own, 1), term(2, w, 1), term(0, p, 1), term(0, own, -1)))
     match = lambda col, pts: F.array(term(pts, eq(col), 1), term(0, F.lit("*"), 1), term(0, eq(col), -1))
-    t = pos.select("response", "target", "h", F.unix_date("rd").alias("day"), by_c.alias("tc"), match(F.col("rl"), 1.5).alias("tl"), match(F.col("rs").cast("string"), 0.5).alias("ts"))
+    # positives that ask the same are asked once: their number is bounded by the attributes, days and hardness values
+    ask = ["rc", "rl", "rs", "rd", "h"]
+    t = pos.select(*ask).distinct().select(*ask, F.unix_date("rd").alias("day"), by_c.alias("tc"), match(F.col("rl"), 1.5).alias("tl"), match(F.col("rs").cast("string"), 0.5).alias("ts"))
     t = t.withColumn("tc", F.explode("tc")).withColumn("tl", F.explode("tl")).withColumn("ts", F.explode("ts"))
     need = F.col("h") - (F.col("tc.pts") + F.col("tl.pts") + F.col("ts.pts"))
     # recency(lag) >= need  <=>  lag <= (2 - need) * 365, for need above 0; a lag of 730 days or more gives 0
     t = t.withColumn("need", need).where("need <= 2 + 1e-9")
     lag = F.when(F.col("need") <= 1e-9, F.lit(1_000_000)).otherwise(F.floor((2.0 - F.col("need")) * 365.0 + 1e-6))
-    t = t.select("response", "target", F.col("tc.k").alias("kc"), F.col("tl.k").alias("kl"), F.col("ts.k").alias("ks"), (F.col("tc.sign") * F.col("tl.sign") * F.col("ts.sign")).alias("sign"), "day", (F.col("day") - lag).cast("int").alias("low"))
-    ends = t.select("response", "target", "kc", "kl", "ks", F.explode(F.array(F.struct(F.col("day").alias("at"), F.col("sign").alias("sign")), F.struct((F.col("low") - 1).alias("at"), (-F.col("sign")).alias("sign")))).alias("x")).select("kc", "kl", "ks", "x.at", "response", "target", "x.sign")
-    # equal questions are asked once
+    t = t.select(*ask, F.col("tc.k").alias("kc"), F.col("tl.k").alias("kl"), F.col("ts.k").alias("ks"), (F.col("tc.sign") * F.col("tl.sign") * F.col("ts.sign")).alias("sign"), "day", (F.col("day") - lag).cast("int").alias("low"))
+    ends = t.select(*ask, "kc", "kl", "ks", F.explode(F.array(F.struct(F.col("day").alias("at"), F.col("sign").alias("sign")), F.struct((F.col("low") - 1).alias("at"), (-F.col("sign")).alias("sign")))).alias("x")).select("kc", "kl", "ks", "x.at", *ask, "x.sign")
     asked = ends.select("kc", "kl", "ks", "at").distinct()
     answer = asof_counts(until, asked)
-    total = ends.join(answer, ["kc", "kl", "ks", "at"]).groupBy("response", "target").agg(F.sum(F.col("sign") * F.col("upto")).alias("all_ge"))
+    total = ends.join(answer, ["kc", "kl", "ks", "at"]).groupBy(*ask).agg(F.sum(F.col("sign") * F.col("upto")).alias("all_ge"))
     inside = pos.select("article", "response", "target", "h", "rc", "rl", "rs", "rd").join(e.where("kind = 'disruption'").select("article", F.col("commodity").alias("xc"), F.col("district").alias("xl"), F.col("stage").alias("xs"), F.col("date").alias("xd")), "article").where("xd <= rd")
-    inside = inside.where(pair_hardness() >= F.col("h")).groupBy("response", "target", "h").agg(F.count("*").alias("own_ge"))
-    return inside.join(total, ["response", "target"]).select("response", "target", "h", (F.col("all_ge") - F.col("own_ge")).alias("n_ge"))
+    inside = inside.where(pair_hardness() >= F.col("h")).groupBy("response", "target", *ask).agg(F.count("*").alias("own_ge"))
+    return inside.join(total, ask).select("response", "target", "h", (F.col("all_ge") - F.col("own_ge")).alias("n_ge"))
 
 
 def asof_counts(until: DataFrame, asked: DataFrame) -> DataFrame:

@@ -169,7 +169,7 @@ def khop_leakage(spark: SparkSession, d: str) -> DataFrame:
 @query(f"""{_WALK} SELECT count(*) AS checked, count(*) FILTER (available > tau) AS violations FROM hood WHERE regime = 'report_time'""")
 def masking_invariant(spark: SparkSession, d: str) -> DataFrame:
     """No edge of a report-time neighbourhood was reported after its seed's tau."""
-    seeds, hood = _hood(spark, d)
+    _, hood = _hood(spark, d)
     t = _walk(order_mentions(spark, d)).select("edge", "available_date")
     seen = hood.where("regime = 'report_time'").select("seed", "tau", "edge").distinct().join(t, "edge")
     return seen.agg(F.count("*").alias("checked"), F.count_if(F.col("available_date") > F.col("tau")).alias("violations"))
