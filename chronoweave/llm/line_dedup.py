@@ -25,6 +25,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -75,7 +76,7 @@ def _suffixes(min_words: int):
     return run
 
 
-def _shifted(t: pa.Table, step: int, level: int) -> tuple[np.ndarray, np.ndarray]:
+def _shifted(t: pa.Table, step: int) -> tuple[np.ndarray, np.ndarray]:
     """Places in the table of the suffix `step` lines later, and which suffixes have one."""
     stretch, pos = t.column("stretch").to_numpy(), t.column("pos").to_numpy()
     at = np.arange(t.num_rows) + step
@@ -89,8 +90,8 @@ def _keys(levels: int):
     """Interval of each suffix that begins a run: (m, rank, rank)."""
 
     def run(t: pa.Table) -> pa.Table | None:
-        m, pos, stretch = (t.column(c).to_numpy() for c in ("m", "pos", "stretch"))
-        ranks = [np.nan_to_num(t.column(f"r{k}").to_numpy(zero_copy_only=False).astype(np.float64), nan=-1).astype(np.int64) if t.column(f"r{k}").null_count else t.column(f"r{k}").to_numpy() for k in range(levels)]
+        m, pos = (t.column(c).to_numpy() for c in ("m", "pos"))
+        ranks = [pc.fill_null(t.column(f"r{k}"), -1).to_numpy() for k in range(levels)]
         out = []
         for i in np.nonzero(m)[0]:
             k = int(m[i]).bit_length() - 1
@@ -107,9 +108,9 @@ def _keys(levels: int):
 
 def _pairs(step: int, level: int):
     def run(t: pa.Table) -> pa.Table:
-        at, ok = _shifted(t, step, level)
+        at, ok = _shifted(t, step)
         nxt = t.column(f"r{level}").take(pa.array(at))
-        return t.append_column("nxt", pa.compute.if_else(pa.array(ok), nxt, pa.scalar(None, pa.int64())))
+        return t.append_column("nxt", pc.if_else(pa.array(ok), nxt, pa.scalar(None, pa.int64())))
 
     return run
 
