@@ -44,7 +44,7 @@ def listify(c: Column) -> Column:
 
 def _hits(c: Column) -> Column:
     low = F.lower(F.coalesce(c, F.lit("")))
-    return F.filter(F.array(*map(F.lit, DISTRICTS)), lambda d: low.rlike(F.concat(F.lit(r"\b"), d, F.lit(r"\b"))))
+    return F.filter(F.array(*map(F.lit, DISTRICTS)), lambda d: F.rlike(low, F.concat(F.lit(r"\b"), d, F.lit(r"\b"))))
 
 
 def district_first(c: Column) -> Column:

@@ -62,7 +62,7 @@ def packets(spark: SparkSession, path: str) -> DataFrame:
 
 def scored_run(spark: SparkSession, path: str) -> DataFrame:
     """A run as a map by article, a list, or a document with annotations: rows (article_id, annotation)."""
-    text = spark.read.option("wholetext", True).text(path).select(F.trim("value").alias("v"))
+    text = spark.read.text(path, wholetext=True).select(F.trim("value").alias("v"))
     as_list = F.from_json("v", f"array<{S.ANNOTATION_STRUCT}>")
     as_doc = F.from_json("v", f"annotations array<{S.ANNOTATION_STRUCT}>")["annotations"]
     listed = text.select(F.explode(F.when(F.col("v").startswith("["), as_list).otherwise(as_doc)).alias("a")).select(F.col("a.candidate_id").alias("article_id"), F.col("a").alias("annotation"))
@@ -72,7 +72,7 @@ def scored_run(spark: SparkSession, path: str) -> DataFrame:
 
 def batch_replies(spark: SparkSession, path: str) -> DataFrame:
     """Reply files batch-NNN.*: rows (batch, ord, record); unparsable files give a null record."""
-    raw = spark.read.option("wholetext", True).option("pathGlobFilter", "batch-*").text(path)
+    raw = spark.read.option("pathGlobFilter", "batch-*").text(path, wholetext=True)
     raw = raw.select(F.regexp_extract(F.col("_metadata.file_name"), r"(\d+)", 1).cast("int").alias("batch"), F.from_json(json_array_slice(F.col("value")), f"array<{S.ANNOTATION_STRUCT.replace('struct<', 'struct<article_id:string,', 1)}>").alias("records"))
     return raw.select("batch", F.posexplode_outer("records").alias("ord", "record"))
 
@@ -97,7 +97,7 @@ def if_exists(spark: SparkSession, path: str, read):
 def policies(spark: SparkSession, path: str, key: str | None = "policies") -> DataFrame:
     """A lookup of policies by id: the map under `key`, or the document itself if `key` is None."""
     inner = "struct<enactment_date:string,instrument_type:string>"
-    text = spark.read.option("wholetext", True).text(path)
+    text = spark.read.text(path, wholetext=True)
     m = F.from_json("value", f"{key} map<string,{inner}>")[key] if key else F.from_json("value", f"map<string,{inner}>")
     return text.select(F.explode(m).alias("policy_id", "p")).select("policy_id", "p.enactment_date", "p.instrument_type")
 
