@@ -186,6 +186,17 @@ def integrity(c: DataFrame, n: str) -> DataFrame:
     return q.crossJoin(c.agg(part(F.col(n) == 0).alias("share_strictly_hardest"), part(F.col(n) >= 1).alias("share_ge_1"))).select("pairs_scored", "share_strictly_hardest", "median_competitors", "share_ge_1")
 
 
+@query(f"""{_POSITIVES} SELECT CASE WHEN day(e.date) <= 20 THEN 'train' WHEN day(e.date) <= 25 THEN 'valid' ELSE 'test' END AS split, count(*) AS pairs, count(*) FILTER (n_ge = 0) / count(*) AS share_strictly_hardest, avg(1.0::DOUBLE / (1 + n_ge)) AS mrr
+FROM comp JOIN e ON e.mention = response GROUP BY 1""")
+def hardest_by_split(spark: SparkSession, d: str) -> DataFrame:
+    """Share of positives that are strictly hardest, and the reciprocal rank by hardness with ties against them, by split."""
+    e = mentions(spark, d)
+    day = F.dayofmonth("date")
+    split = F.when(day <= 20, F.lit("train")).when(day <= 25, F.lit("valid")).otherwise(F.lit("test"))
+    c = competitors(e).join(e.select(F.col("mention").alias("response"), split.alias("split")), "response")
+    return c.groupBy("split").agg(F.count("*").alias("pairs"), (F.count_if(F.col("n_ge") == 0) / F.count("*")).alias("share_strictly_hardest"), F.avg(1.0 / (1 + F.col("n_ge"))).alias("mrr"))
+
+
 # ---------------------------------------------------------------- D7 and verdicts
 
 _SIGS = f"""WITH {T_SQL}, {R_SQL}, s AS (

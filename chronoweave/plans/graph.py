@@ -334,3 +334,14 @@ def location_closure(spark: SparkSession, d: str) -> DataFrame:
     n = table(spark, d, "nation").select(F.concat(F.lit("n"), F.col("n_nationkey").cast("string")).alias("src"), F.concat(F.lit("r"), F.col("n_regionkey").cast("string")).alias("dst"))
     r = table(spark, d, "region").select(F.concat(F.lit("r"), F.col("r_regionkey").cast("string")).alias("src"), F.lit("world").alias("dst"))
     return G.closure(s.unionByName(n).unionByName(r))
+
+
+@query(f"""{_NODES}, {R_SQL}, p AS (SELECT DISTINCT dst AS policy, make_date((-dst)::INT, 1, 1) AS enacted FROM r WHERE predicate = 'implementsPolicy'), l AS (SELECT date_diff('day', enacted, event_time) AS lag FROM r JOIN p ON dst = policy WHERE predicate = 'implementsPolicy')
+SELECT count(*) AS n, list_sort(list(lag))[count(*) // 4 + 1]::INT AS p25, list_sort(list(lag))[count(*) // 2 + 1]::INT AS median, list_sort(list(lag))[9 * count(*) // 10 + 1]::INT AS p90, count(*) FILTER (lag < 0) AS before FROM l""")
+def policy_lags(spark: SparkSession, d: str) -> DataFrame:
+    """Days from the enactment of a policy to what implements it. A policy is here a year, enacted on its first day."""
+    r = relations(order_mentions(spark, d)).where("predicate = 'implementsPolicy'")
+    policies = r.select(F.col("dst").alias("policy")).distinct().withColumn("enacted", F.make_date((-F.col("policy")).cast("int"), F.lit(1), F.lit(1)))
+    h = r.join(policies, F.col("dst") == F.col("policy")).groupBy(F.datediff("event_time", "enacted").alias("lag")).agg(F.count("*").alias("w"))
+    q = A.discrete_quantiles(h, "lag", {"p25": (1, 4), "median": (1, 2), "p90": (9, 10)}, weight="w")
+    return q.crossJoin(h.agg(F.coalesce(F.sum(F.when(F.col("lag") < 0, F.col("w")).otherwise(0)), F.lit(0)).alias("before")))  # one row each
