@@ -222,7 +222,8 @@ def jaccard_classes(docs: DataFrame, text: str = "text", key: str = "doc_id", si
     for level in range(depth):
         open_ = open_.withColumn("node", F.col("path")[level])
         sizes = open_.groupBy("node").agg(F.count("*").alias("sets"), F.sum("n").alias("items")).where("sets > 1")
-        open_ = checkpointed(open_.join(sizes, "node"))
+        # as a table of its own, so that Spark can split the partition of a node that holds very many sets
+        open_ = checkpointed(open_.join(small(checkpointed(sizes)), "node"))
         done = F.lit(True) if level == depth - 1 else (F.col("sets") <= leaf) & (F.col("items") <= BLOCK_SHINGLES)
         leaves.append(open_.where(done).select("fp", "run", "node", "sets", "items"))
         open_ = open_.where(~done).drop("node", "sets", "items")
