@@ -6,14 +6,13 @@ Cases: nulls, repeated rows and extra columns are treated as the operators say;
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from chronoweave.llm import decontaminate, jaccard_join, lang_id, line_dedup, mixing
-from chronoweave.llm.common import checkpointed, small, table
+from chronoweave.llm.common import checkpointed, shared_folder, small, table
 
 #: A prediction below this, or none, rejects a document.
 MIN_SCORE = 0.2
@@ -73,7 +72,7 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    folder = f"{spark.conf.get('spark.checkpoint.dir', None) or tempfile.mkdtemp(prefix='chronoweave-')}/pipeline-{uuid.uuid4().hex}"
+    folder = f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
     docs = table(spark, sf_dir, "documents")
     for n, (name, stage) in enumerate(STAGES):
         path = f"{folder}/{n}-{name}"
