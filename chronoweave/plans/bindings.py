@@ -64,12 +64,11 @@ T_SQL = """li AS (
 def relations(t: DataFrame) -> DataFrame:
     """respondsTo from each A line to each R line of its order; reportedCauseOf from R to N lines; implementsPolicy from A lines to their ship year."""
     a, b = t.alias("a"), t.alias("b")
-    same = a.join(b, (F.col("a.article") == F.col("b.article")) & (F.col("a.mention") != F.col("b.mention")))
-    cols = [F.col("a.mention").alias("src"), F.col("b.mention").alias("dst"), F.col("a.event_time").alias("event_time"), F.col("a.report_time").alias("report_time")]
-    responds = same.where("a.flag = 'A' and b.flag = 'R'").select(*cols, F.lit("respondsTo").alias("predicate"))
-    causes = same.where("a.flag = 'R' and b.flag = 'N'").select(*cols, F.lit("reportedCauseOf").alias("predicate"))
+    pairs = a.join(b, (F.col("a.article") == F.col("b.article")) & (F.col("a.mention") != F.col("b.mention")))
+    predicate = F.when(F.expr("a.flag = 'A' and b.flag = 'R'"), F.lit("respondsTo")).when(F.expr("a.flag = 'R' and b.flag = 'N'"), F.lit("reportedCauseOf"))
+    stated = pairs.select(F.col("a.mention").alias("src"), F.col("b.mention").alias("dst"), F.col("a.event_time").alias("event_time"), F.col("a.report_time").alias("report_time"), predicate.alias("predicate")).where("predicate is not null")
     policy = t.where("flag = 'A'").select(F.col("mention").alias("src"), (-F.year("event_time")).cast("bigint").alias("dst"), "event_time", "report_time", F.lit("implementsPolicy").alias("predicate"))
-    return responds.unionByName(causes).unionByName(policy)
+    return stated.unionByName(policy)
 
 
 R_SQL = """r AS (

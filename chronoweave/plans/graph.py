@@ -16,6 +16,11 @@ TAU = "1998-01-01"
 _NODES = f"WITH {T_SQL}"
 
 
+def _shared(spark: SparkSession, d: str) -> DataFrame:
+    """The mentions as a written table, for plans that read them in many branches."""
+    return G.stable(order_mentions(spark, d))
+
+
 @query(f"""{_NODES} SELECT mention::VARCHAR AS event_id, kind AS node_kind, flag AS event_subtype, event_time AS event_date, report_time, report_time AS available_date,
   lower(commodity) AS commodity_id, location::VARCHAR AS location_id, actor::VARCHAR AS actor_ids, article::VARCHAR AS article_id, split_part(publisher, '-', 1) AS publisher_id FROM t""")
 def view_nodes_event(spark: SparkSession, d: str) -> DataFrame:
@@ -79,7 +84,7 @@ def dim_nodes(spark: SparkSession, d: str) -> DataFrame:
   UNION ALL SELECT 'duplicate_event_ids', (SELECT count(*) - count(DISTINCT event_id) FROM n)""")
 def view_integrity(spark: SparkSession, d: str) -> DataFrame:
     """Counts and invariants of a view."""
-    t = order_mentions(spark, d)
+    t = _shared(spark, d)
     e, n = _edges(t), _nodes(t)
     one = lambda df, name: df.agg(F.count("*").alias("n")).select(F.lit(name).alias("name"), "n")
     out = one(e, "edges").unionByName(one(n, "events")).unionByName(one(n.select("article_id").distinct(), "articles"))
@@ -132,15 +137,14 @@ def _walk(t: DataFrame) -> DataFrame:
     return r.unionByName(lines).withColumn("edge", F.concat_ws("|", "p", F.col("src").cast("string"), F.col("dst").cast("string"))).drop("p")
 
 
-def _hood(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    t = order_mentions(spark, d)
+def _hood(t: DataFrame) -> tuple[DataFrame, DataFrame]:
     seeds = t.where("kind = 'disruption'").select(F.col("mention").alias("seed"), F.col("event_time").alias("tau"))
-    return seeds, G.neighbourhoods(_walk(t), seeds)
+    return seeds, G.neighbourhoods(G.stable(_walk(t)), seeds)
 
 
 def _leakage(spark: SparkSession, d: str) -> DataFrame:
     """Rows (seed, e_none, e_event, e_report, leak_none, leak_event): edges by regime, and those not yet reported."""
-    seeds, hood = _hood(spark, d)
+    seeds, hood = _hood(_shared(spark, d))
     flags = hood.groupBy("seed", "edge").agg(*[F.bool_or(F.col("regime") == r).alias(r) for r in G.REGIMES])
     n = flags.groupBy("seed").agg(F.count_if("none").alias("e_none"), F.count_if("event_time").alias("e_event"), F.count_if("report_time").alias("e_report"), F.count_if(F.col("none") & ~F.col("report_time")).alias("leak_none"), F.count_if(F.col("event_time") & ~F.col("report_time")).alias("leak_event"))
     return seeds.select("seed").join(n, "seed", "left").na.fill(0)
@@ -169,8 +173,9 @@ def khop_leakage(spark: SparkSession, d: str) -> DataFrame:
 @query(f"""{_WALK} SELECT count(*) AS checked, count(*) FILTER (available > tau) AS violations FROM hood WHERE regime = 'report_time'""")
 def masking_invariant(spark: SparkSession, d: str) -> DataFrame:
     """No edge of a report-time neighbourhood was reported after its seed's tau."""
-    _, hood = _hood(spark, d)
-    t = _walk(order_mentions(spark, d)).select("edge", "available_date")
+    m = _shared(spark, d)
+    _, hood = _hood(m)
+    t = _walk(m).select("edge", "available_date")
     seen = hood.where("regime = 'report_time'").select("seed", "tau", "edge").distinct().join(t, "edge")
     return seen.agg(F.count("*").alias("checked"), F.count_if(F.col("available_date") > F.col("tau")).alias("violations"))
 
@@ -182,28 +187,28 @@ _ADJ = f"""{_EDGES}, und AS (SELECT DISTINCT rel, a, b FROM (SELECT relation AS
 adj AS (SELECT rel, a AS row, b AS col, 1.0::DOUBLE / count(*) OVER (PARTITION BY rel, a) AS weight FROM und)"""
 
 
-def _adj(spark: SparkSession, d: str) -> DataFrame:
-    e = _edges(order_mentions(spark, d)).where(F.col("relation").isin("occursIn", "respondsTo", "concernsCommodity"))
+def _adj(t: DataFrame) -> DataFrame:
+    e = _edges(t).where(F.col("relation").isin("occursIn", "respondsTo", "concernsCommodity"))
     return G.adjacency(e.withColumn("dst", F.concat("dst_type", "dst_id")), "relation", "src_id", "dst")
 
 
 @query(f"{_ADJ} SELECT rel, row, count(*) AS n, round(sum(weight), 9) AS total, min(weight) AS weight FROM adj GROUP BY ALL")
 def adjacency_norm(spark: SparkSession, d: str) -> DataFrame:
-    return _adj(spark, d).groupBy("rel", "row").agg(F.count("*").alias("n"), F.round(F.sum("weight"), 9).alias("total"), F.min("weight").alias("weight"))
+    return _adj(_shared(spark, d)).groupBy("rel", "row").agg(F.count("*").alias("n"), F.round(F.sum("weight"), 9).alias("total"), F.min("weight").alias("weight"))
 
 
 @query(f"{_ADJ}, s AS (SELECT row, col, sum(weight) AS w FROM adj GROUP BY ALL) SELECT row, col, round(w / sum(w) OVER (PARTITION BY row), 9) AS weight FROM s")
 def adjacency_single(spark: SparkSession, d: str) -> DataFrame:
-    return G.adjacency_single(_adj(spark, d)).select("row", "col", F.round("weight", 9).alias("weight"))
+    return G.adjacency_single(_adj(_shared(spark, d))).select("row", "col", F.round("weight", 9).alias("weight"))
 
 
 @query(f"""{_ADJ}, x AS (SELECT mention::VARCHAR AS node, kind AS feature, 1.0::DOUBLE AS value FROM t UNION ALL SELECT mention::VARCHAR, 'year', (year(event_time) - 2021) / 6.0::DOUBLE FROM t)
 SELECT rel, row, feature, round(sum(weight * value), 6) AS value FROM adj JOIN x ON adj.col = x.node GROUP BY ALL""")
 def message_passing_1hop(spark: SparkSession, d: str) -> DataFrame:
-    t = order_mentions(spark, d)
+    t = _shared(spark, d)
     node = F.col("mention").cast("string").alias("node")
     x = t.select(node, F.col("kind").alias("feature"), F.lit(1.0).alias("value")).unionByName(t.select(node, F.lit("year").alias("feature"), ((F.year("event_time") - 2021) / 6.0).alias("value")))
-    return G.message(_adj(spark, d), x).select("rel", "row", "feature", F.round("value", 6).alias("value"))
+    return G.message(_adj(t), x).select("rel", "row", "feature", F.round("value", 6).alias("value"))
 
 
 # ---------------------------------------------------------------- sharing, reporting, lags
@@ -233,9 +238,8 @@ _RESP = f"""{_NODES}, x AS (SELECT *, min(report_time) OVER (PARTITION BY actor)
   FROM x a JOIN x b ON a.actor = b.actor AND a.commodity = b.commodity AND a.kind = 'response' AND b.kind = 'disruption' AND b.report_time <= a.report_time)"""
 
 
-def _gaps(spark: SparkSession, d: str, by: list[str]) -> DataFrame:
+def _gaps(t: DataFrame, by: list[str]) -> DataFrame:
     """Rows (gap, w): pairs of a response and an earlier-reported disruption that agree in `by`, from histograms by day."""
-    t = order_mentions(spark, d)
     day = F.unix_date("report_time")
     count = lambda kind, n: t.where(F.col("kind") == kind).groupBy(*by, day.alias(f"{n}_day")).agg(F.count("*").alias(n))
     j = count("response", "r").join(count("disruption", "x"), by).where("x_day <= r_day")
@@ -246,8 +250,9 @@ def _gaps(spark: SparkSession, d: str, by: list[str]) -> DataFrame:
   list_sort(list(gap))[count(*) // 2 + 1]::INT AS median, list_sort(list(gap))[9 * count(*) // 10 + 1]::INT AS p90 FROM co""")
 def co_reporting(spark: SparkSession, d: str) -> DataFrame:
     """Pairs of the same actor and commodity: how many share an article or a publisher, and their gaps."""
-    q = A.discrete_quantiles(_gaps(spark, d, ["actor", "commodity"]), "gap", {"p25": (1, 4), "median": (1, 2), "p90": (9, 10)}, weight="w").withColumnRenamed("n", "pairs")
-    same = lambda key, name: _gaps(spark, d, ["actor", "commodity", key]).agg(F.coalesce(F.sum("w"), F.lit(0)).alias(name))
+    t = _shared(spark, d)
+    q = A.discrete_quantiles(_gaps(t, ["actor", "commodity"]), "gap", {"p25": (1, 4), "median": (1, 2), "p90": (9, 10)}, weight="w").withColumnRenamed("n", "pairs")
+    same = lambda key, name: _gaps(t, ["actor", "commodity", key]).agg(F.coalesce(F.sum("w"), F.lit(0)).alias(name))
     return q.crossJoin(same("article", "same_article")).crossJoin(same("publisher", "same_publisher"))  # one row each
 
 
@@ -302,7 +307,7 @@ UNION ALL SELECT 'functional_publishedBy', count(*) FROM pub WHERE n > 1
 UNION ALL SELECT 'disjoint_predicates', count(*) FROM (SELECT src, dst FROM k GROUP BY ALL HAVING count(DISTINCT predicate) > 1)
 UNION ALL SELECT 'reported_after_event', count(*) FROM t WHERE event_time > report_time""")
 def axiom_violations(spark: SparkSession, d: str) -> DataFrame:
-    t = order_mentions(spark, d)
+    t = _shared(spark, d)
     kinds = t.select("mention", "kind")
     k = relations(t).join(kinds.withColumnsRenamed({"mention": "src", "kind": "sk"}), "src", "left").join(kinds.withColumnsRenamed({"mention": "dst", "kind": "dk"}), "dst", "left")
     p, sk, dk = F.col("predicate"), F.col("sk"), F.col("dk")
