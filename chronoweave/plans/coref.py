@@ -80,7 +80,8 @@ _COLLAPSED = f"""{_CLUSTERS}, c AS (SELECT e.*, coalesce(root, mention) AS canon
 
 def _canonical(spark: SparkSession, d: str) -> DataFrame:
     e = mentions(spark, d)
-    return e.join(C.clusters(_pairs(spark, d)), e.mention == F.col("node"), "left").withColumn("canonical", F.coalesce("root", "mention")).drop("node", "root")
+    c = e.join(C.clusters(_pairs(spark, d)), e.mention == F.col("node"), "left").withColumn("canonical", F.coalesce("root", "mention")).drop("node", "root")
+    return G.stable(c)  # read by many branches
 
 
 @query(f"""{_COLLAPSED} SELECT canonical, min(date) AS event_date, count(*) AS coref_size, string_agg(DISTINCT article::VARCHAR, '|' ORDER BY article::VARCHAR) AS coref_article_ids,
@@ -174,6 +175,7 @@ def incident_competitors(spark: SparkSession, d: str) -> DataFrame:
     resp = mentions(spark, d).where("kind = 'response'").select(F.col("mention").alias("src"), "article", F.col("date").alias("rd"), F.col("district").alias("rl"))
     pos = _relations(spark, d).select("src", "dst").join(resp, "src").join(c.select(F.col("mention").alias("dst"), F.col("canonical").alias("target")), "dst").select("src", "article", "rd", "rl", "target").distinct()
     p = pos.join(inc.select(F.col("canonical").alias("target"), F.col("date").alias("td"), F.col("district").alias("tl")), "target").withColumn("same", F.col("rl") == F.col("tl"))
+    p = G.stable(p)
     day = lambda x: F.unix_date(x)
     per = inc.groupBy(F.col("district").alias("k"), day("date").alias("day")).agg(F.count("*").alias("m"))
     per = per.unionByName(inc.groupBy(day("date").alias("day")).agg(F.count("*").alias("m")).withColumn("k", F.lit("*")))

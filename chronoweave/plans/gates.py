@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from chronoweave.functions.scalar import band, compatible, hardness, quarter
 from chronoweave.operators import aggregates as A
+from chronoweave.operators.graph import stable
 from chronoweave.operators.selection import dense_selection as select_dense
 from chronoweave.plans.bindings import E_SQL, R_SQL, T_SQL, mentions, order_mentions, relations
 from chronoweave.plans.registry import query
@@ -120,7 +121,7 @@ def competitors(e: DataFrame) -> DataFrame:
     attributes (a cube), whose size depends on the attributes and days, not on the mentions; disruptions of the
     response's own article are counted apart and taken off.
     """
-    pos = positives(e).withColumn("h", pair_hardness())
+    pos = stable(positives(e).withColumn("h", pair_hardness()))
     dis = e.where("kind = 'disruption' and date is not null").select(F.col("commodity").alias("c"), F.col("district").alias("l"), F.col("stage").cast("string").alias("s"), F.unix_date("date").alias("day"))
     dis = dis.withColumn("w", F.col("c").isin("broad_food", "unclear", ""))
     # counts by (commodity or its wildness or any) x (district or any) x (stage or any) and day
