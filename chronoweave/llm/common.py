@@ -6,10 +6,13 @@ import tempfile
 from collections.abc import Callable, Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 #: A side of a join is broadcast only when it was counted and has at most so many rows (of a few bytes each).
 BROADCAST_ROWS = 200_000
@@ -39,10 +42,30 @@ def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
-def map_texts(df: DataFrame, key: str, column: str, fn: Callable, columns: str) -> DataFrame:
-    """Runs `fn` over frames (key, text) and returns (key, columns). Keys travel as text: a null would turn whole numbers into floats."""
+#: Texts that a worker holds as Python strings at once.
+SLICE = 500
+
+
+def map_texts(df: DataFrame, key: str, column: str, fn: Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]], columns: str) -> DataFrame:
+    """Runs `fn` over frames (key, text) of few rows and returns (key, columns).
+
+    Keys travel as text: a null would turn whole numbers into floats.
+    """
     kind = df.schema[key].dataType.simpleString()
-    out = df.select(F.col(key).cast("string").alias("key"), F.col(column).alias("text")).mapInPandas(fn, f"key string, {columns}")
+    ddl = f"key string, {columns}"
+    schema = to_arrow_schema(StructType.fromDDL(ddl))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def frames() -> Iterator[pd.DataFrame]:
+            for batch in batches:
+                for at in range(0, batch.num_rows, SLICE):
+                    part = batch.slice(at, SLICE)
+                    yield pd.DataFrame({"key": part.column(0).to_pylist(), "text": part.column(1).to_pylist()}, dtype=object)
+
+        for out in fn(frames()):
+            yield pa.RecordBatch.from_pandas(out, schema=schema, preserve_index=False)
+
+    out = df.select(F.col(key).cast("string").alias("key"), F.col(column).alias("text")).mapInArrow(run, ddl)
     return out.select(F.col("key").cast(kind).alias(key), *out.columns[1:])
 
 

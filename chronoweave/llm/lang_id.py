@@ -115,7 +115,7 @@ def viterbi(scores: np.ndarray, penalty: float = SWITCH) -> np.ndarray:
 class Predictor:
     """Scores words once and remembers them up to a bound."""
 
-    def __init__(self, model: LanguageModel, limit: int = 300_000):
+    def __init__(self, model: LanguageModel, limit: int = 200_000):
         self.model, self.limit = model, limit
         self.known: dict[str, int] = {}
         self.table = np.zeros((1024, len(model.langs)))
