@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from chronoweave.llm import decontaminate, jaccard_join, lang_id, line_dedup, mixing
-from chronoweave.llm.common import checkpointed, shared_folder, small, table
+from chronoweave.llm.common import SLICE, checkpointed, shared_folder, small, table
 
 #: A prediction below this, or none, rejects a document.
 MIN_SCORE = 0.2
@@ -22,22 +22,17 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps documents in a language that the labelled rows know; text without letters goes."""
     model = lang_id.train(docs, F.lit(True))
     shared = spark.sparkContext.broadcast(model)
-    names = docs.columns
+    place = docs.columns.index("text")
 
-    def run(frames):
+    def keep(batches):
         predictor = lang_id.Predictor(shared.value)
-        for frame in frames:
-            found = [predictor.predict(t) for t in frame.column(names.index("text")).to_pylist()]
-            yield frame.filter([lang != "und" and score >= MIN_SCORE for lang, score in found])
+        for batch in batches:
+            for at in range(0, batch.num_rows, SLICE):
+                part = batch.slice(at, SLICE)
+                found = [predictor.predict(t) for t in part.column(place).to_pylist()]
+                yield part.filter([lang != "und" and score >= MIN_SCORE for lang, score in found])
 
-    def batches(source):
-        import pyarrow as pa
-
-        for batch in run(source):
-            if batch.num_rows:
-                yield pa.RecordBatch.from_arrays(batch.columns, schema=batch.schema)
-
-    return docs.mapInArrow(batches, docs.schema)
+    return docs.mapInArrow(keep, docs.schema)
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
