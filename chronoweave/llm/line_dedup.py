@@ -11,7 +11,10 @@ array as deep as any run of `min_words` words needs. A longest-common-prefix int
 with equal rank(k, i) and rank(k, i+m-2^k), 2^k <= m < 2^(k+1); it is found by hash aggregation instead of a scan of
 the array, so that an interval of very many suffixes meets no single task. For suffix i, m is the least number of
 lines with `min_words` words. In each interval the first suffix (least document key, then line) is kept, and the first
-m lines of the others are deleted; the union over neighbouring suffixes is the whole maximal run.
+m lines of the others are deleted. Alone, these windows leave the tail of a run where what follows the last start has
+under `min_words` words. With `maximal` the least window that ends at each line is looked up too: every line of a
+window of at least `min_words` words that occurs earlier lies in a least window from its start or to its end, so the
+union is the whole maximal run.
 
 Cases: null or empty texts have no lines and stay. Rows that repeat both key and text are one document and get equal
 results; rows with equal keys and different texts are different documents. An empty table gives an empty result.
@@ -51,8 +54,8 @@ def _lines(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             yield pd.DataFrame({"key": part["key"], "th": [r[0] for r in rows], "lines": [r[1] for r in rows], "words": [r[2] for r in rows]})
 
 
-def _suffixes(min_words: int):
-    """Suffixes of the stretches of a document that can begin a run: position, stretch, rank, m."""
+def _suffixes(min_words: int, maximal: bool = False):
+    """Suffixes of the stretches of a document that can begin a run: position, stretch, rank, m, and e lines to its end."""
 
     def run(t: pa.Table) -> pa.Table | None:
         pos, words, rank = (t.column(c).to_numpy() for c in ("pos", "words", "r0"))
@@ -66,12 +69,16 @@ def _suffixes(min_words: int):
                 continue
             m = np.searchsorted(total, total[:-1] + min_words) - np.arange(b - a)
             m[np.arange(b - a) + m > b - a] = 0
-            keep.append((pos[a:b], np.full(b - a, a), rank[a:b], m))
+            e = np.zeros(b - a, np.int64)
+            if maximal:
+                start = np.searchsorted(total, total[1:] - min_words, side="right") - 1
+                e = np.where(start >= 0, np.arange(1, b - a + 1) - start, 0)
+            keep.append((pos[a:b], np.full(b - a, a), rank[a:b], m, e))
         if not keep:
             return None
-        p, s, r, m = (np.concatenate(x) for x in zip(*keep, strict=True))
+        p, s, r, m, e = (np.concatenate(x) for x in zip(*keep, strict=True))
         n = len(p)
-        return pa.table({"doc": pa.array(t.column("doc").to_pylist()[:1] * n, t.schema.field("doc").type), "th": pa.array(t.column("th").to_pylist()[:1] * n, pa.int64()), "stretch": pa.array(s, pa.int32()), "pos": pa.array(p, pa.int32()), "m": pa.array(m, pa.int32()), "r0": pa.array(r, pa.int64())})
+        return pa.table({"doc": pa.array(t.column("doc").to_pylist()[:1] * n, t.schema.field("doc").type), "th": pa.array(t.column("th").to_pylist()[:1] * n, pa.int64()), "stretch": pa.array(s, pa.int32()), "pos": pa.array(p, pa.int32()), "m": pa.array(m, pa.int32()), "e": pa.array(e, pa.int32()), "r0": pa.array(r, pa.int64())})
 
     return run
 
@@ -87,21 +94,25 @@ def _shifted(t: pa.Table, step: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _keys(levels: int):
-    """Interval of each suffix that begins a run: (m, rank, rank)."""
+    """Interval of each least window, from its start or to its end: (m, rank, rank)."""
 
     def run(t: pa.Table) -> pa.Table | None:
-        m, pos = (t.column(c).to_numpy() for c in ("m", "pos"))
+        m, e, pos = (t.column(c).to_numpy() for c in ("m", "e", "pos"))
         ranks = [pc.fill_null(t.column(f"r{k}"), -1).to_numpy() for k in range(levels)]
         out = []
-        for i in np.nonzero(m)[0]:
-            k = int(m[i]).bit_length() - 1
-            j = i + m[i] - (1 << k)
+        ends = np.nonzero(e)[0]
+        starts = ends - e[ends] + 1
+        other = m[starts] != e[ends]  # the rest are also the least from their start
+        windows = [(i, int(m[i])) for i in np.nonzero(m)[0]] + [(i, int(n)) for i, n in zip(starts[other], e[ends][other], strict=True)]
+        for i, n in windows:
+            k = n.bit_length() - 1
+            j = i + n - (1 << k)
             if ranks[k][i] >= 0 and ranks[k][j] >= 0:
-                out.append((i, ranks[k][i], ranks[k][j]))
+                out.append((i, ranks[k][i], ranks[k][j], n))
         if not out:
             return None
         at = np.array([x[0] for x in out])
-        return pa.table({"doc": t.column("doc").take(pa.array(at)), "th": t.column("th").take(pa.array(at)), "pos": pa.array(pos[at], pa.int32()), "m": pa.array(m[at], pa.int32()), "a": pa.array([x[1] for x in out], pa.int64()), "b": pa.array([x[2] for x in out], pa.int64())})
+        return pa.table({"doc": t.column("doc").take(pa.array(at)), "th": t.column("th").take(pa.array(at)), "pos": pa.array(pos[at], pa.int32()), "m": pa.array([x[3] for x in out], pa.int32()), "a": pa.array([x[1] for x in out], pa.int64()), "b": pa.array([x[2] for x in out], pa.int64())})
 
     return run
 
@@ -115,7 +126,7 @@ def _pairs(step: int, level: int):
     return run
 
 
-def repeated_runs(docs: DataFrame, min_words: int = MIN_WORDS, text: str = "text", key: str = "doc_id") -> DataFrame:
+def repeated_runs(docs: DataFrame, min_words: int = MIN_WORDS, text: str = "text", key: str = "doc_id", maximal: bool = False) -> DataFrame:
     """Rows (doc, th, pos, m): m lines from the pos-th line with words of a document are a later copy."""
     kind = docs.schema[key].dataType.simpleString()
     # no stretch position is needed for rows that repeat a document, but they would count twice: grouped by (doc, th) below
@@ -126,8 +137,8 @@ def repeated_runs(docs: DataFrame, min_words: int = MIN_WORDS, text: str = "text
     ranked = checkpointed(repeated.repartitionByRange("line").sortWithinPartitions("line").withColumn("r0", F.monotonically_increasing_id()))
     flat = lines.select("doc", "th", F.posexplode(F.arrays_zip("lines", "words")).alias("pos", "x")).select("doc", "th", "pos", F.col("x.lines").alias("line"), F.col("x.words").alias("words"))
     flat = flat.join(small(ranked), "line").drop("line")
-    base = "doc {}, th bigint, stretch int, pos int, m int, r0 bigint".format(kind)
-    suffix = checkpointed(grouped(flat, ["doc", "th"], ["pos"], _suffixes(min_words), base))
+    base = "doc {}, th bigint, stretch int, pos int, m int, e int, r0 bigint".format(kind)
+    suffix = checkpointed(grouped(flat, ["doc", "th"], ["pos"], _suffixes(min_words, maximal), base))
     levels = min_words.bit_length()
     for level in range(levels - 1):
         cols = f"{base}{''.join(f', r{k} bigint' for k in range(1, level + 1))}, nxt bigint"
@@ -159,9 +170,12 @@ def _clean(text: str | None, th: int, runs: dict[int, list[tuple[int, int]]]) ->
     return ("\n".join(s for i, s in enumerate(lines) if i not in gone) if gone else text), len(at), len(at) - len(gone)
 
 
-def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """The columns of `docs` with later copies of repeated runs deleted from the text, and n_lines, n_kept."""
-    runs = repeated_runs(docs, min_words, text, key)
+def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS, text: str = "text", key: str = "doc_id", maximal: bool = False) -> DataFrame:
+    """The columns of `docs` with later copies of repeated runs deleted from the text, and n_lines, n_kept.
+
+    The default deletes the least windows from each start, as the SQL of op6 says; `maximal` deletes whole runs.
+    """
+    runs = repeated_runs(docs, min_words, text, key, maximal)
     by_doc = checkpointed(runs.groupBy("doc").agg(F.collect_list(F.struct("th", "pos", "m")).alias("cut_runs")))
     cols = [c for c in docs.columns if c not in ("n_lines", "n_kept")]
     joined = docs.select(*cols).join(small(by_doc), docs[key].eqNullSafe(by_doc["doc"]), "left").drop("doc")

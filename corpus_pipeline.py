@@ -36,8 +36,8 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Deletes later copies of repeated line runs; n_chars follows the text, and emptied documents go."""
-    out = line_dedup.dedup_lines(docs).where("n_kept > 0 or n_lines = 0").drop("n_lines", "n_kept")
+    """Deletes later copies of whole repeated line runs; n_chars follows the text, and emptied documents go."""
+    out = line_dedup.dedup_lines(docs, maximal=True).where("n_kept > 0 or n_lines = 0").drop("n_lines", "n_kept")
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.when(F.col("text").isNull(), F.col("n_chars")).otherwise(F.length("text")).cast(docs.schema["n_chars"].dataType))
     return out.select(*docs.columns)

@@ -70,3 +70,42 @@ def test_columns_pass_through(spark):
 
 def test_empty(spark):
     assert dedup_lines(cases.empty(spark)).count() == 0
+
+
+def brute_maximal(rows, least):
+    """Lines with words that remain, by key: every window of `least` words that also begins at an earlier place goes."""
+    docs = {k: [s.strip() for s in t.split("\n") if s.strip()] for k, t in rows}
+    seen, out = set(), {}
+    for k in sorted(docs):
+        lines, gone = docs[k], set()
+        for a in range(len(lines)):
+            for b in range(a, len(lines)):
+                if sum(len(s.split()) for s in lines[a : b + 1]) >= least:
+                    window = tuple(lines[a : b + 1])
+                    if window in seen:
+                        gone |= set(range(a, b + 1))
+                    seen.add(window)
+        out[k] = [s for i, s in enumerate(lines) if i not in gone]
+    return out
+
+
+def kept_lines(spark, rows, least, maximal):
+    got = dedup_lines(spark.createDataFrame(rows, "doc_id bigint, text string"), least, maximal=maximal).collect()
+    return {r["doc_id"]: [s.strip() for s in r["text"].split("\n") if s.strip()] for r in got}
+
+
+def test_maximal_takes_the_tail_of_a_run(spark):
+    rnd = random.Random(5)
+    for sizes in ((40, 20, 5), (60, 3, 2, 4), (30, 10, 30)):
+        run = [cases.passage(rnd, n) for n in sizes]
+        rows = [(i, "\n".join([f"own line {i}", *run, f"own end {i}"])) for i in range(2)]
+        kept = kept_lines(spark, rows, 50, True)
+        assert kept[0] == rows[0][1].split("\n") and kept[1] == ["own line 1", "own end 1"]
+
+
+@pytest.mark.parametrize("seed", [1, 2, 3])
+def test_maximal_runs_at_random(spark, seed):
+    rnd = random.Random(seed)
+    lines = [cases.passage(rnd, n) for n in (1, 1, 2, 3, 5, 9)] + [""]
+    rows = [(i, "\n".join(rnd.choice(lines) for _ in range(rnd.randrange(0, 20)))) for i in range(12)]
+    assert kept_lines(spark, rows, 8, True) == brute_maximal(rows, 8)
