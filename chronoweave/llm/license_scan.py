@@ -1,10 +1,15 @@
 """License notices by Dice coefficients over word bigrams, with DataFrame functions only.
 
-A unit is a whole text or one of its lines. Letters and digits are kept, in lower case; everything else is a space.
+A unit is a whole text, one of its lines, or a window of consecutive lines (blank ones do not count). Letters and digits are kept, in lower case; everything else is a space.
 With m distinct bigrams in a template and n in a unit, the coefficient 2c/(m+n) reaches the threshold t only if
 m*t/(2-t) <= n <= m*(2-t)/t; these bounds leave few templates for each unit before any bigrams are compared. The best
 template of a unit is reported, the first in the alphabet among equals.
 
+A window has two lines or more and at most as many words as the largest template's bound allows. Only texts that share
+enough bigrams with some template have their windows compared. Of overlapping windows and lines the one with the
+greatest coefficient is taken, then the one with fewest lines, then the first; whole texts and single lines are
+reported wherever they match.
+
 Cases: null and empty texts, and units without a bigram, match nothing. Units are found wherever they repeat, in
 repeated rows too. An empty table gives an empty result. Other columns are not read.
 """
@@ -52,7 +57,10 @@ def let(value: Column, then: Callable[[Column], Column]) -> Column:
 
 
 def scan_licenses(docs: DataFrame, templates: dict[str, str] = TEMPLATES, threshold: float = THRESHOLD, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """Rows (key, unit, license, dice, n): unit is -1 for the whole text, else the number of the line."""
+    """Rows (key, unit, license, dice, n): unit is -1 for the whole text, the number of a line, or -2 - line for a window.
+
+    The line of a window is its first.
+    """
     grams = {name: b for name, t in sorted(templates.items()) if (b := bigrams(t))}
     if not grams:
         return docs.sparkSession.createDataFrame([], f"{key} {docs.schema[key].dataType.simpleString()}, unit int, license string, dice double, n int")
@@ -72,11 +80,49 @@ def scan_licenses(docs: DataFrame, templates: dict[str, str] = TEMPLATES, thresh
         pairs = F.zip_with(F.slice(w, 1, F.size(w) - 1), F.slice(w, 2, F.size(w) - 1), lambda a, b: F.concat(a, F.lit(" "), b))
         return F.when(fits, F.array_distinct(pairs))
 
-    def best_of(g: Column) -> Column:
-        near = F.filter(table, lambda t: (F.size(g) >= t["lo"]) & (F.size(g) <= t["hi"]))
+    def best_of(g: Column, among: Column) -> Column:
+        near = F.filter(among, lambda t: (F.size(g) >= t["lo"]) & (F.size(g) <= t["hi"]))
         scored = F.transform(near, lambda t: F.struct((-2.0 * F.size(F.array_intersect(g, t["grams"])) / (F.size(g) + t["m"])).alias("minus"), t["license"].alias("license"), F.size(g).alias("n")))
         return F.array_min(F.filter(scored, lambda x: x["minus"] <= -threshold + 1e-9))
 
-    best = let(let(F.split(F.trim(F.regexp_replace("u", " +", " ")), " ", -1), grams_of), best_of)
+    best = let(let(F.split(F.trim(F.regexp_replace("u", " +", " ")), " ", -1), grams_of), lambda g: best_of(g, table))
     found = units.select(key, (F.col("p") - 1).alias("unit"), best.alias("best")).where("best is not null")
-    return found.select(key, "unit", F.col("best.license").alias("license"), (-F.col("best.minus")).alias("dice"), F.col("best.n").alias("n"))
+
+    def pairs_of(w: Column) -> Column:
+        return F.when(F.size(w) > 1, F.zip_with(F.slice(w, 1, F.size(w) - 1), F.slice(w, 2, F.size(w) - 1), lambda a, b: F.concat(a, F.lit(" "), b))).otherwise(F.array().cast("array<string>"))
+
+    # a coefficient of the threshold needs as many common bigrams as the least unit has
+    every = F.array(*map(F.lit, sorted({g for b in grams.values() for g in b})))
+    common = lambda t: F.array_intersect(let(F.split(F.trim(F.translate(t, "\n", " ")), " +", -1), pairs_of), every)
+    reached = lambda c: F.filter(table, lambda x: F.size(F.array_intersect(c, x["grams"])) >= x["lo"])
+    texts = let(plain, lambda t: F.when(F.instr(t, "\n") > 0, F.filter(F.array(F.struct(t.alias("t"), let(common(t), reached).alias("near"))), lambda x: F.size(x["near"]) > 0)))
+    some = docs.where(F.col(text).isNotNull()).select(F.col(key), F.explode(texts).alias("c")).select(key, "c.t", "c.near")
+
+    def windows(rows: Column, near: Column, seen: Column) -> Column:
+        """Windows from 1 line on that match: minus, lines, place and number of the first line, license, n."""
+
+        def begins(s: Column) -> Column:
+            w = F.concat(F.get(rows, s)["w"], F.coalesce(F.slice(F.get(rows, s + 1)["w"], 1, 1), F.array().cast("array<string>")))
+            return F.arrays_overlap(let(w, pairs_of), seen)
+
+        def of(s: Column) -> Column:
+            def scored(k: Column) -> Column:
+                w = F.flatten(F.transform(F.slice(rows, s + 1, k), lambda r: r["w"]))
+                best = let(w, lambda v: F.when(F.size(v) - 1 <= high + 1e-9, let(F.array_distinct(pairs_of(v)), lambda g: best_of(g, near))))
+                return let(best, lambda b: F.struct(b["minus"].alias("minus"), k.alias("k"), s.alias("s"), F.get(rows, s)["i"].alias("i"), b["license"].alias("license"), b["n"].alias("n")))
+
+            return F.transform(F.sequence(F.lit(1), F.least(F.size(rows) - s, F.lit(int(high) + 1))), scored)
+
+        first = F.filter(F.sequence(F.lit(0), F.size(rows) - 1), begins)
+        return F.array_sort(F.filter(F.flatten(F.transform(first, of)), lambda x: x["minus"].isNotNull()))
+
+    def apart(found: Column) -> Column:
+        clash = lambda x, y: (x["s"] < y["s"] + y["k"]) & (y["s"] < x["s"] + x["k"])
+        return F.aggregate(found, F.slice(found, 1, 0), lambda kept, x: F.when(F.exists(kept, lambda y: clash(x, y)), kept).otherwise(F.concat(kept, F.array(x))))
+
+    split = F.transform(F.split("t", "\n", -1), lambda u, i: F.struct(i.alias("i"), F.filter(F.split(u, " ", -1), lambda w: w != "").alias("w")))
+    seen = F.array_distinct(F.flatten(F.transform("near", lambda x: x["grams"])))
+    several = lambda rows: F.filter(let(let(seen, lambda g: windows(rows, F.col("near"), g)), apart), lambda x: (x["k"] > 1) & (x["k"] < F.size(rows)))
+    wrapped = some.select(key, F.explode(let(F.filter(split, lambda r: F.size(r["w"]) > 0), several)).alias("best")).select(key, (-2 - F.col("best.i")).alias("unit"), "best")
+    found = found.select(key, "unit", "best.license", "best.minus", "best.n").unionAll(wrapped.select(key, "unit", "best.license", "best.minus", "best.n"))
+    return found.select(key, "unit", "license", (-F.col("minus")).alias("dice"), "n")

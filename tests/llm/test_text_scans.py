@@ -2,6 +2,7 @@
 
 import random
 import re
+import textwrap
 
 import pytest
 
@@ -174,3 +175,19 @@ def test_url_rules_are_checked(spark):
     with pytest.raises(ValueError):
         url_filter.Trie([("a", "/", "allow"), ("a", "/", "block")])
     assert url_filter.filter_urls(spark.createDataFrame([], "page_id bigint, url string"), []).count() == 0
+
+
+def test_wrapped_license_notices(spark):
+    wrap = lambda name, mark: [mark + x for x in textwrap.wrap(license_scan.TEMPLATES[name], 60)]
+    before, after = ["import os", "", "def first(): pass"], ["", "a b c d", "the end of the file"]
+    rows = [(i, "\n".join([*before, *wrap(name, mark), *after])) for i, (name, mark) in enumerate([("apache-2.0-header", "# "), ("gpl-3.0-header", " * "), ("mit-permission", ""), ("isc", "// ")])]
+    rows.append((4, "\n".join([*before, *wrap("isc", "# "), *after, *wrap("mit-permission", "# "), *after])))
+    rows += [(5, "\n".join(["own words", license_scan.TEMPLATES["mit"], "other words"])), (6, "\n".join(wrap("isc", "")))]
+    rows += [(7, "\n".join([*before, *" \n \n".join(wrap("isc", "# ")).split("\n"), *after]))]
+    got = license_scan.scan_licenses(spark.createDataFrame([*rows, rows[0]], "doc_id bigint, text string")).collect()
+    wide = sorted((r["doc_id"], r["unit"], r["license"]) for r in got if r["unit"] < -1)
+    isc = len(wrap("isc", ""))
+    assert wide == [(0, -5, "apache-2.0-header")] * 2 + [(1, -5, "gpl-3.0-header"), (2, -5, "mit-permission"), (3, -5, "isc"), (4, -5 - isc - 3, "mit-permission"), (4, -5, "isc"), (7, -5, "isc")]
+    assert all(r["dice"] == 1.0 for r in got if r["unit"] < -1)
+    assert [(r["unit"], r["license"]) for r in got if r["doc_id"] == 5] == [(1, "mit")]
+    assert [(r["unit"], r["license"]) for r in got if r["doc_id"] == 6] == [(-1, "isc")]
