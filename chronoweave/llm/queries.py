@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from functools import lru_cache
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from chronoweave.llm import decontaminate, jaccard_join, lang_id, license_scan, line_dedup, mixing, mtree, pii, secret_scan, url_filter
@@ -49,9 +49,13 @@ def _tagger() -> pii.Tagger:
     return pii.train_tagger(pii.labelled_examples())
 
 
+def _count(kind: str) -> Column:
+    """How many of the joined spans in `base` are of this kind."""
+    return F.size(F.filter(F.split("base", ","), lambda s: s.startswith(f"{kind}:"))).cast("bigint").alias(f"n_{kind}")
+
+
 def _counts(found: DataFrame, kinds: tuple[str, ...]) -> DataFrame:
-    n = [F.size(F.filter(F.split("base", ","), lambda s, k=k: s.startswith(f"{k}:"))).cast("bigint").alias(f"n_{k}") for k in kinds]
-    return found.select("doc_id", *n, F.sha2(F.col("base").cast("binary"), 256).alias("base_sha256"), "spans")
+    return found.select("doc_id", *map(_count, kinds), F.sha2(F.col("base").cast("binary"), 256).alias("base_sha256"), "spans")
 
 
 def op7_pii(spark: SparkSession, d: str) -> DataFrame:

@@ -4,7 +4,9 @@ A candidate is a maximal run of key characters. Windows of `WINDOW` characters s
 and the sum of c*log2(c) change by one character in and one out, so a candidate of any length costs linear time. The
 threshold of a window depends on its character class (hexadecimal, alphanumeric, with symbols), and a window needs both
 letters and digits. Qualifying windows that touch become one span of kind `entropy`. Spans that overlap a fixed
-pattern, and candidates on the allow-list (exact strings, or patterns for the whole candidate), are left out.
+pattern, and candidates on the allow-list (exact strings, or patterns for the whole candidate), are left out. A
+candidate that is a host name, perhaps with a path, is not random for its dots and slashes: its labels and path
+segments are scanned one by one, so that a token among them is found and the name around it is not.
 
 Cases: a null text counts as empty and has no spans. Texts of any length are scanned whole. Repeated rows get equal
 results, an empty table an empty one; other columns are not read.
@@ -14,7 +16,9 @@ from __future__ import annotations
 
 import math
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
+from itertools import accumulate
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -29,7 +33,6 @@ THRESHOLDS = {"hex": 3.0, "alnum": 3.7, "symbols": 3.9}
 ALLOWED_STRINGS = frozenset({"ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789", "abcdefghijklmnopqrstuvwxyz0123456789", "0123456789abcdefghijklmnopqrstuvwxyz"})
 ALLOWED_PATTERNS = (
     r"[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}",  # UUID
-    r"[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}([/.][A-Za-z0-9_.=+/-]*)?",  # host name, perhaps with a path
     r"[0-9+.=/_-]+",  # numbers, dates, rules
 )
 
@@ -38,6 +41,8 @@ _WORDS = ("password", "passwd", "secret", "token", "apikey", "api_key")
 _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 _HEX = re.compile(r"[0-9a-f]{24,}")
 _CANDIDATE = re.compile(rf"[A-Za-z0-9+/_.=-]{{{WINDOW},}}")
+_HOST = re.compile(r"/*[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}(?=/|$)")
+_LABEL, _SEGMENT = re.compile(r"[^./]+"), re.compile(r"[^/]+")
 _HEX_CHARS = frozenset("0123456789abcdef")
 _CLOG = [0.0, *(c * math.log2(c) for c in range(1, WINDOW + 1))]
 
@@ -92,23 +97,34 @@ class Scanner:
             base += [("access", m.start(), m.end()) for m in _ACCESS.finditer(text) if len(m[0]) >= 20]
         runs = list(_CANDIDATE.finditer(text))
         base += [("hex", m.start(), m.end()) for r in runs for m in _HEX.finditer(text, r.start(), r.end())]
+        fixed = sorted((s, e) for _, s, e in base)
+        opens, closes = [s for s, _ in fixed], list(accumulate((e for _, e in fixed), max))
         more = []
         for r in runs:
             if self.allowed(r[0].strip(".=-_/+")):
                 continue
-            for a, b in entropy_spans(r[0]):
+            for a, b in self.random_parts(r[0]):
                 a, b = a + r.start(), b + r.start()
-                if not any(s < b and a < e for _, s, e in base):
+                before = bisect_left(opens, b)  # fixed spans that begin before b
+                if not before or closes[before - 1] <= a:
                     more.append(("entropy", a, b))
         return base, more
 
+    def random_parts(self, s: str) -> list[tuple[int, int]]:
+        """Spans of high entropy in a candidate; a host name and its path go piece by piece."""
+        host = _HOST.match(s)
+        if not host:
+            return entropy_spans(s)
+        pieces = [*_LABEL.finditer(s, 0, host.end()), *_SEGMENT.finditer(s, host.end())]
+        return [(p.start() + a, p.start() + b) for p in pieces if not self.allowed(p[0].strip(".=-_+")) for a, b in entropy_spans(p[0])]
+
 
 def _joined(spans: list[tuple[str, int, int]]) -> str:
     return ",".join(f"{k}:{a}:{b}" for k, a, b in sorted(spans, key=lambda x: (x[1], KINDS.index(x[0]))))
 
 
 def scan_secrets(docs: DataFrame, text: str = "text", key: str = "doc_id", allowed_strings=ALLOWED_STRINGS, allowed_patterns=ALLOWED_PATTERNS) -> DataFrame:
-    """Rows (key, base, more): arrays of (kind, start, end), code points, end exclusive."""
+    """Rows (key, base, spans): joined kind:start:end, code points, end exclusive; `spans` holds the base ones too."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         scanner = Scanner(allowed_strings, allowed_patterns)
