@@ -22,23 +22,46 @@ def test_topk_is_exact(spark, n, shard):
     got = {}
     for r in mtree.top_inner_products(df, "vec_id % 20 = 0", 20, shard_rows=shard).orderBy("query_id", "rank").collect():
         got.setdefault(r["query_id"], []).append((r["rank"], r["vec_id"], r["score"]))
-    ok = [(i, np.floor(64 * np.array(v, np.float32).astype(float))) for i, v in rows if i is not None and v is not None and len(v) == 6 and all(c is not None and np.isfinite(c) for c in v)]
+    ok = [(i, np.floor(64 * np.array(v, np.float32).astype(float))) for i, v in rows if i is not None and v is not None and all(c is not None and np.isfinite(c) for c in v)]
     ids = [i for i, _ in ok]
     for q, x in ok:
         if q % 20 == 0 and ids.count(q) == 1:
-            want = sorted((-int(x @ y), i) for i, y in ok if i != q)[:20]
+            want = sorted((-int(x @ y), i) for i, y in ok if i != q and len(x) == len(y))[:20]
             assert got.get(q, []) == [(k + 1, i, -s) for k, (s, i) in enumerate(want)]
 
 
+def slow_topk(x, queries, own, ids, k):
+    """Python integers, every pair."""
+    rows = [[int(c) for c in r] for r in x.tolist()]
+    out = []
+    for q, o in zip(queries.tolist(), own.tolist(), strict=True):
+        scores = [(sum(int(a) * b for a, b in zip(q, r, strict=True)), -i) for r, i in zip(rows, ids.tolist(), strict=True) if i != o]
+        out.append(sorted(scores, reverse=True)[:k])
+    return out
+
+
+@pytest.mark.parametrize(("scale", "kind"), [(3, np.float64), (2**25, np.int64), (2**40, object), (2**700, object)])
+def test_batches_against_every_pair(scale, kind):
+    """Ties, large numbers in exact types, and queries that share pages."""
+    rng = np.random.default_rng(6)
+    small = rng.integers(-9, 10, (600, 5))
+    small[100:300] = small[0]
+    x = np.array([[int(c) * scale + int(c) % 3 for c in r] for r in small], object)
+    top = max(sum(float(c) ** 2 if abs(c) < 1e150 else float("inf") for c in r) for r in x)
+    exact = mtree._exact(x.astype(np.float64), top)
+    assert exact.dtype == np.dtype(kind)
+    ids = rng.permutation(600)
+    got = mtree.MTree(exact, top, page=32).search(exact[:50], ids[:50], ids, 7)
+    assert [[(int(s), i) for s, i in g] for g in got] == slow_topk(exact, exact[:50], ids[:50], ids, 7)
+
+
 def test_tree_prunes_clustered_vectors():
     rng = np.random.default_rng(3)
     centres = rng.normal(size=(40, 8)) * 200
     x = np.floor(centres[rng.integers(0, 40, 8000)] + rng.normal(size=(8000, 8)) * 4)
-    top = (x * x).sum(1).max()
-    lifted = np.concatenate([x, np.sqrt(top - (x * x).sum(1))[:, None]], axis=1)
-    t = mtree.MTree(lifted, page=64)
+    t = mtree.MTree(x, (x * x).sum(1).max(), page=64)
     q = x[17]
-    got = t.search(np.append(q, 0.0), q, q @ q + top, 10, np.arange(len(x)), 17)
+    got = t.search(q[None], np.array([17]), np.arange(len(x)), 10)[0]
     want = sorted(((int(x[i] @ q), -i) for i in range(len(x)) if i != 17), reverse=True)[:10]
     assert got == want and t.computed < 0.6 * len(x)
 
@@ -48,6 +71,9 @@ def test_topk_of_nothing(spark):
     same = spark.createDataFrame([(i, [1.0, 2.0]) for i in range(700)], "vec_id bigint, embedding array<float>")
     got = [(r["rank"], r["vec_id"]) for r in mtree.top_inner_products(same, "vec_id = 5", 4).orderBy("rank").collect()]
     assert got == [(1, 0), (2, 1), (3, 2), (4, 3)]
+    huge = spark.createDataFrame([(i, [1e30 * (i - 2), 2.0]) for i in range(5)] + [(9, [])], "vec_id bigint, embedding array<double>")
+    got = [(r["vec_id"], r["score"]) for r in mtree.top_inner_products(huge, "vec_id = 4", 2).orderBy("rank").collect()]
+    assert got == [(3, 2**63 - 1), (2, 128 * 128)]
 
 
 # ---------------------------------------------------------------- mixing
