@@ -1,7 +1,7 @@
 """Language identification of mixed texts: scripts narrow the candidates, Viterbi labels every word.
 
 Model: for each language the log-probabilities of the padded character trigrams of its words, with add-half smoothing,
-counted over a bounded sample of labelled rows (`train_docs` for each language, in the order of a hash of the key).
+counted over whole texts of a bounded sample of labelled rows (those of each language whose hash is below a threshold).
 Languages are also known by the script ranges that their training words use; a word whose letters lie in a script that
 only some languages use is scored for those alone.
 
@@ -13,8 +13,8 @@ The language that labels most letters is the prediction.
 score: the share of the predicted language among letters, times the mean probability of it within its words.
 
 Cases: a null text or one without letters is `und` with score 0. Ties go to the language first in the alphabet. A word
-in a script unknown to the model carries no evidence; if all are, the text is `und`. An empty table gives an empty
-result. With no labelled rows at all, everything is `und`.
+in a script unknown to the model carries no evidence; if all are, the text gets the first of k languages with score
+1/k. An empty table gives an empty result. With no labelled rows at all, everything is `und`.
 """
 
 from __future__ import annotations
@@ -24,10 +24,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from chronoweave.llm.common import map_texts
+from chronoweave.llm.common import checkpointed, map_texts, small
 
 SWITCH = 12.0
 FLOOR = 6.0
@@ -118,7 +118,7 @@ class Predictor:
     def __init__(self, model: LanguageModel, limit: int = 200_000):
         self.model, self.limit = model, limit
         self.known: dict[str, int] = {}
-        self.table = np.zeros((1024, len(model.langs)))
+        self.table = np.zeros((1024, len(model.langs) + 1))  # scores, and whether the script is known
 
     def _rows(self, tokens: list[str]) -> np.ndarray:
         """Places of the words in the table, which grows as new words come."""
@@ -130,7 +130,7 @@ class Predictor:
             end = len(known) + len(new)
             if end > len(self.table):
                 self.table = np.concatenate([self.table, np.zeros((max(end, 2 * len(self.table)) - len(self.table), self.table.shape[1]))])
-            self.table[len(known) : end] = [self.model.word_scores(w) for w in new]
+            self.table[len(known) : end] = [[*self.model.word_scores(w), bool(self.model.candidates(w))] for w in new]
             known.update(zip(new, range(len(known), end), strict=True))
         return np.fromiter(map(known.__getitem__, tokens), np.int64, len(tokens))
 
@@ -139,20 +139,25 @@ class Predictor:
         tokens = _WORD.findall(text.lower()) if isinstance(text, str) else []
         if not tokens or not self.model.langs:
             return tokens, np.zeros((0, 0)), np.zeros(0, np.int8)
-        rows = self._rows(tokens)
+        rows = self._rows(tokens)  # may replace the table
         scores = self.table[rows]
-        return tokens, scores, viterbi(scores)
+        return tokens, scores, viterbi(scores[:, :-1])
 
     def predict(self, text: str | None) -> tuple[str, float]:
+        return self.judge(text)[:2]
+
+    def judge(self, text: str | None) -> tuple[str, float, bool]:
+        """Language, score, and whether any word is in a script of the model."""
         tokens, scores, labels = self.label(text)
-        if not len(labels) or not scores.any():
-            return "und", 0.0
+        if not len(labels):
+            return "und", 0.0, False
+        scores, known = scores[:, :-1], bool(scores[:, -1].any())
         letters = np.fromiter(map(len, tokens), np.float64, len(tokens))
         share = np.bincount(labels, letters, len(self.model.langs)) / letters.sum()
         best = int(share.argmax())
         own = labels == best
         p = 1 / np.exp(scores[own] - scores[own][:, [best]]).sum(1)
-        return self.model.langs[best], float(share[best] * (p * letters[own]).sum() / letters[own].sum())
+        return self.model.langs[best], float(share[best] * (p * letters[own]).sum() / letters[own].sum()), known
 
 
 def word_spans(text: str, predictor: Predictor) -> list[tuple[int, int, str]]:
@@ -168,22 +173,23 @@ def word_spans(text: str, predictor: Predictor) -> list[tuple[int, int, str]]:
     return out
 
 
-def train(docs: DataFrame, use: Column, text: str = "text", lang: str = "lang", key: str = "doc_id", train_docs: int = 600, words_each: int = 2000) -> LanguageModel:
-    """Fits the model on rows where `use` holds and lang is not null: at most `train_docs` rows a language.
+def train(docs: DataFrame, use: Column, text: str = "text", lang: str = "lang", key: str = "doc_id", train_docs: int = 600) -> LanguageModel:
+    """Fits the model on rows where `use` holds and lang is not null.
 
-    `train_docs` and `words_each` (the words of a row that are counted) bound what reaches the driver. Both bounds
-    are of the training sample alone; predictions read every row and every word.
+    `train_docs` rows a language are expected in the sample, all if there are no more; rows that repeat key and text
+    count once. What reaches the driver are the counts of trigrams. The bound is of the training sample alone;
+    predictions read every row and every word.
     """
-    own = docs.where(use & F.col(lang).isNotNull() & F.col(text).isNotNull()).select(F.col(lang).alias("lang"), F.xxhash64(key, text).alias("h"), F.col(key).alias("id"))
-    first = own.withColumn("n", F.row_number().over(Window.partitionBy("lang").orderBy("h", "id"))).where(F.col("n") <= train_docs)
-    ids = [r["id"] for r in first.select("id").collect()]
-    chosen = docs.where(F.col(key).isin(ids) & F.col(lang).isNotNull() & F.col(text).isNotNull()).select(F.col(lang).alias("lang"), F.col(text).alias("text"))
+    own = docs.where(use & F.col(lang).isNotNull() & F.col(text).isNotNull()).select(F.col(lang).alias("lang"), F.xxhash64(key, text).alias("h"), F.col(text).alias("text"))
+    sizes = checkpointed(own.groupBy("lang").agg(F.count("*").alias("rows")))
+    cut = F.lit(float(2**32) * train_docs) / F.col("rows")
+    chosen = own.join(small(sizes), "lang").where(F.pmod("h", F.lit(2**32)) < cut).groupBy("lang", "h").agg(F.min("text").alias("text")).select("lang", "text")
 
     def count(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             seen: dict[tuple[str, str], int] = {}
             for name, t in zip(frame["lang"], frame["text"], strict=True):
-                for w in _WORD.findall(t.lower())[:words_each]:
+                for w in _WORD.findall(t.lower()):
                     for g in trigrams(w):
                         seen[name, g] = seen.get((name, g), 0) + 1
             yield pd.DataFrame([(a, b, n) for (a, b), n in seen.items()], columns=["lang", "gram", "n"])

@@ -1,10 +1,13 @@
+import math
 import random
+import re
+import zlib
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from chronoweave.llm import decontaminate, lang_id, mixing, mtree
+from chronoweave.llm import decontaminate, lang_id, mixing, mtree, queries
 from tests.llm import cases
 
 
@@ -201,12 +204,73 @@ def model():
 def test_scripts_and_spans():
     p = lang_id.Predictor(model())
     assert [model().langs[k] for k in model().candidates("дом")] == ["ru"]
-    assert p.predict("дом")[0] == "ru" and p.predict("שלום")[0] == "und" and p.predict("123 !")[0] == "und" and p.predict(None) == ("und", 0.0)
+    assert p.predict("дом")[0] == "ru" and p.predict("שלום") == ("en", 1 / 3) and p.predict("123 !")[0] == "und" and p.predict(None) == ("und", 0.0)
     text = "the house with three windows the house with la maison avec trois fenêtres la maison avec trois"
     assert [s[2] for s in lang_id.word_spans(text, p)] == ["en", "fr"]
     assert lang_id.Predictor(lang_id.LanguageModel({})).predict("words") == ("und", 0.0)
 
 
+def test_one_language_and_unknown_scripts():
+    """`und` is for texts without letters alone; judge() tells the pipeline that no script was known."""
+    one = lang_id.Predictor(lang_id.LanguageModel({"en": {" a ": 2}}))
+    assert one.predict("some words") == ("en", 1.0) and one.judge("สวัสดี") == ("en", 1.0, False) and one.predict("7 !") == ("und", 0.0)
+    two = lang_id.Predictor(lang_id.LanguageModel({"de": {" a ": 2}, "en": {" b ": 2}}))
+    assert two.judge("สวัสดี") == ("de", 0.5, False) and two.judge("a")[::2] == ("de", True)
+
+
+def slow_prediction(counts, text):
+    """Every word scored anew, Viterbi over the full table."""
+    langs, tokens = sorted(counts), re.findall(r"[^\W\d_]+", (text or "").lower())
+    if not tokens:
+        return "und", 0.0
+    vocabulary = len({g for c in counts.values() for g in c}) + 1
+    total = {k: sum(c.values()) + 0.5 * vocabulary for k, c in counts.items()}
+    rows = []
+    for w in tokens:
+        sums = [sum(math.log((counts[k].get(g, 0) + 0.5) / total[k]) for g in (f" {w} "[i : i + 3] for i in range(len(w)))) for k in langs]
+        known = [any(lang_id.script_of(w) == lang_id.script_of(g.strip()) for g in counts[k] if g.strip()) for k in langs]
+        top = max([s for s, ok in zip(sums, known, strict=True) if ok], default=None)
+        rows.append([0.0 if top is None else max(s - top, -6.0) if ok else -6.0 for s, ok in zip(sums, known, strict=True)])
+    gain, back = rows[0], []
+    for row in rows[1:]:
+        step = [[gain[i] - 12.0 * (i != j) for i in range(len(langs))] for j in range(len(langs))]
+        back.append([max(range(len(langs)), key=t.__getitem__) for t in step])
+        gain = [max(t) + x for t, x in zip(step, row, strict=True)]
+    path = [max(range(len(langs)), key=gain.__getitem__)]
+    for b in reversed(back):
+        path.append(b[path[-1]])
+    path.reverse()
+    letters = [sum(len(w) for w, k in zip(tokens, path, strict=True) if k == j) for j in range(len(langs))]
+    best = max(range(len(langs)), key=letters.__getitem__)
+    p = sum(len(w) / sum(math.exp(x - r[best]) for x in r) for w, r, k in zip(tokens, rows, path, strict=True) if k == best)
+    return langs[best], p / sum(letters)
+
+
+def test_language_query_against_brute_force(spark, small):
+    docs = [r.asDict() for r in spark.read.parquet(f"{small}/documents.parquet").collect()]
+    counts = {}
+    for r in docs:
+        if r["lang"] is not None and r["text"] is not None and zlib.crc32(str(r["doc_id"]).encode()) % 3 != 1:
+            c = counts.setdefault(r["lang"], {})
+            for w in re.findall(r"[^\W\d_]+", r["text"].lower()):
+                for i in range(len(w)):
+                    g = f" {w} "[i : i + 3]
+                    c[g] = c.get(g, 0) + 1
+    got = {r["doc_id"]: r for r in queries.op5_lang_id(spark, small).collect()}
+    assert len(got) == len(docs)
+    for r in docs:
+        if r["text"] is None or len(r["text"]) < 6000:
+            lang, score = slow_prediction(counts, r["text"])
+            mine = got[r["doc_id"]]
+            assert (mine["held_out"], mine["lang_pred"]) == (zlib.crc32(str(r["doc_id"]).encode()) % 3 == 1, lang) and abs(mine["score"] - score) < 1e-9
+
+
+def test_training_sample_is_bounded_and_whole(spark):
+    df = spark.createDataFrame([(i, "Word " * 3000 + "zebra", "en" if i % 3 else "fr") for i in range(400)] + [(1, "Word " * 3000 + "zebra", "en")] * 50, "doc_id bigint, text string, lang string")
+    m = lang_id.train(df, F.lit(True), train_docs=60)
+    assert m.langs == ["en", "fr"] and " ze" in m.index
+
+
 def test_cache_bound_changes_nothing():
     a, b = lang_id.Predictor(model()), lang_id.Predictor(model(), limit=3)
     for t in ("the house", "la maison", "three fenêtres avec", "the house with"):
