@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from chronoweave.llm import decontaminate, jaccard_join, lang_id, line_dedup, mixing
 from chronoweave.llm.common import SLICE, checkpointed, shared_folder, small, table
 
-#: A prediction below this, or none, rejects a document.
+#: A prediction below this, or no word in a script of the model, rejects a document.
 MIN_SCORE = 0.2
 
 
@@ -29,8 +29,8 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
         for batch in batches:
             for at in range(0, batch.num_rows, SLICE):
                 part = batch.slice(at, SLICE)
-                found = [predictor.predict(t) for t in part.column(place).to_pylist()]
-                yield part.filter([lang != "und" and score >= MIN_SCORE for lang, score in found])
+                found = [predictor.judge(t) for t in part.column(place).to_pylist()]
+                yield part.filter([known and score >= MIN_SCORE for _, score, known in found])
 
     return docs.mapInArrow(keep, docs.schema)
 
