@@ -9,7 +9,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
@@ -23,10 +23,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that the cluster shares for checkpoints; one of this machine only where none is set, as in tests."""
+    """The folder that the cluster shares for checkpoints. Where none is set, a local master gets one of this machine, as
+    in tests; on a cluster that would be lost with its machine, so it is refused."""
     found = spark.sparkContext._jsc.sc().getCheckpointDir()
     if not found.isDefined():
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="chronoweave-"))
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder and not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the cluster shares")
+        spark.sparkContext.setCheckpointDir(folder or tempfile.mkdtemp(prefix="chronoweave-"))
         found = spark.sparkContext._jsc.sc().getCheckpointDir()
     return found.get()
 
@@ -37,9 +41,15 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Marks a checkpointed frame for broadcast if its counted rows are within the bound; else it is shuffled."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+#: Cells of arrays in a broadcast table.
+BROADCAST_CELLS = 2_000_000
+
+
+def small(df: DataFrame, rows: int = BROADCAST_ROWS, cells: Column | None = None) -> DataFrame:
+    """Marks a checkpointed frame for broadcast if its counted rows are within the bound, and with them the `cells`
+    of columns that hold arrays; else it is shuffled."""
+    n, held = df.limit(rows + 1).agg(F.count("*"), F.sum(cells) if cells is not None else F.lit(0)).first()
+    return F.broadcast(df) if n <= rows and (held or 0) <= BROADCAST_CELLS else df
 
 
 #: Texts that a worker holds as Python strings at once.

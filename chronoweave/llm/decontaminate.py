@@ -6,17 +6,19 @@
 2. Passages are windows of `LENGTH` words, one every `STRIDE`; items are cut into chunks that a window can hold, so
    that a short item is not lost in a long passage and a long one still fills several. The TF-IDF rows A are never
    stored: a distributed randomised SVD multiplies A'(A Omega) and then (AQ)'(AQ) by partition and adds up the
-   partial products, whose size depends on the benchmark alone. Rank: the number of chunks plus an oversample, at most
-   `MAX_RANK`.
-3. Passages with two or more features (one, if some item has no more) whose latent vector has at least the cosine
-   `min_cosine` with an item's chunk are candidates.
+   partial products, whose size depends on the block alone. Rank: the number of chunks plus an oversample, so that no
+   chunk is without a direction of its own.
+3. Passages with two or more features (one, if some chunk has no more) whose latent vector has at least the cosine
+   `min_cosine` with an item's chunk are candidates. Words that occur in no document are left out of the chunks.
 4. Candidates are read again from the text: the share of the item's words in the longest common subsequence with the
    passage must reach `min_lcs`; or `paraphrase_lcs`, if the item's answer (its last sentence) is there in order.
 
-The benchmark is a parameter of bounded size: it is taken in blocks of `BLOCK_ITEMS` items.
+The benchmark is a parameter; it streams through the driver in blocks of `BLOCK_CHUNKS` chunks, each of which reads the
+corpus once. An item with more chunks than a block has goes through several.
 
 Cases: items or texts that are null or without words match nothing. Repeated items are matched each. Rows with equal
-keys are one document. An empty table on either side gives an empty result.
+keys are one document; so are rows without a key, which are found with a null key. An empty table on either side gives
+an empty result.
 """
 
 from __future__ import annotations
@@ -34,7 +36,9 @@ from pyspark.sql import functions as F
 
 from chronoweave.llm.common import checkpointed, small
 
-BLOCK_ITEMS, MAX_RANK, OVERSAMPLE, LENGTH, STRIDE, CHUNK = 2000, 256, 16, 64, 32, 48
+BLOCK_CHUNKS, OVERSAMPLE, LENGTH, STRIDE, CHUNK = 512, 16, 64, 32, 48
+#: A document in the plan: two hashes of its text.
+DOC = "struct<a: bigint, b: bigint>"
 _WORD = re.compile(r"[^\W_]+")
 _SENTENCE = re.compile(r"[.!?\n]+")
 
@@ -110,7 +114,7 @@ def _places(terms: Terms):
                 if keep:
                     n = np.r_[0, np.cumsum([len(p) for p in place])].astype(np.int32)
                     lists = [pa.ListArray.from_arrays(pa.array(n), pa.array(np.concatenate(x))) for x in (place, term)]
-                    yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(keep)), *lists], names=["doc_id", "place", "term"])
+                    yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(keep)), *lists], names=["doc", "place", "term"])
 
     return run
 
@@ -138,9 +142,8 @@ class Space:
         n = last - first + 1
         at = np.repeat(np.arange(len(place)), n)
         window = first[at] + np.arange(len(at)) - np.repeat(np.cumsum(n) - n, n)
-        key = (doc[at] << 32 | window) * len(self.idf) + term[at] if len(self.idf) < 2**20 else None
-        if key is None or (len(at) and batch.num_rows >= 2**11):
-            raise ValueError("batch or vocabulary too large")
+        # under 2^9 rows, 2^32 windows and BLOCK_CHUNKS * LENGTH terms
+        key = (doc[at] << 32 | window) * len(self.idf) + term[at]
         key, count = np.unique(key, return_counts=True)
         col, passage = key % len(self.idf), key // len(self.idf)
         weight = (self.idf[col] * (1 + np.log(count))).astype(np.float32)
@@ -162,7 +165,8 @@ def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _blocks(m: np.ndarray) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(np.arange(len(m), dtype=np.int32)), pa.array(list(m.astype(np.float64)), pa.list_(pa.float64()))], names=["r", "v"])
+    rows = np.flatnonzero(m.any(1)).astype(np.int32)
+    return pa.RecordBatch.from_arrays([pa.array(rows), pa.array(list(m[rows].astype(np.float64)), pa.list_(pa.float64()))], names=["r", "v"])
 
 
 def _total(df: DataFrame, fn, shape: tuple[int, int], pieces: int) -> np.ndarray:
@@ -246,7 +250,7 @@ def _candidates(shared, min_cosine: float, least: int):
                     hits[place] = max(hits.get(place, 0.0), float(near[i, j]))
             if found:
                 keys = list(found)
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array([d for d, _ in keys])), pa.array([j for _, j in keys], pa.int32()), pa.array([sorted(found[k]) for k in keys], pa.list_(pa.int32())), pa.array([max(found[k].values()) for k in keys], pa.float64())], names=["doc_id", "item", "starts", "cosine"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array([d for d, _ in keys])), pa.array([j for _, j in keys], pa.int32()), pa.array([sorted(found[k]) for k in keys], pa.list_(pa.int32())), pa.array([max(found[k].values()) for k in keys], pa.float64())], names=["doc", "item", "starts", "cosine"])
 
     return run
 
@@ -284,54 +288,73 @@ def _check(shared, min_lcs: float, paraphrase_lcs: float):
     return run
 
 
-def find_leaks(docs: DataFrame, benchmark: DataFrame, text: str = "text", key: str = "doc_id", item_key: str = "item_id", item_text: str = "text", max_df: float = 0.01, min_cosine: float = 0.3, min_lcs: float = 0.7, paraphrase_lcs: float = 0.55) -> DataFrame:
+def find_leaks(docs: DataFrame, benchmark: DataFrame, text: str = "text", key: str = "doc_id", item_key: str = "item_id", item_text: str = "text", max_df: float = 0.01, min_cosine: float = 0.2, min_lcs: float = 0.7, paraphrase_lcs: float = 0.55) -> DataFrame:
     """Rows (doc_id, item_id, cosine, lcs, answer): the items that each document holds."""
     spark = docs.sparkSession
     kind, item_kind = docs.schema[key].dataType.simpleString(), benchmark.schema[item_key].dataType.simpleString()
     out = spark.createDataFrame([], f"doc_id {kind}, item_id {item_kind}, cosine double, lcs double, answer boolean")
     own = benchmark.select(F.col(item_key).alias("id"), F.col(item_text).alias("t")).where("t is not null")
-    blocks = max(1, math.ceil(own.count() / BLOCK_ITEMS))
-    source = docs.select(F.col(key).alias("doc_id"), F.col(text).alias("text"))
-    total = source.count()
-    for block in range(blocks):
-        rows = [(r["id"], tokens(r["t"]), answer_of(r["t"])) for r in own.where(F.pmod(F.xxhash64("id", "t"), F.lit(blocks)) == block).orderBy("id", "t").collect()]
-        rows = [r for r in rows if r[1]]
-        if rows:
-            out = out.unionByName(_block(source, kind, item_kind, rows, total, max_df, min_cosine, min_lcs, paraphrase_lcs))
-    return out
-
-
-def _block(source: DataFrame, kind: str, item_kind: str, rows: list, total: int, max_df: float, min_cosine: float, min_lcs: float, paraphrase_lcs: float) -> DataFrame:
+    source = docs.select(F.col(key).alias("doc_id"), F.col(text).alias("text"), F.struct(F.xxhash64(text).alias("a"), F.xxhash64(F.lit(7), text).alias("b")).alias("doc"))
+    total = None
+    for rows, chunks in _benchmark_blocks(r for r in own.orderBy("id", "t").toLocalIterator()):
+        total = source.count() if total is None else total
+        out = out.unionByName(_block(source, kind, item_kind, rows, chunks, total, max_df, min_cosine, min_lcs, paraphrase_lcs))
+    return out.groupBy("doc_id", "item_id").agg(F.max("cosine").alias("cosine"), F.max("lcs").alias("lcs"), F.max("answer").alias("answer"))
+
+
+def chunks_of(words: list[str]) -> list[tuple[int, int]]:
+    """(start, end) of the chunks of an item; a short rest belongs to the last one."""
+    starts = range(0, max(1, len(words) - CHUNK // 3), CHUNK)
+    return [(at, len(words) if at == starts[-1] else at + CHUNK) for at in starts]
+
+
+def _benchmark_blocks(rows: Iterator) -> Iterator[tuple[list, list]]:
+    """Items (id, words, answer) and the chunks (item, start, end) to look for, BLOCK_CHUNKS at a time."""
+    items: list[tuple] = []
+    chunks: list[tuple[int, int, int]] = []
+    for r in rows:
+        words = tokens(r["t"])
+        for at, end in chunks_of(words) if words else []:
+            if len(chunks) == BLOCK_CHUNKS:
+                yield items, chunks
+                items, chunks = [], []
+            if not chunks or at == 0:
+                items.append((r["id"], words, answer_of(r["t"])))
+            chunks.append((len(items) - 1, at, end))
+    if chunks:
+        yield items, chunks
+
+
+def _block(source: DataFrame, kind: str, item_kind: str, rows: list, chunks: list[tuple[int, int, int]], total: int, max_df: float, min_cosine: float, min_lcs: float, paraphrase_lcs: float) -> DataFrame:
     spark = source.sparkSession
     sc = spark.sparkContext
     items = [r[1] for r in rows]
-    terms = Terms(items)
-    places = checkpointed(source.where("text is not null").mapInArrow(_places(terms), f"doc_id {kind}, place array<int>, term array<int>"))
+    parts = [items[i][at:end] for i, at, end in chunks]
+    terms = Terms(parts)
+    places = checkpointed(source.where("text is not null").select("doc", "text").mapInArrow(_places(terms), f"doc {DOC}, place array<int>, term array<int>"))
     df = np.zeros(len(terms.words))
-    for r in places.select(F.explode(F.array_distinct("term")).alias("t")).groupBy("t").count().collect():  # at most the words of the items
+    for r in places.select(F.explode(F.array_distinct("term")).alias("t")).groupBy("t").count().collect():  # at most the words of the chunks
         df[r["t"]] = r["count"]
     idf = np.log((1 + total) / (1 + df))
     often = df > max_df * total
-    for t in items:  # the rarest terms of an item stay
-        own = sorted({terms.index[w] for w in t if w in terms.index}, key=lambda i: (df[i], i))[:6]
-        often[own] = False
-    idf[often] = 0
+    for t in parts:  # the rarest terms of a chunk stay
+        often[sorted({j for w in t if (j := terms.index.get(w)) is not None and df[j]}, key=lambda i: (df[i], i))[:6]] = False
     idf[~often] = np.maximum(idf[~often], 0.1)
+    idf[often | (df == 0)] = 0
     space = Space(idf, LENGTH)
-    chunks = [(i, at) for i, t in enumerate(items) for at in range(0, max(1, len(t) - CHUNK // 3), CHUNK)]
-    basis, _ = randomised_svd(places, space, min(MAX_RANK, len(chunks) + OVERSAMPLE))
+    basis, _ = randomised_svd(places, space, len(chunks) + OVERSAMPLE)
     vectors = np.zeros((len(chunks), len(terms.words)), np.float32)
-    for k, (i, at) in enumerate(chunks):
-        rest = len(items[i]) - at
-        own = items[i][at:] if rest < CHUNK + CHUNK // 3 else items[i][at : at + CHUNK]
-        for w, n in Counter(x for x in own if x in terms.index).items():
+    for k, t in enumerate(parts):
+        for w, n in Counter(x for x in t if x in terms.index).items():
             vectors[k, terms.index[w]] = idf[terms.index[w]] * (1 + math.log(n))
     latent = vectors @ basis
-    space.basis, space.owner = basis, chunks
+    space.basis, space.owner = basis, [(i, at) for i, at, _ in chunks]
     space.chunks = (latent / np.maximum(np.linalg.norm(latent, axis=1, keepdims=True), 1e-9)).astype(np.float32)
-    near = places.mapInArrow(_candidates(sc.broadcast(space), min_cosine, min(2, *(len({w for w in t if w in terms.index}) for t in items))), f"doc_id {kind}, item int, starts array<int>, cosine double")
-    hits = checkpointed(near.groupBy("doc_id").agg(F.collect_list(F.struct("item", "starts", "cosine")).alias("hits")))
-    texts = source.join(small(hits, 20_000), "doc_id").select("doc_id", "text", "hits")
+    least = min([2, *filter(None, (np.count_nonzero(v) for v in vectors))])
+    near = places.mapInArrow(_candidates(sc.broadcast(space), min_cosine, least), f"doc {DOC}, item int, starts array<int>, cosine double")
+    near = near.groupBy("doc", "item").agg(F.first("starts").alias("starts"), F.max("cosine").alias("cosine"))  # equal texts have equal hits
+    hits = checkpointed(near.groupBy("doc").agg(F.collect_list(F.struct("item", "starts", "cosine")).alias("hits")))
+    starts = F.aggregate("hits", F.lit(0), lambda n, h: n + 2 + F.size(h["starts"]))
+    texts = source.join(small(hits, 20_000, starts), "doc").select("doc_id", "text", "hits")
     checked = sc.broadcast((items, [r[2] for r in rows], [r[0] for r in rows]))
-    found = texts.mapInArrow(_check(checked, min_lcs, paraphrase_lcs), f"doc_id {kind}, item_id {item_kind}, cosine double, lcs double, answer boolean")
-    return found.groupBy("doc_id", "item_id").agg(F.max("cosine").alias("cosine"), F.max("lcs").alias("lcs"), F.max("answer").alias("answer"))
+    return texts.mapInArrow(_check(checked, min_lcs, paraphrase_lcs), f"doc_id {kind}, item_id {item_kind}, cosine double, lcs double, answer boolean")

@@ -11,7 +11,7 @@ Exact: copies are joined by a digest of their whole set, and each surviving pair
 counted in the first run that brings it together, found by comparing the nodes of earlier runs; pairs are never
 written out. Each block emits the number of links of each set and one edge to the least set of its local component.
 
-Cases: a null text or one without words has no set: its row has its own class and no links. A text of fewer than five
+Cases: rows with a null key are texts like others; they take the least key of their class that is not null. A null text or one without words has no set: its row has its own class and no links. A text of fewer than five
 words is a single shingle. Repeated rows are copies of each other. An empty table gives an empty result. Other
 columns are not read.
 """
@@ -44,10 +44,10 @@ def _odd(n: int) -> np.ndarray:
     return mix(np.arange(1, n + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
 
 
-def _signatures(sets: list[np.ndarray]) -> np.ndarray:
+def _signatures(sets: list[np.ndarray], coords: int = COORDS) -> np.ndarray:
     """Min-hash coordinates of non-empty sets, in blocks of bounded size."""
-    out = np.empty((len(sets), COORDS), np.uint64)
-    odd, start = _odd(COORDS), 0
+    out = np.empty((len(sets), coords), np.uint64)
+    odd, start = _odd(coords), 0
     while start < len(sets):
         stop, total = start, 0
         while stop < len(sets) and (stop == start or total + len(sets[stop]) <= 200_000):
@@ -55,41 +55,52 @@ def _signatures(sets: list[np.ndarray]) -> np.ndarray:
             stop += 1
         flat = np.concatenate(sets[start:stop])
         at = np.cumsum([0, *(len(s) for s in sets[start : stop - 1])])
-        for c in range(COORDS):
+        for c in range(coords):
             out[start:stop, c] = np.minimum.reduceat(flat * odd[c], at)
         start = stop
     return out
 
 
 def _paths(sig: np.ndarray, runs: int, depth: int) -> np.ndarray:
-    """Node of each set at each level of each run: rows, runs, levels."""
+    """Node of each set at each level of each run: rows, runs, levels.
+
+    A run has coordinates of its own, and each level of it too, among which the path chooses; so neither runs nor
+    levels depend on each other, and the recall is that of `runs_for`.
+    """
     n = len(sig)
     keys = np.empty((n, runs, depth), np.uint64)
-    rows = np.arange(n)
+    rows, choice = np.arange(n), sig.shape[1] // (runs * depth)
     for r in range(runs):
         path = np.full(n, r + 1, np.uint64) * np.uint64(0xD6E8FEB86659FD93)
         for level in range(depth):
-            coord = (np.full(n, (r * 5) % COORDS) if level == 0 else (path % np.uint64(COORDS)).astype(np.int64))
+            coord = (r * depth + level) * choice + (path % np.uint64(choice)).astype(np.int64)
             path = mix(path ^ mix(sig[rows, coord] + np.uint64(level + 1)))
             keys[:, r, level] = path
     return keys
 
 
+def _text_hash(text: str | None) -> int:
+    """What xxhash64 of Spark makes of the text."""
+    value = xxhash.xxh64_intdigest((text or "").encode("utf-8", "surrogatepass"), seed=42)
+    return value - (value >> 63 << 64)
+
+
 def _sketch(col: str, size: int, runs: int, depth: int):
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         hashes = WordHashes()
+        coords = max(COORDS, runs * depth)
         for frame in frames:
             for at in range(0, len(frame), 2000):
                 part = frame.iloc[at : at + 2000]
                 sets = [shingles(hashes.of(words(t)), size) for t in part[col]]
                 full = [i for i, s in enumerate(sets) if len(s)]
-                sig = _signatures([sets[i] for i in full]) if full else np.empty((0, COORDS), np.uint64)
+                sig = _signatures([sets[i] for i in full], coords) if full else np.empty((0, coords), np.uint64)
                 paths = _paths(sig, runs, depth).reshape(len(full), runs * depth).astype(np.int64)
                 digest, bits, path = [None] * len(part), [None] * len(part), [None] * len(part)
-                low = (sig & np.uint64(0xFFFF)).astype(np.uint16)
+                low = (sig[:, :COORDS] & np.uint64(0xFFFF)).astype(np.uint16)
                 for k, i in enumerate(full):
                     digest[i], bits[i], path[i] = xxhash.xxh3_128_digest(sets[i].tobytes()), low[k].tobytes(), paths[k]
-                yield pd.DataFrame({"key": part["key"], "fp": digest, "n": [len(s) for s in sets], "sig": bits, "path": path})
+                yield pd.DataFrame({"key": part["key"], "fp": digest, "h": [_text_hash(t) for t in part[col]], "n": [len(s) for s in sets], "sig": bits, "path": path})
 
     return run
 
@@ -214,8 +225,8 @@ def jaccard_classes(docs: DataFrame, text: str = "text", key: str = "doc_id", si
     """
     runs = runs_for(similarity, depth, recall)
     source = docs.select(F.col(key).alias("doc_id"), F.col(text).alias("text"))
-    sketch = checkpointed(map_texts(source, "doc_id", "text", _sketch("text", size, runs, depth), "fp binary, n int, sig binary, path array<bigint>"))
-    reps = checkpointed(sketch.where("fp is not null").groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("copies"), F.first("n").alias("n"), F.first("sig").alias("sig"), F.first("path").alias("path")))
+    sketch = checkpointed(map_texts(source, "doc_id", "text", _sketch("text", size, runs, depth), "fp binary, h bigint, n int, sig binary, path array<bigint>"))
+    reps = checkpointed(sketch.where("fp is not null").groupBy("fp").agg(F.min("doc_id").alias("least"), F.min("h").alias("h"), F.count("*").alias("copies"), F.first("n").alias("n"), F.first("sig").alias("sig"), F.first("path").alias("path")))
 
     open_ = reps.select("fp", "n", F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(runs - 1)), lambda r: F.slice("path", r * depth + 1, F.lit(depth)))).alias("run", "path"))
     leaves = []
@@ -243,8 +254,8 @@ def jaccard_classes(docs: DataFrame, text: str = "text", key: str = "doc_id", si
     kept = checkpointed(grouped(member, ["node", "ci", "cj"], [], _prune(similarity, slack), "node bigint, ci int, cj int, run int, slot int, fp binary, n int, copies bigint, nodes array<bigint>"))
 
     wanted = checkpointed(kept.select("fp").distinct())
-    ids = checkpointed(reps.join(wanted, "fp").select(F.col("least").alias("doc_id")).distinct())
-    items = source.join(small(ids), "doc_id", "left_semi").mapInPandas(_sets("text", size), "fp binary, items binary").dropDuplicates(["fp"])
+    texts = checkpointed(reps.join(wanted, "fp").select("h").distinct())  # one text of each set, whatever its key
+    items = source.select("text", F.xxhash64("text").alias("h")).join(small(texts), "h", "left_semi").mapInPandas(_sets("text", size), "fp binary, items binary").dropDuplicates(["fp"])
     linked = checkpointed(grouped(kept.join(items, "fp"), ["node", "ci", "cj"], [], _verify(similarity), "fp binary, links bigint, root binary"))
 
     roots = connected_components(linked, "fp", "root")

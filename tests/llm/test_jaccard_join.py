@@ -2,6 +2,7 @@ import random
 
 import pytest
 
+from chronoweave.llm import jaccard_join as J
 from chronoweave.llm.jaccard_join import jaccard_classes, runs_for
 from tests.llm import cases
 
@@ -45,6 +46,33 @@ def test_edge_cases(spark):
     check(spark, cases.frame(spark))
 
 
+def test_null_keys_next_to_near_copies(spark):
+    rnd = random.Random(2)
+    w = cases.passage(rnd, 80).split()
+    near = lambda: " ".join([*w[:40], f"x{rnd.random()}", *w[41:]])
+    check(spark, spark.createDataFrame([(None, near()), (1, near()), (None, near()), (None, near()), (None, cases.passage(rnd, 60)), (4, None), (None, None)], "doc_id bigint, text string"))
+
+
+def test_text_hash_is_that_of_spark(spark):
+    texts = ["", "a", "é ü 漢字 🙂", "x" * 1000]
+    got = [r[0] for r in spark.createDataFrame([(t,) for t in texts], "t string").selectExpr("xxhash64(t)").collect()]
+    assert got == [J._text_hash(t) for t in texts]
+
+
+@pytest.mark.parametrize("similarity", [0.8, 0.82])
+def test_recall_of_the_runs(similarity):
+    """Pairs of independent min-hashes meet in some run at the deepest level as often as the formula says."""
+    import numpy as np
+
+    rng = np.random.default_rng(1)
+    runs, n = J.runs_for(0.8, 3, 0.9995), 40_000
+    a = rng.integers(0, 2**63, (n, J.COORDS)).astype(np.uint64)
+    b = np.where(rng.random(a.shape) < similarity, a, rng.integers(0, 2**63, a.shape).astype(np.uint64))
+    miss = 1 - (J._paths(a, runs, 3)[:, :, 2] == J._paths(b, runs, 3)[:, :, 2]).any(1).mean()
+    expected = (1 - similarity**3) ** runs
+    assert abs(miss - expected) < 4 * (expected / n) ** 0.5
+
+
 def test_empty(spark):
     assert jaccard_classes(cases.empty(spark)).count() == 0
 
@@ -66,8 +94,6 @@ def test_large_group_of_near_copies(spark, leaf):
         rows.append((i, " ".join(w)))
     df = spark.createDataFrame(rows, "doc_id bigint, text string")
     want = [(i, *b) for (i, _), b in zip(rows, brute(rows), strict=True)]
-    import chronoweave.llm.jaccard_join as J
-
     old = J.BLOCK_SETS
     J.BLOCK_SETS = 32
     try:

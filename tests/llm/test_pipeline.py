@@ -1,5 +1,7 @@
 """Each stage against brute force on its own input."""
 
+from pyspark.sql import functions as F
+
 import corpus_pipeline as P
 from tests.llm import cases
 from tests.llm.test_jaccard_join import brute as classes
@@ -33,6 +35,22 @@ def test_stages(spark, small, tmp_path):
     assert e.columns[: len(docs.columns)] == docs.columns and e.count() == len(left)
 
 
+def test_repeated_and_null_keys(spark, small):
+    """One row of each group stays, and a clean text does not go with another one under its key."""
+    import random
+
+    rnd = random.Random(5)
+    base, clean = cases.passage(rnd, 90), cases.passage(rnd, 90)
+    item = spark.read.parquet(f"{small}/benchmark.parquet").where("length(text) > 150").orderBy("item_id").first()["text"]
+    rows = [(1, base), (1, base), (2, base + " tail"), (2, clean), (None, base), (None, "alone"), (None, "alone"), (3, None), (3, None), (-5, clean + " end")]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string").withColumn("row_key", F.lit("clash"))
+    left = sorted(((r["doc_id"], r["text"]) for r in P.near_copies(spark, df, small).collect()), key=repr)
+    assert left == sorted([(1, base), (-5, clean + " end"), (None, "alone"), (3, None)], key=repr)
+    rows = [(1, cases.passage(rnd, 40) + " " + item), (1, clean), (None, item + " " + cases.passage(rnd, 40)), (None, clean)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string").withColumn("row_key", F.lit("clash"))
+    assert sorted(((r["doc_id"], r["text"]) for r in P.leaks(spark, df, small).collect()), key=repr) == sorted([(1, clean), (None, clean)], key=repr)
+
+
 def test_run_with_edge_cases(spark, small, tmp_path):
     out = P.run(spark, setup(spark, tmp_path / "x", cases.frame(spark), small))
     assert out.count() > 0 and {"path", "node", "mix_slot"} <= set(out.columns)

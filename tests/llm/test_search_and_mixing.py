@@ -2,6 +2,7 @@ import math
 import random
 import re
 import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -165,13 +166,13 @@ def test_svd_against_numpy(spark):
     terms = decontaminate.Terms(items, stop_share=1.0)
     texts = [(i, " ".join(rnd.choice(terms.words) if rnd.random() < 0.6 else "zz" for _ in range(80))) for i in range(30)]
     df = spark.createDataFrame(texts, "doc_id bigint, text string")
-    places = decontaminate.checkpointed(df.mapInArrow(decontaminate._places(terms), "doc_id bigint, place array<int>, term array<int>"))
+    places = decontaminate.checkpointed(df.mapInArrow(decontaminate._places(terms), "doc bigint, place array<int>, term array<int>"))
     space = decontaminate.Space(np.ones(len(terms.words)), 44)
     basis, values = decontaminate.randomised_svd(places, space, len(terms.words))
     rows = []
     import pyarrow as pa
 
-    for b in pa.Table.from_pylist([r.asDict() for r in places.collect()], schema=pa.schema([("doc_id", pa.int64()), ("place", pa.list_(pa.int32())), ("term", pa.list_(pa.int32()))])).to_batches():
+    for b in pa.Table.from_pylist([r.asDict() for r in places.collect()], schema=pa.schema([("doc", pa.int64()), ("place", pa.list_(pa.int32())), ("term", pa.list_(pa.int32()))])).to_batches():
         _, _, cut, size, col, w = space.rows(b)
         for c, s in zip(cut, size, strict=True):
             v = np.zeros(len(terms.words))
@@ -182,6 +183,70 @@ def test_svd_against_numpy(spark):
     assert np.allclose(basis.T @ basis, np.eye(basis.shape[1]), atol=1e-3)
 
 
+def slow_leaks(docs, items):
+    """Every document against every item, stretch by stretch; a stretch with too few of the item's words cannot hold it."""
+    out = set()
+    parsed = [(i, decontaminate.tokens(t), decontaminate.answer_of(t)) for i, t in items]
+    where = {}
+    for n, (_, item, _) in enumerate(parsed):
+        for w, k in Counter(item).items():
+            where.setdefault(w, []).append((n, k))
+    for key, text in docs:
+        words = decontaminate.tokens(text)
+        shared = Counter()
+        for w, have in Counter(words).items():
+            for n, k in where.get(w, ()):
+                shared[n] += min(k, have)
+        for n, k in shared.items():
+            i, item, answer = parsed[n]
+            if k < 0.55 * len(item):
+                continue
+            for a, b in decontaminate.stretches(0, len(words), len(item)):
+                share = decontaminate.lcs_length(item, words[a:b]) / len(item)
+                if share >= 0.7 or (share >= 0.55 and decontaminate.in_order(answer, words[a:b])):
+                    out.add((key, i))
+    return out
+
+
+def test_recall_on_two_thousand_items(spark):
+    """Items of 20 to 160 words, verbatim or with words replaced, against brute force over all documents and items."""
+    rnd = random.Random(12)
+    common = cases.VOCAB
+    word = lambda: rnd.choice(common) if rnd.random() < 0.4 else rnd.choice(common) + str(rnd.randrange(400))
+    prose = lambda n: " ".join(word() for _ in range(n))
+    items = [(i, prose(rnd.choice([20, 30, 40, 40, 60, 110, 160])) + ". " + prose(4)) for i in range(2000)]
+    docs = []
+    for k in range(240):
+        text = items[rnd.randrange(2000)][1].split()
+        if k % 3:
+            text = [w if rnd.random() < 0.8 else word() for w in text]
+        docs.append((k, prose(rnd.randrange(0, 200)) + " " + " ".join(text) + " " + prose(rnd.randrange(0, 200))))
+    docs += [(1000 + k, prose(rnd.randrange(20, 400))) for k in range(400)]
+    want = slow_leaks(docs, items)
+    df, b = spark.createDataFrame(docs, "doc_id bigint, text string"), spark.createDataFrame(items, "item_id bigint, text string")
+    got = {(r["doc_id"], r["item_id"]) for r in decontaminate.find_leaks(df, b).collect()}
+    print("recall", len(want & got) / len(want), "of", len(want), "more than brute force", len(got - want))
+    assert len(want) > 150 and len(want & got) >= 0.95 * len(want)
+    assert all(d < 1000 for d, _ in got)
+
+
+def test_blocks_hold_every_chunk(monkeypatch):
+    monkeypatch.setattr(decontaminate, "BLOCK_CHUNKS", 3)
+    rows = [{"id": 1, "t": "w " * 500}, {"id": 2, "t": None}, {"id": 3, "t": "a b"}, {"id": 3, "t": "a b"}]
+    blocks = list(decontaminate._benchmark_blocks(iter(rows)))
+    assert all(len(c) <= 3 for _, c in blocks)
+    seen = [(items[i][0], at, end) for items, chunks in blocks for i, at, end in chunks]
+    assert seen == [(1, a, e) for a, e in decontaminate.chunks_of(["w"] * 500)] + [(3, 0, 2)] * 2
+
+
+def test_rows_without_a_key_are_found(spark):
+    rnd = random.Random(4)
+    item = cases.passage(rnd, 30)
+    docs = [(k, cases.passage(rnd, 80) + " " + item + " " + cases.passage(rnd, 30)) for k in (None, 7, None)] + [(8, cases.passage(rnd, 90))]
+    df, b = spark.createDataFrame(docs, "doc_id bigint, text string"), spark.createDataFrame([(1, item)], "item_id bigint, text string")
+    assert {(r["doc_id"], r["item_id"]) for r in decontaminate.find_leaks(df, b).collect()} == {(None, 1), (7, 1)}
+
+
 # ---------------------------------------------------------------- languages
 
 
