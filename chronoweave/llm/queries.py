@@ -176,31 +176,27 @@ WITH RECURSIVE src AS (
   SELECT CASE WHEN source IS NULL THEN '0' ELSE '1' || source END AS s, source, doc_id, sha256(coalesce(doc_id::VARCHAR, '')) AS h FROM documents
 ), w AS (
   SELECT s, count(*) AS nrows, floor(sqrt(count(*)) * 1000)::BIGINT AS w FROM src GROUP BY s
-), p AS (
-  SELECT *, count(*) OVER () AS n, sum(w) OVER () AS total, ({period} - count(*) OVER ()) * w AS part FROM w
-), q AS (
-  SELECT *, 1 + part // total AS a0, {period} - sum(1 + part // total) OVER () AS rest, row_number() OVER (ORDER BY part % total DESC, s) AS place FROM p
 ), share AS (
-  SELECT s, nrows, (a0 + rest // n + (place <= rest % n)::INT)::BIGINT AS a, row_number() OVER (ORDER BY s) AS i FROM q
+  SELECT s, nrows, greatest(1, ({period} * w * 2 + sum(w) OVER ()) // (2 * sum(w) OVER ()))::BIGINT AS a, row_number() OVER (ORDER BY s) AS i FROM w
 ), one AS (
-  SELECT list(a ORDER BY i) AS a, count(*) AS n FROM share
+  SELECT list(a ORDER BY i) AS a, count(*) AS n, sum(a)::BIGINT AS p FROM share
 ), edf AS (
-  SELECT -1::BIGINT AS t, list_transform(a, lambda x: 0::BIGINT) AS nxt, 0::BIGINT AS pick, 0::BIGINT AS j, a, n FROM one
+  SELECT -1::BIGINT AS t, list_transform(a, lambda x: 0::BIGINT) AS nxt, 0::BIGINT AS pick, 0::BIGINT AS j, a, n, p FROM one
   UNION ALL
-  SELECT t, list_transform(range(1, n + 1), lambda i: nxt[i] + (i = pick)::BIGINT) AS nxt, pick, nxt[pick] AS j, a, n FROM (
-    SELECT t + 1 AS t, nxt, a, n,
-      list_sort(list_filter(list_transform(range(1, n + 1), lambda i: struct_pack(due := ((nxt[i] + 1) * {period} + a[i] - 1) // a[i], i := i, release := nxt[i] * {period} // a[i])), lambda c: c.release <= edf.t + 1))[1].i AS pick
-    FROM edf WHERE t < {period} - 1)
+  SELECT t, list_transform(range(1, n + 1), lambda i: nxt[i] + (i = pick)::BIGINT) AS nxt, pick, nxt[pick] AS j, a, n, p FROM (
+    SELECT t + 1 AS t, nxt, a, n, p,
+      list_sort(list_filter(list_transform(range(1, n + 1), lambda i: struct_pack(due := ((nxt[i] + 1) * p + a[i] - 1) // a[i], i := i, release := nxt[i] * p // a[i])), lambda c: c.release <= edf.t + 1))[1].i AS pick
+    FROM edf WHERE t < p - 1)
 ), slots AS (
   SELECT share.s, share.a, edf.j, edf.t AS slot FROM edf JOIN share ON share.i = edf.pick WHERE edf.t >= 0
 ), fin AS (
-  SELECT min((f.nrows // {block}) // f.a * {period} + slots.slot) AS fin FROM share f JOIN slots ON slots.s = f.s AND slots.j = (f.nrows // {block}) % f.a
+  SELECT min((f.nrows // {block}) // f.a * one.p + slots.slot) AS fin FROM one, share f JOIN slots ON slots.s = f.s AND slots.j = (f.nrows // {block}) % f.a
 ), numbered AS (
   SELECT s, source, doc_id, row_number() OVER (PARTITION BY s ORDER BY h) - 1 AS n FROM src
 )
-SELECT doc_id, source, n // {block} AS mix_block, (n // {block}) // slots.a * {period} + slots.slot AS mix_slot, (n % {block})::INT AS mix_index,
-       (n // {block}) // slots.a * {period} + slots.slot < fin.fin AS mix_exact
-FROM numbered JOIN slots ON slots.s = numbered.s AND slots.j = (n // {block}) % slots.a, fin
+SELECT doc_id, source, n // {block} AS mix_block, (n // {block}) // slots.a * one.p + slots.slot AS mix_slot, (n % {block})::INT AS mix_index,
+       (n // {block}) // slots.a * one.p + slots.slot < fin.fin AS mix_exact
+FROM (SELECT p FROM one) one, fin, numbered JOIN slots ON slots.s = numbered.s AND slots.j = (n // {block}) % slots.a
 """
 
 

@@ -83,34 +83,61 @@ def test_topk_of_nothing(spark):
 # ---------------------------------------------------------------- mixing
 
 
-@pytest.mark.parametrize("weights", [None, {"a": 0.5, "b": 0.3, "c": 0.2}, {"a": 1.0}])
-def test_deviation_is_below_one_block(spark, weights):
-    rnd = random.Random(4)
-    rows = [(i, rnd.choices(["a", "b", "c", None], [60, 25, 10, 5])[0]) for i in range(4000)]
-    df = spark.createDataFrame(rows, "doc_id bigint, source string").withColumn("slot", F.lit("clash")).withColumn("mix_slot", F.lit("old")).withColumn("h", F.lit(0))
-    out = mixing.mix_sources(df, weights, block_rows=5, period=40)
-    got = [r.asDict() for r in out.collect()]
-    assert sorted(r["doc_id"] for r in got) == list(range(4000)) and out.columns == ["doc_id", "source", "slot", "h", *mixing.NEW]
-    share = {r["s"]: r["a"] / 40 for r in mixing.shares(df.groupBy(F.when(F.col("source").isNull(), "0").otherwise(F.concat(F.lit("1"), F.col("source"))).alias("s")).agg(F.count("*").alias("rows")), weights, 40).collect()}
-    assert abs(sum(share.values()) - 1) < 1e-9
+def owners(out):
+    """Source of each exact slot; the other sources' blocks never share one."""
     owner = {}
-    for r in got:
+    for r in out:
+        assert 0 <= r["mix_index"] < 5
         if r["mix_exact"]:
             assert owner.setdefault(r["mix_slot"], r["source"]) == r["source"]
     assert sorted(owner) == list(range(len(owner)))
-    seen = dict.fromkeys(share, 0)
+    return owner
+
+
+@pytest.mark.parametrize("weights", [None, {"a": 0.5, "b": 0.3, "c": 0.2}, {"a": 0.9, "b": 0.1}, {"a": 1.0}, {"a": 1, "b": 3 ** 0.5, "c": 2 ** 0.5}])
+def test_deviation_is_below_one_block(spark, weights):
+    """From the given weights, and from square roots of the sizes within what rounding to 1/1000 adds."""
+    rnd = random.Random(4)
+    names = ["a", "b", "c", None] if weights is None else sorted(weights)
+    rows = [(i, rnd.choices(names, [60, 25, 10, 5][: len(names)])[0]) for i in range(4000)]
+    df = spark.createDataFrame(rows, "doc_id bigint, source string").withColumn("slot", F.lit("clash")).withColumn("mix_slot", F.lit("old")).withColumn("h", F.lit(0)).withColumn("b", F.lit(1)).withColumn("g", F.lit(1))
+    out = mixing.mix_sources(df, weights, block_rows=5)
+    got = [r.asDict() for r in out.collect()]
+    assert sorted(r["doc_id"] for r in got) == list(range(4000)) and out.columns == ["doc_id", "source", "slot", "h", "b", "g", *mixing.NEW]
+    sizes = Counter(s for _, s in rows)
+    target = {s: math.sqrt(n) for s, n in sizes.items()} if weights is None else weights
+    exact = weights is not None and all(len(str(v)) < 5 for v in weights.values())
+    total, seen, owner = sum(target.values()), Counter(), owners(got)
+    assert len(owner) > 100
     for t in range(len(owner)):
-        seen["0" if owner[t] is None else "1" + owner[t]] += 1
-        assert all(abs(seen[s] - share[s] * (t + 1)) < 1 for s in share)
-    for r in got:
-        assert 0 <= r["mix_index"] < 5
+        seen[owner[t]] += 1
+        assert all(abs(seen[s] - w / total * (t + 1)) < 1 + (0 if exact else (t + 1) * len(target) / 2000) for s, w in target.items())
+
+
+def test_more_sources_than_a_fold_holds(spark, monkeypatch):
+    """Two levels: every source is less than two blocks from its weight, and no number of sources is refused."""
+    monkeypatch.setattr(mixing, "MAX_SOURCES", 10)
+    rows = [(i, f"s{i % 40}") for i in range(4000)]
+    got = mixing.mix_sources(spark.createDataFrame(rows, "doc_id bigint, source string"), block_rows=5).collect()
+    owner, seen = owners(got), Counter()
+    assert len(got) == 4000 and len(owner) > 200
+    for t in range(len(owner)):
+        seen[owner[t]] += 1
+        assert all(abs(seen[f"s{k}"] - (t + 1) / 40) < 2 + (t + 1) * 8 / 2000 for k in range(40))
 
 
 def test_mixing_edge_cases(spark):
     assert mixing.mix_sources(cases.empty(spark)).count() == 0
     assert mixing.mix_sources(cases.frame(spark)).count() == cases.frame(spark).count()
-    with pytest.raises(Exception, match="more than 3 sources"):
-        mixing.mix_sources(spark.createDataFrame([(i, str(i)) for i in range(5)], "doc_id bigint, source string"), period=3).collect()
+    many = mixing.mix_sources(spark.createDataFrame([(i, str(i)) for i in range(50)], "doc_id bigint, source string"), period=3).collect()
+    assert sorted(r["mix_slot"] for r in many) == list(range(50))
+    rows = [(i, "ab"[i % 2]) for i in range(40)] + [(None, "a")] * 3
+    none = mixing.mix_sources(spark.createDataFrame(rows, "doc_id bigint, source string"), {"a": 2, "b": 0}).collect()
+    assert len(none) == 43 and all((r["mix_slot"] is None) == (r["source"] == "b") for r in none)
+    assert mixing.mix_sources(spark.createDataFrame(rows, "doc_id bigint, source string"), {}).where("mix_slot is null").count() == 43
+    with pytest.raises(ValueError):
+        mixing.whole_weights({"a": -1})
+    assert mixing.whole_weights({"a": 0.9, "b": 0.1}) == {"a": 9, "b": 1}
 
 
 # ---------------------------------------------------------------- decontamination
