@@ -145,7 +145,7 @@ FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, ve
 
 
 def _dedup_sql(min_words: int = line_dedup.MIN_WORDS) -> str:
-    """Later copies by windows of the least number of lines with `min_words` words, without any suffix array."""
+    """Later copies by windows from each line to the first, and to each line from the last, that makes `min_words` words."""
     return f"""
 WITH lines AS (
   SELECT doc_id, i AS raw, trim(l[i], ' ' || chr(9) || chr(13)) AS line, l[i] AS whole FROM (SELECT doc_id, l, unnest(range(1, len(l) + 1)) AS i FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS l FROM documents))
@@ -155,6 +155,8 @@ WITH lines AS (
   SELECT *, sum(words) OVER (PARTITION BY doc_id ORDER BY pos) AS total FROM full_
 ), windows AS (
   SELECT a.doc_id, a.pos, min(b.pos) AS last FROM cum a JOIN cum b ON a.doc_id = b.doc_id AND b.pos >= a.pos AND b.pos < a.pos + {min_words} AND b.total - a.total + a.words >= {min_words} GROUP BY ALL
+  UNION
+  SELECT b.doc_id, max(a.pos) AS pos, b.pos AS last FROM cum a JOIN cum b ON a.doc_id = b.doc_id AND b.pos >= a.pos AND b.pos < a.pos + {min_words} AND b.total - a.total + a.words >= {min_words} GROUP BY b.doc_id, b.pos
 ), keyed AS (
   SELECT w.doc_id, w.pos, w.last, sha256(string_agg(c.line, chr(10) ORDER BY c.pos)) AS k FROM windows w JOIN cum c ON c.doc_id = w.doc_id AND c.pos BETWEEN w.pos AND w.last GROUP BY ALL
 ), later AS (

@@ -1,22 +1,17 @@
 import random
 
+import numpy as np
 import pytest
 
-from chronoweave.llm.line_dedup import dedup_lines
+from chronoweave.llm.line_dedup import _carried, _hash, common_prefixes, dedup_lines
 from tests.llm import cases
 
 
 def brute(rows, least):
-    """Lines with words that remain, by (key, text)."""
+    """Lines with words that remain, by (key, text): every window of `least` words that also begins earlier goes."""
     docs = sorted({(k is not None, k or 0, t) for k, t in rows if t})
     seen, out = set(), {}
-    import xxhash
-
-    def h(t):
-        x = xxhash.xxh64_intdigest(t.encode())
-        return x - (1 << 64) if x >> 63 else x
-
-    for has, k, t in sorted(docs, key=lambda d: (d[0], d[1], h(d[2]))):
+    for has, k, t in sorted(docs, key=lambda d: (d[0], d[1], _hash(d[2]))):
         lines = [s.strip() for s in t.split("\n") if s.strip()]
         gone = set()
         for a in range(len(lines)):
@@ -24,11 +19,10 @@ def brute(rows, least):
             for b in range(a, len(lines)):
                 total += len(lines[b].split())
                 if total >= least:
-                    key = tuple(lines[a : b + 1])
-                    if key in seen:
+                    window = hash(tuple(lines[a : b + 1]))
+                    if window in seen:
                         gone |= set(range(a, b + 1))
-                    seen.add(key)
-                    break
+                    seen.add(window)
         out[(k if has else None, t)] = [s for i, s in enumerate(lines) if i not in gone]
     return out
 
@@ -72,25 +66,8 @@ def test_empty(spark):
     assert dedup_lines(cases.empty(spark)).count() == 0
 
 
-def brute_maximal(rows, least):
-    """Lines with words that remain, by key: every window of `least` words that also begins at an earlier place goes."""
-    docs = {k: [s.strip() for s in t.split("\n") if s.strip()] for k, t in rows}
-    seen, out = set(), {}
-    for k in sorted(docs):
-        lines, gone = docs[k], set()
-        for a in range(len(lines)):
-            for b in range(a, len(lines)):
-                if sum(len(s.split()) for s in lines[a : b + 1]) >= least:
-                    window = tuple(lines[a : b + 1])
-                    if window in seen:
-                        gone |= set(range(a, b + 1))
-                    seen.add(window)
-        out[k] = [s for i, s in enumerate(lines) if i not in gone]
-    return out
-
-
-def kept_lines(spark, rows, least, maximal):
-    got = dedup_lines(spark.createDataFrame(rows, "doc_id bigint, text string"), least, maximal=maximal).collect()
+def kept_lines(spark, rows, least):
+    got = dedup_lines(spark.createDataFrame(rows, "doc_id bigint, text string"), least).collect()
     return {r["doc_id"]: [s.strip() for s in r["text"].split("\n") if s.strip()] for r in got}
 
 
@@ -99,7 +76,7 @@ def test_maximal_takes_the_tail_of_a_run(spark):
     for sizes in ((40, 20, 5), (60, 3, 2, 4), (30, 10, 30)):
         run = [cases.passage(rnd, n) for n in sizes]
         rows = [(i, "\n".join([f"own line {i}", *run, f"own end {i}"])) for i in range(2)]
-        kept = kept_lines(spark, rows, 50, True)
+        kept = kept_lines(spark, rows, 50)
         assert kept[0] == rows[0][1].split("\n") and kept[1] == ["own line 1", "own end 1"]
 
 
@@ -108,4 +85,32 @@ def test_maximal_runs_at_random(spark, seed):
     rnd = random.Random(seed)
     lines = [cases.passage(rnd, n) for n in (1, 1, 2, 3, 5, 9)] + [""]
     rows = [(i, "\n".join(rnd.choice(lines) for _ in range(rnd.randrange(0, 20)))) for i in range(12)]
-    assert kept_lines(spark, rows, 8, True) == brute_maximal(rows, 8)
+    assert kept_lines(spark, rows, 8) == {k: kept for (k, _), kept in brute(rows, 8).items()} | {k: [] for k, t in rows if not t}
+
+
+def test_deep_runs_over_many_tasks(spark):
+    """Runs of up to 200 lines of one word each; the array and its intervals go over the borders of tasks."""
+    rnd = random.Random(7)
+    run = [f"w{rnd.randrange(6)}" for _ in range(200)]
+    rows = [(i, "\n".join([f"own {i}", *run[rnd.randrange(0, 60) : rnd.randrange(120, 201)], f"end {i}", *run[:70]])) for i in range(14)]
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    spark.conf.set("spark.sql.shuffle.partitions", "13")
+    try:
+        got = kept_lines(spark, rows, 50)
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+    assert got == {k: kept for (k, _), kept in brute(rows, 50).items()}
+
+
+def test_common_prefixes_and_borders():
+    """Intervals named by tasks and borders are those of one scan."""
+    rnd = random.Random(3)
+    heads = sorted([rnd.randrange(2) for _ in range(rnd.randrange(0, 9))] for _ in range(200))
+    arrays = [np.array(h, np.int64) for h in heads]
+    plain = [next((i for i in range(min(len(a), len(b))) if a[i] != b[i]), min(len(a), len(b))) for a, b in zip(heads, heads[1:])]
+    assert common_prefixes(arrays).tolist() == plain
+    cuts = [0, 1, 2, 50, 51, 200]
+    borders = [{"pid": p, "first": heads[a], "last": heads[b - 1], "breaks": [sum(x < d for x in plain[a : b - 1]) for d in range(9)]} for p, (a, b) in enumerate(zip(cuts, cuts[1:]))]
+    carried = _carried(borders, 8)
+    assert [carried[p].tolist() for p in range(5)] == [[sum(x < d for x in plain[:a]) for d in range(9)] for a in cuts[:-1]]
