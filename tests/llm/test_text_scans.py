@@ -289,3 +289,15 @@ def test_wrapped_license_notices(spark):
     assert all(r["dice"] == 1.0 for r in got if r["unit"] < -1)
     assert [(r["unit"], r["license"]) for r in got if r["doc_id"] == 5] == [(1, "mit")]
     assert [(r["unit"], r["license"]) for r in got if r["doc_id"] == 6] == [(-1, "isc")]
+
+
+def test_full_license_texts_in_files(spark):
+    """Texts of licences, wrapped as they are shipped, with a title and a copyright line, alone and inside a document."""
+    names = ["mit-text", "bsd-3-clause-text", "isc-text", "apache-2.0-notice", "zlib", "unlicense"]
+    body = lambda name: "\n".join(["A License", "", "Copyright (c) 2024 Some Body", "", *textwrap.wrap(license_scan.TEMPLATES[name], 78)])
+    inside = lambda name: "\n".join(["first words of a readme", "", "more of them", *body(name).split("\n"), "", "the last words of the file"] + [cases.passage(random.Random(k), 9) for k in range(40)])
+    rows = [(i, body(n)) for i, n in enumerate(names)] + [(10 + i, inside(n)) for i, n in enumerate(names)]
+    got = license_scan.scan_licenses(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()
+    whole = {r["doc_id"]: r["license"] for r in got if r["unit"] == -1}
+    wide = {r["doc_id"]: r["license"] for r in got if r["unit"] < -1}
+    assert whole == dict(enumerate(names)) and sorted(wide) == list(range(10, 16)) and {i: wide[10 + i] for i in range(len(names))} == dict(enumerate(names))
