@@ -72,16 +72,17 @@ class LanguageModel:
         self.index, self.unknown = index, len(grams)
         self.scripts = {lang: {script_of(g.strip()) for g in counts[lang] if g.strip()} for lang in self.langs}
 
+        self.of_script = {s: [k for k, lang in enumerate(self.langs) if s in self.scripts[lang]] for s in (*SCRIPTS, "other")}
+
     def candidates(self, word: str) -> list[int]:
-        s = script_of(word)
-        return [k for k, lang in enumerate(self.langs) if s in self.scripts[lang]]
+        return self.of_script[script_of(word)]
 
     def word_scores(self, word: str) -> list[float]:
-        """Zero for the best language, negative for the others; all zero if the script is unknown."""
+        """Zero for the best language, negative for the others; all zero if the script is unknown. Last, whether it is known."""
         near = self.candidates(word)
-        out = [-FLOOR] * len(self.langs)
+        out = [-FLOOR] * len(self.langs) + [1.0]
         if not near:
-            return [0.0] * len(self.langs)
+            return [0.0] * (len(self.langs) + 1)
         rows = [self.table[self.index.get(g, self.unknown)] for g in trigrams(word)]
         sums = [sum(r[k] for r in rows) for k in near]
         top = max(sums)
@@ -130,7 +131,7 @@ class Predictor:
             end = len(known) + len(new)
             if end > len(self.table):
                 self.table = np.concatenate([self.table, np.zeros((max(end, 2 * len(self.table)) - len(self.table), self.table.shape[1]))])
-            self.table[len(known) : end] = [[*self.model.word_scores(w), bool(self.model.candidates(w))] for w in new]
+            self.table[len(known) : end] = [self.model.word_scores(w) for w in new]
             known.update(zip(new, range(len(known), end), strict=True))
         return np.fromiter(map(known.__getitem__, tokens), np.int64, len(tokens))
 
