@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import tempfile
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -100,6 +102,29 @@ def neighbourhoods(edges: DataFrame, seeds: DataFrame, hops: int = 2) -> DataFra
     return out
 
 
+def shared_counts(rows: DataFrame, key: str, attributes: list[str], masks: list[int]) -> DataFrame:
+    """Rows (key, available_date, mask, none, event, report, both, latest): how many rows share all attributes of a mask.
+
+    Bit i of a mask stands for attribute i. Counted are all rows (`none`), and those whose event time, report time or
+    both are not after the row's own report time; `latest` is the last report counted by `report`. Counts are sums over
+    days, so no pair of rows is written, and a value that a third of the rows share costs one row for each day. Rows
+    without both times, or without a value in the mask, take no part.
+    """
+    has = lambda i: F.col("mask").bitwiseAND(F.lit(1 << i)) != 0
+    names = [f"_k{i}" for i in range(len(attributes))]
+    lacks = reduce(or_, [has(i) & F.col(c).isNull() for i, c in enumerate(attributes)])
+    sets = rows.where("event_time is not null and available_date is not null").withColumn("mask", F.explode(F.array(*map(F.lit, masks)))).where(~lacks)
+    sets = sets.select(key, "mask", *[F.when(has(i), F.col(c).cast("string")).otherwise("").alias(n) for i, (c, n) in enumerate(zip(attributes, names, strict=True))], "event_time", "available_date")
+    days = {"event": F.col("event_time"), "report": F.col("available_date"), "both": F.greatest("event_time", "available_date")}
+    moments = F.array(*[F.struct(day.alias("day"), *[F.lit(int(x == y)).alias(x) for x in days]) for y, day in days.items()])
+    hist = sets.select("mask", *names, F.inline(moments)).groupBy("mask", *names, "day").agg(*[F.sum(x).alias(x) for x in days])
+    every = Window.partitionBy("mask", *names)
+    until = every.orderBy("day").rowsBetween(Window.unboundedPreceding, 0)
+    reported = F.when(F.col("report") > 0, F.col("day"))
+    sums = hist.select("mask", *names, F.col("day").alias("available_date"), (F.col("report") > 0).alias("_asked"), F.sum("report").over(every).alias("none"), *[F.sum(x).over(until).alias(x) for x in days], F.max(reported).over(until).alias("latest"))
+    return sets.drop("event_time").join(sums.where("_asked").drop("_asked"), ["mask", *names, "available_date"]).select(key, "available_date", "mask", "none", *days, "latest")
+
+
 def adjacency(edges: DataFrame, rel: str, src: str, dst: str) -> DataFrame:
     """Rows (rel, row, col, weight): undirected, each pair once in a relation, rows add up to 1."""
     a = edges.select(F.col(rel).alias("rel"), F.col(src).alias("row"), F.col(dst).alias("col"))

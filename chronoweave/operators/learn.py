@@ -1,16 +1,22 @@
 """Relational graph convolution for edge classification: dense training inside grouped workers.
 
 Features, splits, masks and adjacency are DataFrames; each (mode, seed) trains in one group on a graph whose number of
-edges is bounded by a parameter, so groups run in parallel and fit in a worker.
+edges is bounded by a parameter, so groups run in parallel and fit in a worker. Predictions pass messages over the whole
+graph, which stays distributed.
 """
 
 from __future__ import annotations
 
+import io
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from chronoweave.operators import graph as G
+from chronoweave.operators.graph import stable
+
 MODES = ("typed", "single", "none")
 
 
@@ -134,41 +140,120 @@ def gradient_error(mode: str, seed: int = 0) -> float:
     return worst
 
 
-def train_modes(edges: DataFrame, features: DataFrame, samples: DataFrame, n_features: int, classes: list[str], modes: tuple[str, ...] = MODES, seeds: int = 3, epochs: int = 150, rate: float = 0.1, hidden: int = 16) -> DataFrame:
-    """Rows (mode, seed, row, split, truth, pred): predictions of every sample by every model.
+def _between(edges: DataFrame, features: DataFrame) -> DataFrame:
+    """The edges whose ends both have features."""
+    known = features.select("node").distinct()
+    return edges.join(known.withColumnRenamed("node", "src"), "src", "left_semi").join(known.withColumnRenamed("node", "dst"), "dst", "left_semi")
 
-    `edges` (rel, src, dst) is the graph that may be seen, without the samples' own edges; `features` (node, values);
-    `samples` (row, src, dst, label, split). All three are bounded by the caller, and meet in each (mode, seed) group.
+
+def fit_modes(edges: DataFrame, features: DataFrame, samples: DataFrame, n_features: int, classes: list[str], modes: tuple[str, ...], seeds: int, epochs: int, rate: float, hidden: int) -> DataFrame:
+    """Rows (mode, seed, relations, weights): one model for each mode and seed, fitted on the training samples.
+
+    The whole graph meets in each (mode, seed) group, so the caller bounds it.
     """
     spark = edges.sparkSession
     grid = spark.createDataFrame([(m, s) for m in modes for s in range(seeds)], "mode string, seed int")
     none = lambda t: F.lit(None).cast(t)
     parts = [
-        edges.select(F.lit("edge").alias("what"), F.col("rel").alias("name"), "src", "dst", none("array<double>").alias("values"), none("bigint").alias("row"), none("string").alias("split")),
-        features.select(F.lit("node"), none("string"), F.col("node"), none("bigint"), F.col("values"), none("bigint"), none("string")),
-        samples.select(F.lit("sample"), F.col("label"), "src", "dst", none("array<double>"), "row", "split"),
+        edges.select(F.lit("edge").alias("what"), F.col("rel").alias("name"), "src", "dst", none("array<double>").alias("values")),
+        features.select(F.lit("node"), none("string"), F.col("node"), none("bigint"), F.col("values")),
+        samples.where("split = 'train'").select(F.lit("sample"), F.col("label"), "src", "dst", none("array<double>")),
     ]
     data = parts[0].unionAll(parts[1]).unionAll(parts[2]).crossJoin(F.broadcast(grid))  # as many copies as models
     known = {c: i for i, c in enumerate(classes)}
 
     def run(key: tuple, t: pd.DataFrame) -> pd.DataFrame:
         mode, seed = key
-        t = t.sort_values(["what", "name", "src", "dst", "row"], kind="stable")
+        t = t.sort_values(["what", "name", "src", "dst"], kind="stable")
         nodes = t[t.what == "node"]
         at = {n: i for i, n in enumerate(nodes.src)}
         x = np.stack(nodes["values"].to_list()) if len(nodes) else np.zeros((0, n_features))
         e = t[(t.what == "edge") & t.src.isin(at) & t.dst.isin(at)]
-        rels = [adjacency(np.array([[at[a], at[b]] for a, b in zip(g.src, g.dst, strict=True)]), len(at)) for _, g in e.groupby("name", sort=True)]
+        named = [(name, adjacency(np.array([[at[a], at[b]] for a, b in zip(g.src, g.dst, strict=True)]), len(at))) for name, g in e.groupby("name", sort=True)]
+        rels = [a for _, a in named]
         adj = rels if mode == "typed" else [single(rels, len(at))] if mode == "single" else []
         s = t[(t.what == "sample") & t.src.isin(at) & t.dst.isin(at)]
-        if not len(s) or not (s.split == "train").any():
-            return pd.DataFrame({"mode": [], "seed": [], "row": [], "split": [], "truth": [], "pred": []})
+        if not len(s):
+            return pd.DataFrame({"mode": [], "seed": [], "relations": [], "weights": []})
         pairs = np.array([[at[a], at[b]] for a, b in zip(s.src, s.dst, strict=True)])
-        y = s["name"].map(known).to_numpy()
-        train = (s.split == "train").to_numpy()
         net = RelationalNet(x.shape[1], hidden, len(adj), len(classes), int(seed))
-        net.fit(x, adj, pairs[train], y[train], epochs, rate)
-        pred = net.forward(x, adj, pairs)[0].argmax(1)
-        return pd.DataFrame({"mode": mode, "seed": seed, "row": s.row.astype("int64").to_numpy(), "split": s.split.to_numpy(), "truth": [classes[i] for i in y], "pred": [classes[i] for i in pred]})
+        net.fit(x, adj, pairs, s["name"].map(known).to_numpy(), epochs, rate)
+        file = io.BytesIO()
+        np.savez(file, **net.p)
+        names = [name for name, _ in named] if mode == "typed" else ["single"] if mode == "single" else []
+        return pd.DataFrame({"mode": [mode], "seed": [seed], "relations": [names], "weights": [file.getvalue()]})
+
+    return data.groupBy("mode", "seed").applyInPandas(run, "mode string, seed int, relations array<string>, weights binary")
+
+
+def _layer(h: DataFrame, adj: DataFrame, layer: str, nets: list[dict], relations: list[str], shared: bool) -> DataFrame:
+    """Rows (node, h) after a layer of all nets side by side: each node's own part, and what its neighbours send by relation.
+
+    Products with the weights are taken at the sender, so a receiver adds up vectors of one width for all relations.
+    """
+    n = len(nets)
+    width = n * nets[0][f"{layer}0"].shape[1]
+
+    def project(batches):
+        for t in batches:
+            x = np.stack(t["h"].to_list()) if len(t) else np.zeros((0, 0))
+            if not len(t):
+                continue
+            own = [x] * n if shared else np.split(x, n, axis=1)
+            out = [np.concatenate([v @ net[f"{layer}{r}"] for v, net in zip(own, nets, strict=True)], axis=1) for r in range(len(relations) + 1)]
+            yield pd.DataFrame({"node": t["node"].to_numpy(), "own": list(out[0]), "sent": [[o[i] for o in out[1:]] for i in range(len(t))]})
+
+    sent = h.mapInPandas(project, "node bigint, own array<double>, sent array<array<double>>")
+    relu = lambda v: F.greatest(v, F.lit(0.0))
+    if not relations:
+        return sent.select("node", F.transform("own", relu).alias("h"))
+    sent = stable(sent)
+    place = F.array_position(F.array(*map(F.lit, relations)), F.col("rel")).cast("int")
+    got = adj.join(sent.select(F.col("node").alias("col"), "sent"), "col").select("row", "weight", F.element_at("sent", place).alias("v"))
+    sums = got.groupBy(F.col("row").alias("node")).agg(*[F.sum(F.col("weight") * F.col("v")[i]).alias(f"_{i}") for i in range(width)])
+    z = F.array(*[F.col("own")[i] + F.coalesce(F.col(f"_{i}"), F.lit(0.0)) for i in range(width)])
+    return sent.select("node", "own").join(sums, "node", "left").select("node", F.transform(z, relu).alias("h"))
 
-    return data.groupBy("mode", "seed").applyInPandas(run, "mode string, seed int, row bigint, split string, truth string, pred string")
+
+def predict_modes(models: DataFrame, edges: DataFrame, features: DataFrame, samples: DataFrame, classes: list[str]) -> DataFrame:
+    """Rows (mode, seed, row, split, truth, pred): every sample by every model, with messages over all edges.
+
+    The graph stays distributed; only the weights, whose size does not depend on it, reach the driver.
+    """
+    spark = edges.sparkSession
+    found = models.collect()  # one row for each mode and seed
+    out = spark.createDataFrame([], "mode string, seed int, row bigint, split string, truth string, pred string")
+    if not found:
+        return out
+    typed = stable(G.adjacency(_between(edges, features), "rel", "src", "dst"))
+    for mode in sorted({m["mode"] for m in found}):
+        mine = sorted((m for m in found if m["mode"] == mode), key=lambda m: m["seed"])
+        seeds, relations = [m["seed"] for m in mine], list(mine[0]["relations"])
+        nets = [dict(np.load(io.BytesIO(m["weights"]))) for m in mine]
+        adj = typed.where(F.col("rel").isin(*relations)) if mode == "typed" else G.adjacency_single(typed).withColumn("rel", F.lit("single"))
+        h = features.select("node", F.col("values").alias("h"))
+        h = stable(_layer(_layer(h, adj, "a", nets, relations, True), adj, "b", nets, relations, False))
+        ends = samples.join(h.select(F.col("node").alias("src"), F.col("h").alias("hs")), "src").join(h.select(F.col("node").alias("dst"), F.col("h").alias("ho")), "dst").select("row", "split", "label", "hs", "ho")
+
+        def judge(batches, mode=mode, seeds=seeds, nets=nets):
+            for t in batches:
+                if not len(t):
+                    continue
+                s, o = np.stack(t["hs"].to_list()), np.stack(t["ho"].to_list())
+                for seed, net, a, b in zip(seeds, nets, np.split(s, len(nets), axis=1), np.split(o, len(nets), axis=1), strict=True):
+                    best = (np.concatenate([a, b, a * b], axis=1) @ net["head"] + net["bias"]).argmax(1)
+                    yield pd.DataFrame({"mode": mode, "seed": seed, "row": t["row"], "split": t["split"], "truth": t["label"], "pred": [classes[i] for i in best]})
+
+        out = out.unionByName(ends.mapInPandas(judge, out.schema))
+    return out
+
+
+def train_modes(edges: DataFrame, features: DataFrame, samples: DataFrame, n_features: int, classes: list[str], modes: tuple[str, ...] = MODES, seeds: int = 3, epochs: int = 150, rate: float = 0.1, hidden: int = 16, fit: tuple[DataFrame, DataFrame, DataFrame] | None = None) -> DataFrame:
+    """Rows (mode, seed, row, split, truth, pred): predictions of every sample by every model.
+
+    `edges` (rel, src, dst) is the graph that may be seen, without the samples' own edges; `features` (node, values);
+    `samples` (row, src, dst, label, split). The models are fitted on `fit`, a part of these three that the caller bounds
+    (all of it where none is given), and predict over the whole graph.
+    """
+    models = fit_modes(*(fit or (edges, features, samples)), n_features, classes, modes, seeds, epochs, rate, hidden)
+    return predict_modes(models, edges, features, samples, classes)

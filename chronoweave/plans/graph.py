@@ -27,11 +27,11 @@ def view_nodes_event(spark: SparkSession, d: str) -> DataFrame:
     return _nodes(order_mentions(spark, d))
 
 
-def _nodes(t: DataFrame) -> DataFrame:
+def _nodes(t: DataFrame, *more: str) -> DataFrame:
     s = lambda c: F.col(c).cast("string")
     return t.select(
         s("mention").alias("event_id"), F.col("kind").alias("node_kind"), F.col("flag").alias("event_subtype"), F.col("event_time").alias("event_date"), "report_time", F.col("report_time").alias("available_date"),
-        F.lower("commodity").alias("commodity_id"), s("location").alias("location_id"), s("actor").alias("actor_ids"), s("article").alias("article_id"), F.substring_index("publisher", "-", 1).alias("publisher_id"),
+        F.lower("commodity").alias("commodity_id"), s("location").alias("location_id"), s("actor").alias("actor_ids"), s("article").alias("article_id"), F.substring_index("publisher", "-", 1).alias("publisher_id"), *more,
     )
 
 
@@ -108,76 +108,129 @@ def masked_edge_counts(spark: SparkSession, d: str) -> DataFrame:
     return G.masked_counts(_edges(order_mentions(spark, d)), F.lit(TAU).cast("date"))
 
 
-# An article's lines, its relations, and the actors of its lines: hubs such as publishers stay out of the walk.
-_WALK = f"""{_NODES}, {R_SQL}, w AS (
-  SELECT src AS src, dst, event_time, report_time AS available FROM r WHERE predicate <> 'implementsPolicy'
-  UNION ALL SELECT mention, -article, event_time, report_time FROM t
-), walk AS (SELECT row_number() OVER () AS edge, * FROM w WHERE event_time IS NOT NULL AND available IS NOT NULL),
-ends AS (SELECT edge, src AS at, dst AS to_, event_time, available FROM walk UNION ALL SELECT edge, dst, src, event_time, available FROM walk),
-seeds AS (SELECT mention AS seed, event_time AS tau FROM t WHERE kind = 'disruption'), regimes(regime) AS (VALUES ('none'), ('event_time'), ('report_time')),
-h1 AS (
-  SELECT seed, tau, regime, edge, seed AS at, to_ FROM seeds JOIN ends ON ends.at = seed JOIN regimes ON regime = 'none' OR (regime = 'event_time' AND event_time <= tau) OR (regime = 'report_time' AND available <= tau)
-), f1 AS (SELECT DISTINCT seed, tau, regime, to_ AS at FROM h1 WHERE to_ <> seed),
-h2 AS (
-  SELECT seed, tau, regime, edge, f1.at, to_ FROM f1 JOIN ends ON ends.at = f1.at WHERE regime = 'none' OR (regime = 'event_time' AND event_time <= tau) OR (regime = 'report_time' AND available <= tau)
-), hood AS (SELECT DISTINCT seed, regime, edge, available, tau FROM (SELECT * FROM h1 UNION ALL SELECT * FROM h2) JOIN walk USING (edge)),
-nodes AS (SELECT seed, regime, count(DISTINCT to_) FILTER (to_ <> seed) AS n FROM (SELECT * FROM h1 UNION ALL SELECT * FROM h2) GROUP BY ALL),
+# Every event is a seed, at its own report time. Pairs of events that share an attribute stand for the edges and events at
+# the seed's attributes; edges and nodes at the seed and at its related events are listed.
+_WALK = f"""{_EDGES}, z AS (
+  SELECT 'event:' || mention AS id, dense_rank() OVER (ORDER BY lower(commodity))::INT AS c, location::INT AS l, actor::INT AS a, dense_rank() OVER (ORDER BY split_part(publisher, '-', 1))::INT AS p,
+    (CASE WHEN flag = 'A' THEN year(event_time) END)::INT AS y, article AS art, event_time AS evt, report_time AS tau, event_time <= report_time AS act FROM t),
+pairs AS (
+  SELECT seed, sum(k) AS e_n, coalesce(sum(k) FILTER (pe), 0) AS e_e, coalesce(sum(k) FILTER (pr), 0) AS e_r, coalesce(sum(k) FILTER (pe AND pr), 0) AS e_b,
+    count(*) AS u_n, count(*) FILTER (pe) AS u_e, count(*) FILTER (pr) AS u_r, count(*) FILTER (pe AND pr) AS u_b
+  FROM (SELECT s.id AS seed, x.evt <= s.tau AS pe, x.tau <= s.tau AS pr, (s.c = x.c)::INT + (s.l = x.l)::INT + (s.a = x.a)::INT + (s.p = x.p)::INT + coalesce((s.y = x.y)::INT, 0) + (s.art = x.art)::INT AS k FROM z s, z x
+    WHERE s.c = x.c OR s.l = x.l OR s.a = x.a OR s.p = x.p OR s.y = x.y OR s.art = x.art) GROUP BY 1),
+g AS (SELECT row_number() OVER () AS edge, src_type || ':' || src_id AS src, dst_type || ':' || dst_id AS dst, dst_type <> 'event' AS hub, event_time AS ev, report_time AS av FROM edges WHERE event_time IS NOT NULL AND report_time IS NOT NULL),
+ends AS (SELECT edge, src AS at, dst AS other, hub, ev, av FROM g UNION ALL SELECT edge, dst, src, false, ev, av FROM g WHERE NOT hub),
+regimes(regime) AS (VALUES ('n'), ('e'), ('r')),
+c1 AS (SELECT id AS seed, tau, regime, id AS at FROM z, regimes UNION SELECT id, tau, regime, other FROM z JOIN ends ON z.id = ends.at CROSS JOIN regimes WHERE NOT hub AND (regime = 'n' OR (regime = 'e' AND ev <= tau) OR (regime = 'r' AND av <= tau))),
+hood AS (SELECT seed, tau, regime, edge, c1.at, other, hub, ev, av FROM c1 JOIN ends ON ends.at = c1.at WHERE regime = 'n' OR (regime = 'e' AND ev <= tau) OR (regime = 'r' AND av <= tau)),
+own AS (SELECT seed, other, bool_or(regime = 'n') AS o_n, bool_or(regime = 'e') AS o_e, bool_or(regime = 'r') AS o_r FROM hood WHERE hub AND hood.at = seed GROUP BY ALL),
+le AS (SELECT seed, tau, edge, bool_or(regime = 'n') AS i_n, bool_or(regime = 'e') AS i_e, bool_or(regime = 'r') AS i_r FROM hood GROUP BY ALL),
+me AS (SELECT seed, count(*) FILTER (i_n AND NOT h_n) AS m_n, count(*) FILTER (i_e AND NOT h_e) AS m_e, count(*) FILTER (i_r AND NOT h_r) AS m_r, count(*) FILTER ((i_e OR h_e) AND (i_r OR h_r) AND NOT (h_e AND h_r)) AS m_b
+  FROM (SELECT le.*, coalesce(o_n, false) AS h_n, coalesce(o_e AND ev <= tau, false) AS h_e, coalesce(o_r AND av <= tau, false) AS h_r FROM le JOIN g USING (edge) LEFT JOIN own ON own.seed = le.seed AND own.other = g.dst) GROUP BY 1),
+ln AS (SELECT seed, other, hub, bool_or(regime = 'n') AS i_n, bool_or(regime = 'e') AS i_e, bool_or(regime = 'r') AS i_r FROM hood WHERE other <> seed GROUP BY ALL),
+mn AS (SELECT seed, count(*) FILTER (i_n AND NOT h_n) AS m_n, count(*) FILTER (i_e AND NOT h_e) AS m_e, count(*) FILTER (i_r AND NOT h_r) AS m_r, count(*) FILTER ((i_e OR h_e) AND (i_r OR h_r) AND NOT (h_e AND h_r)) AS m_b
+  FROM (SELECT ln.*, coalesce(k, false) AS h_n, coalesce(k AND s.act AND x.evt <= s.tau, false) AS h_e, coalesce(k AND x.tau <= s.tau, false) AS h_r
+    FROM ln JOIN z s ON s.id = ln.seed LEFT JOIN z x ON x.id = ln.other, LATERAL (SELECT s.c = x.c OR s.l = x.l OR s.a = x.a OR s.p = x.p OR coalesce(s.y = x.y, false) OR s.art = x.art AS k)) GROUP BY 1),
 sizes AS (
-  SELECT s.seed, count(*) FILTER (h.regime = 'none') AS e_none, count(*) FILTER (h.regime = 'event_time') AS e_event, count(*) FILTER (h.regime = 'report_time') AS e_report
-  FROM seeds s LEFT JOIN hood h USING (seed) GROUP BY 1),
-leak AS (
-  SELECT seed, e_none, e_event, e_report, e_none - e_report AS leak_none,
-    (SELECT count(*) FROM hood a WHERE a.seed = sizes.seed AND a.regime = 'event_time' AND NOT EXISTS (SELECT 1 FROM hood b WHERE b.seed = a.seed AND b.regime = 'report_time' AND b.edge = a.edge)) AS leak_event
-  FROM sizes)"""
-
-
-def _walk(t: DataFrame) -> DataFrame:
-    r = relations(t).where("predicate <> 'implementsPolicy'").select("src", "dst", "event_time", F.col("report_time").alias("available_date"), F.col("predicate").alias("p"))
-    lines = t.select(F.col("mention").alias("src"), (-F.col("article")).alias("dst"), "event_time", F.col("report_time").alias("available_date"), F.lit("reportedIn").alias("p"))
-    return r.unionByName(lines).withColumn("edge", F.concat_ws("|", "p", F.col("src").cast("string"), F.col("dst").cast("string"))).drop("p")
-
-
-def _hood(t: DataFrame) -> tuple[DataFrame, DataFrame]:
-    seeds = t.where("kind = 'disruption'").select(F.col("mention").alias("seed"), F.col("event_time").alias("tau"))
-    return seeds, G.neighbourhoods(G.stable(_walk(t)), seeds)
-
-
-def _leakage(spark: SparkSession, d: str) -> DataFrame:
-    """Rows (seed, e_none, e_event, e_report, leak_none, leak_event): edges by regime, and those not yet reported."""
-    seeds, hood = _hood(_shared(spark, d))
-    flags = hood.groupBy("seed", "edge").agg(*[F.bool_or(F.col("regime") == r).alias(r) for r in G.REGIMES])
-    n = flags.groupBy("seed").agg(F.count_if("none").alias("e_none"), F.count_if("event_time").alias("e_event"), F.count_if("report_time").alias("e_report"), F.count_if(F.col("none") & ~F.col("report_time")).alias("leak_none"), F.count_if(F.col("event_time") & ~F.col("report_time")).alias("leak_event"))
-    return seeds.select("seed").join(n, "seed", "left").na.fill(0)
+  SELECT nodes_none, nodes_event_time, nodes_report_time, edges_none, edges_event_time, edges_report_time, edges_none - edges_report_time AS leak_edges_vs_none, edges_event_time - e_both AS leak_edges_vs_event_time, nodes_event_time - n_both AS leak_nodes_vs_event_time
+  FROM (SELECT u_n + mn.m_n AS nodes_none, CASE WHEN act THEN u_e ELSE 1 END + mn.m_e AS nodes_event_time, u_r + mn.m_r AS nodes_report_time, CASE WHEN act THEN u_b ELSE 1 END + mn.m_b AS n_both,
+      e_n + me.m_n AS edges_none, CASE WHEN act THEN e_e ELSE 0 END + me.m_e AS edges_event_time, e_r + me.m_r AS edges_report_time, CASE WHEN act THEN e_b ELSE 0 END + me.m_b AS e_both
+    FROM z JOIN pairs ON pairs.seed = id JOIN me ON me.seed = id JOIN mn ON mn.seed = id))"""
+
+_SIZES = ["nodes_none", "nodes_event_time", "nodes_report_time", "edges_none", "edges_event_time", "edges_report_time"]
+_LEAKS = ["leak_edges_vs_none", "leak_edges_vs_event_time", "leak_nodes_vs_event_time"]
+_HUBS = ["commodity_id", "location_id", "actor_ids", "publisher_id", "policy_id"]
+
+
+def khop(t: DataFrame) -> DataFrame:
+    """One row for each mention: sizes of its 2-hop neighbourhoods at its own report time by regime, leaks, late edges.
+
+    All edges with both times are walked from every event. An attribute may belong to a third of the events, so what
+    lies at the seed's attributes is counted: edges by single attributes, events by inclusion and exclusion over them.
+    Edges and nodes at the seed, at its related events and in its article are listed. `late` counts edges seen by report
+    time that were reported after the seed, and `act` says whether the seed's own edges had happened by its report.
+    """
+    n = G.stable(_nodes(t.withColumn("policy_id", F.when(F.col("flag") == "A", F.year("event_time"))), "policy_id").select(F.concat(F.lit("event:"), "event_id").alias("seed"), "article_id", *_HUBS, F.col("event_date").alias("event_time"), "available_date").where("event_time is not null and available_date is not null"))
+    regimes = ("none", "event", "report")
+    ok = {"none": F.lit(True), "event": F.col("event_time") <= F.col("tau"), "report": F.col("available_date") <= F.col("tau")}
+    tally = lambda c: F.max(c).alias(c)
+
+    article = 1 << len(_HUBS)
+    shared = G.shared_counts(n, "seed", [*_HUBS, "article_id"], list(range(1, article + 1)))
+    counted = ("none", "event", "report", "both")
+    alone, sign = F.bit_count("mask") == 1, F.when(F.bit_count("mask") % 2 == 1, 1).otherwise(-1)
+    at_hubs = shared.groupBy("seed").agg(*[F.sum(F.when(alone, F.col(x)).otherwise(0)).alias(f"e_{x}") for x in counted], *[F.sum(F.when(F.col("mask") < article, sign * F.col(x)).otherwise(0)).alias(f"u_{x}") for x in counted], F.count_if(alone & (F.col("latest") > F.col("available_date"))).alias("late_hubs"))
+
+    e = G.stable(_edges(t).where("event_time is not null and available_date is not null").select(F.concat_ws(":", "src_type", "src_id").alias("src"), "relation", F.concat_ws(":", "dst_type", "dst_id").alias("dst"), (F.col("dst_type") != "event").alias("hub"), "event_time", "available_date"))
+    seeds = n.select("seed", F.col("available_date").alias("tau"), (F.col("event_time") <= F.col("available_date")).alias("act"))
+    links = e.where("not hub")
+    turned = lambda a, b, *cols: links.select(F.col(a).alias("at"), F.col(b).alias("other"), *cols, "event_time", "available_date")
+    near = seeds.join(turned("src", "dst").unionByName(turned("dst", "src")), F.col("seed") == F.col("at")).select("seed", "tau", F.col("other").alias("center"), *[ok[r].alias(r) for r in regimes])
+    centers = near.unionByName(seeds.select("seed", "tau", F.col("seed").alias("center"), *[F.lit(True).alias(r) for r in regimes])).groupBy("seed", "tau", "center").agg(*map(tally, regimes))
+    ends = e.select(F.col("src").alias("at"), F.col("dst").alias("other"), "hub", "relation", "src", "dst", "event_time", "available_date").unionByName(turned("dst", "src", "hub", "relation", "src", "dst"))
+    listed = centers.join(ends, F.col("center") == F.col("at")).select("seed", "tau", "other", "hub", "relation", "src", "dst", "available_date", (F.col("center") == F.col("seed")).alias("own"), *[ok[r].alias(f"ok_{r}") for r in regimes], *[(F.col(r) & ok[r]).alias(f"in_{r}") for r in regimes])
+    same = Window.partitionBy("seed", "other")
+    listed = listed.withColumns({f"hub_{r}": F.col("hub") & F.max(F.col("own") & F.col(f"in_{r}")).over(same) & F.col(f"ok_{r}") for r in regimes})
+    flags = [f"{k}_{r}" for k in ("in", "hub") for r in regimes]
+
+    def beyond(rows: DataFrame, name: str, *more) -> DataFrame:
+        """Of each seed, the listed rows of each regime that the counts do not hold, and of those in both regimes."""
+        seen = lambda r: F.col(f"in_{r}") | F.col(f"hub_{r}")
+        both = seen("event") & seen("report") & ~(F.col("hub_event") & F.col("hub_report"))
+        return rows.groupBy("seed").agg(*[F.count_if(F.col(f"in_{r}") & ~F.col(f"hub_{r}")).alias(f"{name}_{r}") for r in regimes], F.count_if(both).alias(f"{name}_both"), *more)
+
+    late = F.count_if(F.col("in_report") & (F.col("available_date") > F.col("tau"))).alias("late_listed")
+    more_edges = beyond(listed.groupBy("seed", "tau", "relation", "src", "dst").agg(*map(tally, flags), F.max("available_date").alias("available_date")), "me", late)
+
+    inside = [f"in_{r}" for r in regimes]
+    others = listed.where("other <> seed").select("seed", "other", "hub", *inside)
+    mine = n.select("seed", F.col("available_date").alias("tau"), (F.col("event_time") <= F.col("available_date")).alias("act"), *[F.col(c).alias(f"s_{c}") for c in [*_HUBS, "article_id"]])
+    theirs = n.withColumnRenamed("seed", "other")
+    act = {"none": F.lit(True), "event": F.col("act"), "report": F.lit(True)}
+    mates = mine.join(theirs, F.col("s_article_id") == F.col("article_id")).where("other <> seed").select("seed", "other", *[(act[r] & ok[r]).alias(f"in_{r}") for r in regimes])
+    events = others.where("not hub").drop("hub").unionByName(mates).groupBy("seed", "other").agg(*map(tally, inside))
+    alike = F.coalesce(*[F.when(F.col(f"s_{c}") == F.col(c), True) for c in _HUBS], F.lit(False))
+    events = events.join(mine, "seed").join(theirs, "other").select("seed", "other", *inside, *[(alike & act[r] & ok[r]).alias(f"hub_{r}") for r in regimes])
+    hubs = others.where("hub").groupBy("seed", "other").agg(*map(tally, inside)).select("seed", "other", *inside, *[F.lit(False).alias(f"hub_{r}") for r in regimes])
+    more_nodes = beyond(events.unionByName(hubs), "mn")
+
+    x = seeds.join(at_hubs, "seed", "left").join(more_edges, "seed", "left").join(more_nodes, "seed", "left").na.fill(0)
+    c = F.col
+    edges = {r: F.when(act.get(r, c("act")), c(f"e_{r}")).otherwise(0) + c(f"me_{r}") for r in counted}
+    nodes = {r: F.when(act.get(r, c("act")), c(f"u_{r}")).otherwise(1) + c(f"mn_{r}") for r in counted}
+    return x.select(
+        "seed", nodes["none"].alias("nodes_none"), nodes["event"].alias("nodes_event_time"), nodes["report"].alias("nodes_report_time"), edges["none"].alias("edges_none"), edges["event"].alias("edges_event_time"), edges["report"].alias("edges_report_time"),
+        (edges["none"] - edges["report"]).alias("leak_edges_vs_none"), (edges["event"] - edges["both"]).alias("leak_edges_vs_event_time"), (nodes["event"] - nodes["both"]).alias("leak_nodes_vs_event_time"), (c("late_hubs") + c("late_listed")).alias("late"),
+    )
 
 
-@query(f"""{_WALK} SELECT measure, count(*) AS n, list_sort(list(v))[count(*) // 4 + 1] AS p25, list_sort(list(v))[count(*) // 2 + 1] AS median, list_sort(list(v))[3 * count(*) // 4 + 1] AS p75, max(v) AS largest, avg(v) AS mean
-FROM (UNPIVOT (SELECT e_none, e_event, e_report FROM sizes) ON e_none, e_event, e_report INTO NAME measure VALUE v) GROUP BY 1""")
-def khop_sizes(spark: SparkSession, d: str) -> DataFrame:
-    return _measures(_leakage(spark, d), ["e_none", "e_event", "e_report"], "mean")
+def _measures_sql(names: list[str]) -> str:
+    return f"""{_WALK} SELECT measure, count(*) AS n, list_sort(list(v))[count(*) // 4 + 1]::BIGINT AS p25, list_sort(list(v))[count(*) // 2 + 1]::BIGINT AS median, list_sort(list(v))[3 * count(*) // 4 + 1]::BIGINT AS p75, max(v)::BIGINT AS largest, avg(v) AS mean, count(*) FILTER (v > 0) / count(*) AS share_above_0
+FROM (UNPIVOT (SELECT {", ".join(f"{x}::BIGINT AS {x}" for x in names)} FROM sizes) ON {", ".join(names)} INTO NAME measure VALUE v) GROUP BY 1"""
 
 
-def _measures(df: DataFrame, names: list[str], last: str) -> DataFrame:
+def _measures(df: DataFrame, names: list[str]) -> DataFrame:
     long = df.unpivot([], names, "measure", "v").groupBy("measure", "v").agg(F.count("*").alias("w"))
     q = A.discrete_quantiles(long, "v", {"p25": (1, 4), "median": (1, 2), "p75": (3, 4)}, by=["measure"], weight="w")
     n = F.sum("w")
     extra = long.groupBy("measure").agg(F.max("v").alias("largest"), (F.sum(F.col("v") * F.col("w")) / n).alias("mean"), (F.sum(F.when(F.col("v") > 0, F.col("w")).otherwise(0)) / n).alias("share_above_0"))
-    return q.join(extra, "measure").select("measure", "n", "p25", "median", "p75", "largest", last)
+    return q.join(extra, "measure").select("measure", "n", "p25", "median", "p75", "largest", "mean", "share_above_0")
+
+
+@query(_measures_sql(_SIZES))
+def khop_sizes(spark: SparkSession, d: str) -> DataFrame:
+    return _measures(khop(_shared(spark, d)), _SIZES)
 
 
-@query(f"""{_WALK} SELECT measure, count(*) AS n, list_sort(list(v))[count(*) // 4 + 1] AS p25, list_sort(list(v))[count(*) // 2 + 1] AS median, list_sort(list(v))[3 * count(*) // 4 + 1] AS p75, max(v) AS largest, count(*) FILTER (v > 0) / count(*) AS share_above_0
-FROM (UNPIVOT (SELECT leak_none, leak_event FROM leak) ON leak_none, leak_event INTO NAME measure VALUE v) GROUP BY 1""")
+@query(_measures_sql(_LEAKS))
 def khop_leakage(spark: SparkSession, d: str) -> DataFrame:
-    return _measures(_leakage(spark, d), ["leak_none", "leak_event"], "share_above_0")
+    return _measures(khop(_shared(spark, d)), _LEAKS)
 
 
-@query(f"""{_WALK} SELECT count(*) AS checked, count(*) FILTER (available > tau) AS violations FROM hood WHERE regime = 'report_time'""")
+@query(f"""{_WALK} SELECT (SELECT sum(edges_report_time)::BIGINT FROM sizes) AS checked, (SELECT count(*) FROM hood WHERE regime = 'r' AND av > tau) AS violations""")
 def masking_invariant(spark: SparkSession, d: str) -> DataFrame:
     """No edge of a report-time neighbourhood was reported after its seed's tau."""
-    m = _shared(spark, d)
-    _, hood = _hood(m)
-    t = _walk(m).select("edge", "available_date")
-    seen = hood.where("regime = 'report_time'").select("seed", "tau", "edge").distinct().join(t, "edge")
-    return seen.agg(F.count("*").alias("checked"), F.count_if(F.col("available_date") > F.col("tau")).alias("violations"))
+    return khop(_shared(spark, d)).agg(F.sum("edges_report_time").alias("checked"), F.sum("late").alias("violations"))
 
 
 # ---------------------------------------------------------------- adjacency
@@ -280,9 +333,9 @@ def censoring_windows(spark: SparkSession, d: str) -> DataFrame:
     return x.agg(F.array(*parts).alias("x")).select(F.inline("x"))
 
 
-@query(f"""{_NODES} SELECT flag, count(*) AS n, list_sort(list(lag))[count(*) // 4 + 1]::INT AS p25, list_sort(list(lag))[count(*) // 2 + 1]::INT AS median, list_sort(list(lag))[9 * count(*) // 10 + 1]::INT AS p90 FROM (SELECT flag, date_diff('day', report_time, event_time) AS lag FROM t) GROUP BY 1""")
+@query(f"""{_NODES} SELECT flag, count(*) AS n, list_sort(list(lag))[count(*) // 4 + 1]::INT AS p25, list_sort(list(lag))[count(*) // 2 + 1]::INT AS median, list_sort(list(lag))[9 * count(*) // 10 + 1]::INT AS p90 FROM (SELECT flag, date_diff('day', event_time, report_time) AS lag FROM t) GROUP BY 1""")
 def lag_quantiles(spark: SparkSession, d: str) -> DataFrame:
-    t = order_mentions(spark, d).withColumn("lag", F.datediff("event_time", "report_time"))
+    t = order_mentions(spark, d).withColumn("lag", F.datediff("report_time", "event_time"))
     return A.discrete_quantiles(t, "lag", {"p25": (1, 4), "median": (1, 2), "p90": (9, 10)}, by=["flag"])
 
 
