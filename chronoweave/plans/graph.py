@@ -155,11 +155,15 @@ def khop(t: DataFrame) -> DataFrame:
     ok = {"none": F.lit(True), "event": F.col("event_time") <= F.col("tau"), "report": F.col("available_date") <= F.col("tau")}
     tally = lambda c: F.max(c).alias(c)
 
-    article = 1 << len(_HUBS)
-    shared = G.shared_counts(n, "seed", [*_HUBS, "article_id"], list(range(1, article + 1)))
+    # where each actor has one location, events that share the actor share the location, and sets with the actor cancel out
+    spread = n.groupBy("actor_ids").agg(F.count_distinct("location_id").alias("k"), F.count_if(F.col("location_id").isNull()).alias("none"))
+    placed = spread.where("actor_ids is not null and (k <> 1 or none > 0)").isEmpty()
+    sets = [m for m in range(1, 1 << len(_HUBS)) if not (placed and m & (1 << _HUBS.index("actor_ids")))]
+    single = [1 << i for i in range(len(_HUBS) + 1)]
+    shared = G.shared_counts(n, "seed", [*_HUBS, "article_id"], sorted({*sets, *single}))
     counted = ("none", "event", "report", "both")
     alone, sign = F.bit_count("mask") == 1, F.when(F.bit_count("mask") % 2 == 1, 1).otherwise(-1)
-    at_hubs = shared.groupBy("seed").agg(*[F.sum(F.when(alone, F.col(x)).otherwise(0)).alias(f"e_{x}") for x in counted], *[F.sum(F.when(F.col("mask") < article, sign * F.col(x)).otherwise(0)).alias(f"u_{x}") for x in counted], F.count_if(alone & (F.col("latest") > F.col("available_date"))).alias("late_hubs"))
+    at_hubs = shared.groupBy("seed").agg(*[F.sum(F.when(alone, F.col(x)).otherwise(0)).alias(f"e_{x}") for x in counted], *[F.sum(F.when(F.col("mask").isin(sets), sign * F.col(x)).otherwise(0)).alias(f"u_{x}") for x in counted], F.count_if(alone & (F.col("latest") > F.col("available_date"))).alias("late_hubs"))
 
     e = G.stable(_edges(t).where("event_time is not null and available_date is not null").select(F.concat_ws(":", "src_type", "src_id").alias("src"), "relation", F.concat_ws(":", "dst_type", "dst_id").alias("dst"), (F.col("dst_type") != "event").alias("hub"), "event_time", "available_date"))
     seeds = n.select("seed", F.col("available_date").alias("tau"), (F.col("event_time") <= F.col("available_date")).alias("act"))

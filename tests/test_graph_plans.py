@@ -3,6 +3,8 @@
 from collections import defaultdict
 
 import numpy as np
+import pytest
+from pyspark.sql import functions as F
 
 from chronoweave.operators import learn as L
 from chronoweave.plans import graph
@@ -23,8 +25,10 @@ def _walk(ends, seed, tau, ok):
     return nodes, edges
 
 
-def test_khop_equals_a_plain_walk(spark, small):
-    t = order_mentions(spark, small).where("article % 10 = 1")
+@pytest.mark.parametrize("moves", [0, 1])
+def test_khop_equals_a_plain_walk(spark, small, moves):
+    """With `moves`, an actor has several locations."""
+    t = order_mentions(spark, small).where("article % 10 = 1").withColumn("location", F.col("location") + F.col("article") % 3 * moves)
     ends = defaultdict(list)
     for i, e in enumerate(graph._edges(t).collect()):
         if e.event_time is not None and e.available_date is not None:
