@@ -10,7 +10,7 @@ from chronoweave.operators.ranking import position
 from chronoweave.plans.bindings import E_SQL, mentions
 from chronoweave.plans.registry import query
 
-DRAWS = 2000
+DRAWS = 20000
 EFFECTS = [0.2, 0.35, 0.5, 0.8]
 
 _ITEMS = f"""WITH {E_SQL}, x AS (SELECT *, row_number() OVER (ORDER BY item) - 1 AS pos, round(a - b, 6) AS d FROM (
