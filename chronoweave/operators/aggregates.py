@@ -8,6 +8,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from chronoweave.operators.graph import stable
+
 
 def discrete_quantiles(df: DataFrame, value: str, points: dict[str, tuple[int, int]], by: list[str] | None = None, weight: str | None = None, lower: tuple[str, ...] = ()) -> DataFrame:
     """Rows (by..., n, points...): the value at place n*num//den of the sorted values, counted from 0.
@@ -26,6 +28,25 @@ def discrete_quantiles(df: DataFrame, value: str, points: dict[str, tuple[int, i
     return hist.groupBy(*by).agg(F.coalesce(F.max("_n"), F.lit(0)).cast("bigint").alias("n"), *cols)
 
 
+def binned_quantiles(df: DataFrame, value: str, points: dict[str, tuple[int, int]], by: str, width: int = 4096) -> DataFrame:
+    """Rows (by, n, sum, max, above_0, points...) of integers that may nearly all differ; points as in `discrete_quantiles`.
+
+    Values are counted in bins of `width`, and one by one only in the bins that hold a point, so `df` is read twice and
+    no exchange carries its values.
+    """
+    rows = df.where(F.col(value).isNotNull()).select(by, F.col(value).alias("_v"), F.floor(F.col(value) / width).alias("_b"))
+    bins = stable(rows.groupBy(by, "_b").agg(F.count("*").alias("_c"), F.sum("_v").alias("_s"), F.max("_v").alias("_m"), F.count_if(F.col("_v") > 0).alias("_a")))
+    every = Window.partitionBy(by)
+    upto = bins.withColumns({"_end": F.sum("_c").over(every.orderBy("_b").rowsBetween(Window.unboundedPreceding, 0)), "_n": F.sum("_c").over(every)})
+    places = F.array(*[F.struct(F.lit(p).alias("_p"), F.floor(F.col("_n") * num / den).alias("_at")) for p, (num, den) in points.items()])
+    asked = stable(upto.select(by, "_b", "_end", "_c", F.inline(places)).where("_at < _end and _at >= _end - _c").select(by, "_b", "_p", (F.col("_at") - F.col("_end") + F.col("_c")).alias("_at")))
+    near = rows.join(F.broadcast(asked.select(by, "_b").distinct()), [by, "_b"]).groupBy(by, "_b", "_v").agg(F.count("*").alias("_c"))  # a row for each point
+    near = near.withColumn("_cum", F.sum("_c").over(Window.partitionBy(by, "_b").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)))
+    found = near.join(asked, [by, "_b"]).where("_cum > _at").groupBy(by).agg(*[F.min(F.when(F.col("_p") == p, F.col("_v"))).alias(p) for p in points])
+    whole = bins.groupBy(by).agg(F.sum("_c").alias("n"), F.sum("_s").alias("sum"), F.max("_m").alias("max"), F.sum("_a").alias("above_0"))
+    return whole.join(found, by)
+
+
 def cells(df: DataFrame, *keys: str) -> DataFrame:
     return df.groupBy(*keys).agg(F.count("*").alias("n"))
 

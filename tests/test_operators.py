@@ -179,3 +179,13 @@ def test_streaming_equals_batch(spark, small, tmp_path):
     want = D.density_batch(ev).toPandas().merge(got[["start", "event_type"]], on=["start", "event_type"])
     pd.testing.assert_frame_equal(got.sort_values(["start", "event_type"]).reset_index(drop=True), want.sort_values(["start", "event_type"]).reset_index(drop=True))
     assert len(got)
+
+
+def test_binned_quantiles_equal_discrete_ones(spark):
+    points = {"p25": (1, 4), "median": (1, 2), "p75": (3, 4)}
+    df = spark.range(3000).selectExpr("concat('m', id % 3) as m", "case when id % 3 = 2 then id % 2 else (id * 7919) % 100003 - 500 end as v").unionAll(spark.sql("select 'm0', cast(null as bigint)")).unionAll(spark.sql("select 'm3', 7L"))
+    got = {r.m: r for r in A.binned_quantiles(df, "v", points, "m", width=64).collect()}
+    want = {r.m: r for r in A.discrete_quantiles(df, "v", points, by=["m"]).collect()}
+    assert {m: (r.n, r.p25, r.median, r.p75) for m, r in got.items()} == {m: (r.n, r.p25, r.median, r.p75) for m, r in want.items()}
+    values = [x.v for x in df.where("m = 'm0' and v is not null").collect()]
+    assert (got["m0"].sum, got["m0"].max, got["m0"].above_0) == (sum(values), max(values), sum(v > 0 for v in values))
