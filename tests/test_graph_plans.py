@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from chronoweave.operators import graph as G
 from chronoweave.operators import learn as L
 from chronoweave.operators import walks as W
-from chronoweave.plans import graph
+from chronoweave.plans import graph, learning
 from chronoweave.plans.bindings import order_mentions
 
 
@@ -107,3 +107,18 @@ def test_distributed_predictions_equal_the_local_net(spark):
             net.fit(x, adj, pairs[order], np.array([i % 2 for i in order]), 40, 0.1)
             want = net.forward(x, adj, pairs)[0].argmax(1)
             assert [got[mode, seed, i] for i in range(20)] == ["ab"[k] for k in want]
+
+
+@pytest.mark.parametrize("mask", [True, False])
+def test_predictions_by_order_equal_those_over_the_whole_graph(spark, small, mask):
+    """Few epochs, so that there are errors to compare."""
+    edges, features, samples = learning.graph(spark, small, mask_targets=mask)
+    few = learning.part(edges, features, samples)
+    modes = L.MODES if mask else ("typed",)
+    models = L.fit_modes(*few, 5, learning.CLASSES, modes, seeds=2, epochs=4, rate=0.05, hidden=16).cache()
+    want = L.predict_modes(models, edges, features, samples, learning.CLASSES).where("split = 'test'").groupBy("mode", "seed", "truth", "pred").count()
+    data = learning.packed(order_mentions(spark, small, together=True))
+    first, test = learning.bounds(data)
+    assert {tuple(r) for r in learning.confusion(models, data, test, mask).collect()} == {tuple(r) for r in want.collect()}
+    for got, old, keys in zip(learning.fitted_on(data, first, mask), few, (["rel", "src", "dst"], ["node", "values"], ["src", "dst", "label", "split"]), strict=True):
+        assert sorted(tuple(r) for r in got.select(*keys).collect()) == sorted(tuple(r) for r in old.select(*keys).collect())
