@@ -122,3 +122,23 @@ def test_predictions_by_order_equal_those_over_the_whole_graph(spark, small, mas
     assert {tuple(r) for r in learning.confusion(models, data, test, mask).collect()} == {tuple(r) for r in want.collect()}
     for got, old, keys in zip(learning.fitted_on(data, first, mask), few, (["rel", "src", "dst"], ["node", "values"], ["src", "dst", "label", "split"]), strict=True):
         assert sorted(tuple(r) for r in got.select(*keys).collect()) == sorted(tuple(r) for r in old.select(*keys).collect())
+
+
+@pytest.mark.parametrize("mode", L.MODES)
+def test_groups_give_the_vectors_of_the_whole_net(mode):
+    """Eight rows in three groups, two hubs of one kind; a row without a hub, and one without any link."""
+    rng = np.random.default_rng(5)
+    group, flag, hub = np.array([0, 0, 0, 1, 1, 1, 1, 2]), np.array([1, 2, 3, 1, 1, 2, 0, 3]), np.array([0, 1, 1, 0, -1, 1, -1, -1])
+    rules = {"p": (1, 2), "q": (2, 3)}
+    g = L.Groups(group, flag, {"h": hub}, rules)
+    x, hub_x = rng.normal(size=(8, 4)), rng.normal(size=4)
+    edges = {"h": np.array([(i, 8 + h) for i, h in enumerate(hub) if h >= 0])} | {r: g.pairs(rule) for r, rule in rules.items()}
+    parts = [L.adjacency(edges[r], 10) for r in ("h", "p", "q")]
+    adj = {"typed": parts, "single": [L.single(parts, 10)], "none": []}[mode]
+    net = L.RelationalNet(4, 3, len(adj), 2, 1)
+    pairs = np.array([(0, 1), (5, 3), (7, 4)])
+    logits, kept = net.forward(np.concatenate([x, [hub_x, hub_x]]), adj, pairs)
+    means = {"h": np.stack([x[hub == k].mean(0) for k in range(2)])}
+    h = g.embed(net.p, mode, ["h", "p", "q"] if mode == "typed" else [], x, hub_x, means)
+    assert np.allclose(h, kept[2][:8])
+    assert (L.judge(net.p, h, pairs) == logits.argmax(1)).all()
