@@ -6,11 +6,13 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from chronoweave.operators import aggregates as A
 from chronoweave.operators import graph as G
 from chronoweave.operators import learn as L
 from chronoweave.operators import walks as W
-from chronoweave.plans import graph, learning
+from chronoweave.plans import catalogue, graph, learning
 from chronoweave.plans.bindings import order_mentions
+from tests.oracle import compare
 
 
 def _walk(ends, seed, tau, ok):
@@ -142,3 +144,19 @@ def test_groups_give_the_vectors_of_the_whole_net(mode):
     h = g.embed(net.p, mode, ["h", "p", "q"] if mode == "typed" else [], x, hub_x, means)
     assert np.allclose(h, kept[2][:8])
     assert (L.judge(net.p, h, pairs) == logits.argmax(1)).all()
+
+
+def test_khop_sizes_over_ranges_of_days(spark, small, monkeypatch):
+    """Equal to the SQL, without a row kept for an edge or for a value of a measure."""
+    kept, real = [], G.stable
+
+    def counted(df):
+        out = real(df)
+        kept.append(out.count())
+        return out
+
+    for module in (G, W, A):
+        monkeypatch.setattr(module, "stable", counted)
+    monkeypatch.setattr(graph, "ARTICLES", 300)
+    compare(graph.khop_sizes(spark, small), catalogue.ORACLE["khop_sizes"], small)
+    assert 0 < sum(kept) < order_mentions(spark, small).count()
