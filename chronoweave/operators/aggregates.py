@@ -5,10 +5,13 @@ Quantiles come from a histogram of values, so a group's values are never gathere
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from chronoweave.operators.graph import stable
+from chronoweave.operators.walks import pack, unpack
 
 
 def discrete_quantiles(df: DataFrame, value: str, points: dict[str, tuple[int, int]], by: list[str] | None = None, weight: str | None = None, lower: tuple[str, ...] = ()) -> DataFrame:
@@ -36,11 +39,43 @@ def binned_quantiles(df: DataFrame, value: str, points: dict[str, tuple[int, int
     """
     rows = df.where(F.col(value).isNotNull()).select(by, F.col(value).alias("_v"), F.floor(F.col(value) / width).alias("_b"))
     bins = stable(rows.groupBy(by, "_b").agg(F.count("*").alias("_c"), F.sum("_v").alias("_s"), F.max("_v").alias("_m"), F.count_if(F.col("_v") > 0).alias("_a")))
+    near = lambda asked: rows.join(F.broadcast(asked), [by, "_b"]).groupBy(by, "_b", "_v").agg(F.count("*").alias("_c"))  # noqa: E731  a row for each point
+    return _in_bins(bins, near, points, by)
+
+
+#: Rows of `packed_bins` as columns.
+BINS = "_b bigint, _c bigint, _s bigint, _m bigint, _a bigint, data binary"
+
+
+def packed_bins(v: np.ndarray, width: int = 65536) -> list[tuple]:
+    """Rows (bin, count, sum, max, above 0, data) of integers: `data` are the sorted values of a bin, packed as differences."""
+    v = np.sort(v)
+    b = v // width
+    start = np.flatnonzero(np.r_[True, b[1:] != b[:-1]]) if len(v) else np.zeros(0, np.int64)
+    return [(int(x[0] // width), len(x), int(x.sum()), int(x[-1]), int((x > 0).sum()), pack({"v": np.diff(x, prepend=0)})) for x in np.split(v, start[1:]) if len(x)]
+
+
+def packed_quantiles(df: DataFrame, points: dict[str, tuple[int, int]], by: str) -> DataFrame:
+    """As `binned_quantiles`, from rows (by, ...) of `packed_bins`: only bins that hold a point are unpacked."""
+    bins = stable(df.groupBy(by, "_b").agg(*[F.sum(c).alias(c) for c in ("_c", "_s", "_a")], F.max("_m").alias("_m")))
+
+    def counted(batches):
+        for t in batches:
+            for key, b, data in zip(*(t[c].to_pylist() for c in (by, "_b", "data")), strict=True):
+                v, n = np.unique(np.cumsum(unpack([data])["v"]), return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array([key] * len(v), pa.string()), pa.array(np.full(len(v), b)), pa.array(v), pa.array(n)], [by, "_b", "_v", "_c"])
+
+    near = lambda asked: df.join(F.broadcast(asked), [by, "_b"]).select(by, "_b", "data").mapInArrow(counted, f"{by} string, _b bigint, _v bigint, _c bigint").groupBy(by, "_b", "_v").agg(F.sum("_c").alias("_c"))
+    return _in_bins(bins, near, points, by)
+
+
+def _in_bins(bins: DataFrame, values, points: dict[str, tuple[int, int]], by: str) -> DataFrame:
+    """The quantiles, from rows (by, _b, _c, _s, _m, _a) of bins and the counted values that `values` finds in some bins."""
     every = Window.partitionBy(by)
     upto = bins.withColumns({"_end": F.sum("_c").over(every.orderBy("_b").rowsBetween(Window.unboundedPreceding, 0)), "_n": F.sum("_c").over(every)})
     places = F.array(*[F.struct(F.lit(p).alias("_p"), F.floor(F.col("_n") * num / den).alias("_at")) for p, (num, den) in points.items()])
     asked = stable(upto.select(by, "_b", "_end", "_c", F.inline(places)).where("_at < _end and _at >= _end - _c").select(by, "_b", "_p", (F.col("_at") - F.col("_end") + F.col("_c")).alias("_at")))
-    near = rows.join(F.broadcast(asked.select(by, "_b").distinct()), [by, "_b"]).groupBy(by, "_b", "_v").agg(F.count("*").alias("_c"))  # a row for each point
+    near = values(asked.select(by, "_b").distinct())
     near = near.withColumn("_cum", F.sum("_c").over(Window.partitionBy(by, "_b").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)))
     found = near.join(asked, [by, "_b"]).where("_cum > _at").groupBy(by).agg(*[F.min(F.when(F.col("_p") == p, F.col("_v"))).alias(p) for p in points])
     whole = bins.groupBy(by).agg(F.sum("_c").alias("n"), F.sum("_s").alias("sum"), F.max("_m").alias("max"), F.sum("_a").alias("above_0"))

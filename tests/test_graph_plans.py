@@ -11,8 +11,9 @@ from chronoweave.operators import graph as G
 from chronoweave.operators import learn as L
 from chronoweave.operators import walks as W
 from chronoweave.plans import catalogue, graph, learning
+from chronoweave.plans import packed as P
 from chronoweave.plans.bindings import order_mentions
-from tests.oracle import compare
+from tests.oracle import compare, connect
 
 
 def _walk(ends, seed, tau, ok):
@@ -160,3 +161,54 @@ def test_khop_sizes_over_ranges_of_days(spark, small, monkeypatch):
     monkeypatch.setattr(graph, "ARTICLES", 300)
     compare(graph.khop_sizes(spark, small), catalogue.ORACLE["khop_sizes"], small)
     assert 0 < sum(kept) < order_mentions(spark, small).count()
+
+
+def _odd(folder, small, gap=7):
+    """Tables with missing dates (every `gap`th) and keys, other flags, orders and suppliers that no line has or that are lacking."""
+    c = connect(small)
+    c.execute(f"""COPY (SELECT * REPLACE (CASE WHEN i % {gap} > 0 THEN l_shipdate END AS l_shipdate, CASE WHEN i % 11 > 0 THEN l_suppkey END AS l_suppkey, CASE WHEN i % 13 > 0 THEN l_orderkey END AS l_orderkey,
+      CASE WHEN i % 5 > 0 THEN l_returnflag WHEN i % 2 = 0 THEN 'B' WHEN i % 3 = 0 THEN 'a' END AS l_returnflag) FROM (SELECT l_orderkey, l_linenumber, l_shipdate, l_suppkey, l_partkey, l_returnflag, row_number() OVER () AS i FROM lineitem))
+      TO '{folder}/lineitem.parquet'""")
+    for name, rows in {"orders": "o_orderkey % 9 > 0", "supplier": "s_suppkey % 6 > 0", "part": "p_partkey % 8 > 0"}.items():
+        c.execute(f"COPY (SELECT * FROM {name} WHERE {rows}) TO '{folder}/{name}.parquet'")
+    return str(folder)
+
+
+def test_khop_sizes_exchanges_no_row_of_a_line(spark, small, tmp_path, monkeypatch):
+    """Lines meet by order as packed columns, in several parts, on odd tables as well."""
+    plans, real = [], G.stable
+
+    def seen(df):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return real(df)
+
+    for module in (G, W, A):
+        monkeypatch.setattr(module, "stable", seen)
+    d = _odd(tmp_path, small, gap=10**9)
+    monkeypatch.setattr(graph, "ARTICLES", 300)
+    monkeypatch.setattr(P, "LINES", 900)
+    monkeypatch.setattr(P, "BLOCK", 16)
+    compare(graph.khop_sizes(spark, d), catalogue.ORACLE["khop_sizes"], d)
+    assert plans and not any("hashpartitioning(l_orderkey" in p or "hashpartitioning(article" in p for p in plans)
+    _odd(tmp_path, small)  # the SQL counts events without a time
+    got = sorted(graph.khop_sizes(spark, d).collect())
+    monkeypatch.setattr(P, "in_parts", lambda *_: None)
+    assert got == sorted(graph.khop_sizes(spark, d).collect())
+
+
+def test_packed_mentions_equal_those_of_the_joins(spark, small, tmp_path):
+    d = _odd(tmp_path, small)
+    c = connect(d)  # and twice the same order, supplier and part
+    for name, rows in {"orders": "o_orderkey % 50 = 1", "supplier": "s_suppkey = 7", "part": "p_partkey % 10 = 5"}.items():
+        c.execute(f"CREATE TABLE t_{name} AS SELECT * FROM {name} UNION ALL SELECT * FROM {name} WHERE {rows}")
+        c.execute(f"COPY t_{name} TO '{d}/{name}.parquet'")
+    rows, mentions, suppliers, parts = P.in_parts(spark, d, (F.col("o_orderpriority"), spark.sql("select '2-HIGH' as v").toArrow()["v"]), [F.col("s_nationkey").alias("location")], [F.col("p_type").alias("commodity")])
+    got = [
+        (int(x["article"][i]), int(x["slot"][i]), None if x["event"][i] == P.NONE else int(x["event"][i]), int(x["report"][i]), int(x["publisher"][i]), int(x["flag"][i]), suppliers["key"][x["supplier"][i]].as_py(), suppliers["location"][x["supplier"][i]].as_py(), parts["commodity"][x["part"][i]].as_py())
+        for x in mentions(rows.toArrow().to_batches()) for i in range(len(x["article"]))
+    ]
+    n = F.col("flag")
+    t = order_mentions(spark, d).select("article", "slot", F.unix_date("event_time"), F.unix_date("report_time"), (F.col("publisher") == "2-HIGH").cast("int"), F.when(n == "A", 1).when(n == "R", 2).when(n == "N", 3).otherwise(0), "actor", "location", "commodity")
+    key = lambda r: tuple((v is None, v) for v in r)
+    assert sorted(got, key=key) == sorted((tuple(r) for r in t.collect()), key=key)
+    assert len(got) > 1000
