@@ -212,3 +212,23 @@ def test_packed_mentions_equal_those_of_the_joins(spark, small, tmp_path):
     key = lambda r: tuple((v is None, v) for v in r)
     assert sorted(got, key=key) == sorted((tuple(r) for r in t.collect()), key=key)
     assert len(got) > 1000
+
+
+def test_rgcn_ablation_exchanges_no_row_of_a_line(spark, small, tmp_path, monkeypatch):
+    """Columns of whole orders equal those of the joins on odd tables, so what follows is the same."""
+    d = _odd(tmp_path, small)
+    monkeypatch.setattr(P, "LINES", 900)
+    monkeypatch.setattr(P, "BLOCK", 16)
+    plans, real = [], G.stable
+
+    def seen(df):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return real(df)
+
+    monkeypatch.setattr(learning, "stable", seen)
+    got = [learning.packed_lines(spark, d)]
+    assert plans and not any("hashpartitioning(l_orderkey" in p or "hashpartitioning(article" in p for p in plans)
+    got.append(learning.packed(order_mentions(spark, d, together=True)))
+    rows = [sorted(zip(*(x[c].tolist() for c in learning.COLUMNS), strict=True)) for x in (W.unpack([r.data for r in df.collect()]) for df in got)]
+    assert rows[0] == rows[1] and len(rows[0]) > 1000
+    assert learning.bounds(got[0]) == learning.bounds(got[1])
