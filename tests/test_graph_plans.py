@@ -1,5 +1,6 @@
 """Neighbourhoods that count what lies at large attributes, held against a plain walk over all edges."""
 
+import io
 from collections import defaultdict
 
 import numpy as np
@@ -127,6 +128,24 @@ def test_predictions_by_order_equal_those_over_the_whole_graph(spark, small, mas
         assert sorted(tuple(r) for r in got.select(*keys).collect()) == sorted(tuple(r) for r in old.select(*keys).collect())
 
 
+@pytest.mark.parametrize("mask", [True, False])
+def test_fit_takes_all_training_samples(spark, small, mask):
+    """As a fit in one worker on all edges and training samples, of which a part alone gives other weights."""
+    modes = L.MODES if mask else ("typed",)
+    data = learning.packed(order_mentions(spark, small, together=True))
+    first, _ = learning.bounds(data)
+    edges, features, samples = learning.graph(spark, small, mask_targets=mask)
+    train = samples.where("split = 'train'")
+    assert train.select(F.floor(F.col("src") / 16)).distinct().count() > 300
+    want = L.fit_modes(edges, features, train, 5, learning.CLASSES, modes, seeds=2, epochs=5, rate=0.5, hidden=16)
+    got = learning.fit(data, first, learning.hub_means(data), mask, modes, seeds=2, epochs=5, rate=0.5)
+    got, want = ({(m["mode"], m["seed"]): (list(m["relations"]), dict(np.load(io.BytesIO(m["weights"])))) for m in df.collect()} for df in (got, want))
+    assert got.keys() == want.keys()
+    for k, (relations, weights) in want.items():
+        assert got[k][0] == relations
+        assert all(np.allclose(got[k][1][p], w, rtol=1e-9, atol=1e-12) for p, w in weights.items())
+
+
 @pytest.mark.parametrize("mode", L.MODES)
 def test_groups_give_the_vectors_of_the_whole_net(mode):
     """Eight rows in three groups, two hubs of one kind; a row without a hub, and one without any link."""
